@@ -116,7 +116,10 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CL
 
 
 def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
-    """The documents that the rules keep, with all their columns: one pass for the references, one for the verdict, no shuffle of texts."""
-    ref = materialize(references(measures(docs.select("doc_id", "text", "lang"))), "references")
-    measured = measures(docs)
-    return judged(measured, ref, min_words, max_class, max_common).where("_pg_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep, with all their columns.
+
+    The measured table is written once: references and verdicts read it, and no expression is worked out twice.
+    """
+    measured = materialize(measures(docs), "measured")
+    kept = judged(measured, references(measured), min_words, max_class, max_common).where("_pg_kept")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
