@@ -1,11 +1,22 @@
-"""All queries of the library by name, with the SQL that gives the same rows."""
+"""All queries over the library's own operators by name, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from .plans import pixel_queries, zone_queries
+from .ship import ship
+
+
+def _shipped(f):
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {name: _shipped(f) for name, f in (zone_queries.QUERIES | pixel_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return zone_queries.SQL | pixel_queries.SQL
