@@ -244,7 +244,7 @@ def test_decontamination(spark, docs, nothing, table, block):
         w, hit, items = words(x), set(), set()
         for j in range(len(w)):
             for size in {len(z) for z in windows}:
-                if tuple(w[j : j + size]) in windows:
+                if j + size <= len(w) and tuple(w[j : j + size]) in windows:
                     hit.update(range(j, j + size))
                     items |= windows[tuple(w[j : j + size])]
         r = got[i]
