@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Pretokens remembered by each Python worker; more only means that they are encoded again.
-MEMO = 400_000
+MEMO = 200_000
 #: In texts of these characters alone, ASCII classes and Unicode classes split alike.
 PLAIN = r"[\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*"
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
@@ -107,7 +107,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
 
     def run(batches):
         c = codec(path, pattern)
-        for batch, values in slices(batches, "t"):
+        for batch, values in slices(batches, "t", 1 << 20):
             texts = [(v or b"").decode() for v in values]
             ids = c.encode(texts)
             cols = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -125,7 +125,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(path, pattern)
-        for batch, values in slices(batches, "ids"):
+        for batch, values in slices(batches, "ids", 2 << 20):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(v or b"") for v in values], pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return kind.mapInArrow(run, f"doc_id {kind.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long, decoded binary")

@@ -95,7 +95,7 @@ def word_hashes(words: list[bytes], memo: dict) -> np.ndarray:
     """64-bit hashes of words; memo is bounded and only saves time."""
     import xxhash
 
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
     h = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
