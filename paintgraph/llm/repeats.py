@@ -139,11 +139,12 @@ def flagged(rows: DataFrame, kind: Kind) -> DataFrame:
     """The texts (doc_id, k, b, one for each row of the input) that hold repeated anchors, with those segments."""
     segs = materialize(segments(rows, kind), "segments")
     seen = segs.groupBy("a").agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("t > 1").select("a", (F.col("c1") != F.col("c2")).alias("many"))
+    seen = materialize(seen, "seen")  # read from a table, a join with a hot anchor can be split
     some = materialize(segs.join(seen, "a"), "repeated")
     # min of a struct picks one representative place for each content
     classes = some.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s1")).alias("first"))
     crowded = some.where("many").groupBy("a", "c").agg(F.count(F.lit(1)).alias("x")).groupBy("a").agg(F.count(F.lit(1)).alias("x")).where(F.col("x") > MOST).select("a", F.lit(True).alias("hot"))
-    some = some.join(classes.join(crowded, "a", "left"), ["a", "c"])
+    some = some.join(materialize(classes.join(crowded, "a", "left"), "classes"), ["a", "c"])
     pick = F.col("many") & (F.col("first.k") == F.col("k")) & (F.col("first.s1") == F.col("s1"))
     by_text = some.groupBy("doc_id", "k").agg(F.collect_set(F.struct("a", "c", "s1", "s2", "p", "n", pick.alias("pick"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
     r = rows.join(by_text, same_row(rows, by_text)).select(rows["doc_id"], rows["k"], "b", "segs")
