@@ -102,7 +102,7 @@ def resolver(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, k, kept, n_removed, n_spans of the rows that lose words."""
-    kind = repeats.word_kind(length, max(1, length * 12 // 35))
+    kind = repeats.word_kind(length, max(1, length * 6 // 35))
     return repeats.cut(repeats.spans(docs, kind, resolver(length)), kind, b" ")
 
 

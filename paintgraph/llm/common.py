@@ -36,6 +36,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished stages now: it does so when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(text: str = "text") -> Column:
     """One key for all rows of the same doc_id and text; with doc_id beside it, it joins back to the rows."""
     return F.xxhash64(F.col("doc_id"), F.col(text))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, fmix, keyed, materialize, same_row, slices
+from .common import covered, fmix, keyed, materialize, release, same_row, slices
 
 #: Contents of one anchor that a resolver takes at most.
 MOST = 2000
@@ -82,7 +82,7 @@ def _hash_words(parts, memo):
     return np.concatenate([word_hashes(p, memo) for p in parts]) if parts else np.zeros(0, np.uint64)
 
 
-def word_kind(length: int = 35, k: int = 12) -> Kind:
+def word_kind(length: int = 35, k: int = 6) -> Kind:
     return Kind(length, k, bytes.split, _hash_words, b" ".join, 1 << 18)  # bytes.split() splits at ASCII white space alone
 
 
@@ -141,6 +141,7 @@ def flagged(rows: DataFrame, kind: Kind) -> DataFrame:
     seen = segs.groupBy("a").agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("t > 1").select("a", (F.col("c1") != F.col("c2")).alias("many"))
     seen = materialize(seen, "seen")  # read from a table, a join with a hot anchor can be split
     some = materialize(segs.join(seen, "a"), "repeated")
+    release(rows.sparkSession)
     # min of a struct picks one representative place for each content
     classes = some.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s1")).alias("first"))
     crowded = some.where("many").groupBy("a", "c").agg(F.count(F.lit(1)).alias("x")).groupBy("a").agg(F.count(F.lit(1)).alias("x")).where(F.col("x") > MOST).select("a", F.lit(True).alias("hot"))
@@ -148,7 +149,9 @@ def flagged(rows: DataFrame, kind: Kind) -> DataFrame:
     pick = F.col("many") & (F.col("first.k") == F.col("k")) & (F.col("first.s1") == F.col("s1"))
     by_text = some.groupBy("doc_id", "k").agg(F.collect_set(F.struct("a", "c", "s1", "s2", "p", "n", pick.alias("pick"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
     r = rows.join(by_text, same_row(rows, by_text)).select(rows["doc_id"], rows["k"], "b", "segs")
-    return materialize(r, "flagged")
+    r = materialize(r, "flagged")
+    release(rows.sparkSession)
+    return r
 
 
 def _contexts(texts: DataFrame, kind: Kind) -> DataFrame:
