@@ -86,5 +86,40 @@ def queries() -> dict:
     return found | {"pipeline": corpus_pipeline.run}
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w)-33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i+35)) AS p FROM win WHERE s IN (SELECT s FROM again))),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w)+1)) AS p FROM d WHERE len(w) > 0),
+left_over AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)"""
+
+OP8 = r"""
+WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a)+1)) AS p, len(a) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h0 FROM l),
+b AS (SELECT *, (h0 + 3*coalesce(lag(h0) OVER o, 0) + 5*coalesce(lag(h0, 2) OVER o, 0)) % 97 < 24 AS stop FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+c AS (SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM b),
+k AS (SELECT doc_id, i, count(*) AS n_in, string_agg(line, chr(10) ORDER BY p) AS body FROM c GROUP BY 1, 2),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, n_in, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS r FROM k WHERE n_in >= 2) WHERE r > 1),
+kept AS (SELECT c.doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n FROM c ANTI JOIN g ON c.doc_id = g.doc_id AND c.i = g.i GROUP BY 1),
+total AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines, 0) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i+9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w)-8))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i:i+size-1], ' ') AS s FROM (SELECT doc_id, w, size, unnest(range(1, len(w)-size+2)) AS i FROM d, sizes WHERE len(w) >= size)),
+m AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.s = bw.s),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i+size)) AS p FROM m) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold learned models, tokenizers, hashed slots or graph components; tests/llm compare them with brute force."""
+    return {"op5_suffix_automata_dedup": OP5, "op8_line_chunks": OP8, "op9_suffix_array_decontamination": OP9}
