@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from paintgraph import catalogue
@@ -22,7 +24,7 @@ def duck():
 
 def rows(pdf):
     cols = sorted(pdf.columns)
-    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, float) else int(v) if hasattr(v, "item") and not isinstance(v, (bool, np.bool_)) else bool(v) if isinstance(v, np.bool_) else v
     return cols, sorted((tuple(plain(v) for v in r) for r in pdf[cols].astype(object).values.tolist()), key=repr)
 
 
