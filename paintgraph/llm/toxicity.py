@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .cnn import id_crc, sample
 from .common import slices
 
-TRAIN_DOCS, MAX_WORDS, MIN_DOCS, MIN_Z, MEMO = 12_000, 2000, 6, 4.0, 300_000
+TRAIN_DOCS, MAX_WORDS, MIN_DOCS, MIN_Z, MEMO = 12_000, 2000, 6, 3.0, 300_000
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "&": "a", "%": "x"}
 SEPARATORS = ".-_*~'`^,:/\\·"
@@ -195,9 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> Model:
     per_word = told.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
     weight = F.log(rate("bad", have[1])) - F.log(rate("good", have[0]))
-    # how far the shares of both labels' documents that hold the word are apart, in standard errors
-    pooled = (F.col("bad") + F.col("good") + 1.0) / (have[0] + have[1] + 2.0)
-    z = (rate("bad", have[1]) - rate("good", have[0])) / F.sqrt(pooled * (1 - pooled) * (1 / have[0] + 1 / have[1]))
+    z = weight / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     rows = per_word.where(F.col("bad") >= MIN_DOCS).select("word", weight.alias("w"), z.alias("z")).where((F.col("w") > 1.5) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
     # texts of one language can favour a label: a word counts fully only if it is as telling as the best ones are
     got = rows.collect()
