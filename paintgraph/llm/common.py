@@ -41,6 +41,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus: it is shuffled at every size, so the plan of a small table is that of a large one."""
+    return df.hint("merge")
+
+
 def row_key(text: str = "text") -> Column:
     """One key for all rows of the same doc_id and text; with doc_id beside it, it joins back to the rows."""
     return F.xxhash64(F.col("doc_id"), F.col(text))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, row_key, same_row, slices
+from .common import keyed, materialize, row_key, same_row, shuffled, slices
 
 #: A chunk ends after a line where (h0 + 3 h1 + 5 h2) mod MODULUS < BOUND; h: first 32 bits of a line's md5.
 MODULUS, BOUND, MIN_LINES = 97, 24, 2
@@ -61,24 +61,27 @@ def _chunks(rows: DataFrame, wanted: bool = False) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k long, i int, h long" + ", body binary" * wanted)
 
 
-def doomed(docs: DataFrame) -> DataFrame:
-    """doc_id, k, gone (numbers of the chunks to remove) of the rows that lose some."""
+def doomed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that hold recurring chunks (doc_id, k, b, wanted), and doc_id, k, gone (numbers of the chunks to remove) of those that lose some.
+
+    Whole texts are shuffled once, to meet the numbers of their recurring chunks; what follows reads only those rows.
+    """
     rows = keyed(docs.where(F.col("text").isNotNull()))
     chunks = materialize(_chunks(rows), "chunks")
     again = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    some = materialize(chunks.join(again, "h"), "candidates")
+    some = materialize(chunks.join(shuffled(again), "h"), "candidates")
     wanted = some.groupBy("doc_id", "k").agg(F.collect_set("i").alias("wanted"))
-    texts = rows.join(wanted, same_row(rows, wanted)).select(rows["doc_id"], rows["k"], "b", "wanted")
+    texts = materialize(rows.join(shuffled(wanted), same_row(rows, wanted)).select(rows["doc_id"], rows["k"], "b", "wanted"), "texts")
     bodies = materialize(_chunks(texts, wanted=True), "bodies")
     place = F.struct("doc_id", "k", "i")
     classes = bodies.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first")).select("h", "first", (F.col("low") == F.col("high")).alias("same"))
     classes = materialize(classes, "classes")
-    verdict = some.join(classes.where("same").select("h", "first"), "h").where(place != F.col("first")).select("doc_id", "k", "i")
+    verdict = some.join(shuffled(classes.where("same").select("h", "first")), "h").where(place != F.col("first")).select("doc_id", "k", "i")
     # chunks that share a hash but not their bytes: compared as they are
     apart = bodies.join(classes.where("NOT same").select("h"), "h")
     firsts = apart.groupBy("h", "body").agg(F.min(place).alias("first"))
     verdict = verdict.union(apart.join(firsts, ["h", "body"]).where(place != F.col("first")).select("doc_id", "k", "i"))
-    return materialize(verdict.groupBy("doc_id", "k").agg(F.collect_set("i").alias("gone")), "gone")
+    return texts, materialize(verdict.groupBy("doc_id", "k").agg(F.collect_set("i").alias("gone")), "gone")
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -99,9 +102,8 @@ def cut(rows: DataFrame) -> DataFrame:
 
 def changed(docs: DataFrame) -> DataFrame:
     """doc_id, k, kept and counts of the rows that lose lines; rows alike in doc_id and text come once."""
-    gone = doomed(docs)
-    rows = keyed(docs.where(F.col("text").isNotNull()))
-    hit = rows.join(gone, same_row(rows, gone)).select(rows["doc_id"], rows["k"], "b", "gone")
+    texts, gone = doomed(docs)
+    hit = texts.join(shuffled(gone), same_row(texts, gone)).select(texts["doc_id"], texts["k"], "b", "gone")
     return materialize(cut(hit), "cut").dropDuplicates(["doc_id", "k"])
 
 
@@ -109,7 +111,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     """All columns of docs with the remaining text; documents that lose their last word this way are dropped."""
     new = changed(docs).select(F.col("doc_id").alias("_pg_id"), F.col("k").alias("_pg_k"), F.col("kept").cast("string").alias("_pg_kept"))
     d = docs.withColumn("_pg_row", row_key())
-    j = d.join(new, (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left")
+    j = d.join(shuffled(new), (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left")
     j = j.where(F.col("_pg_k").isNull() | F.col("_pg_kept").rlike(r"[^\x20\x09-\x0D]"))
     return j.select(*[F.coalesce("_pg_kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
@@ -119,4 +121,4 @@ def digests(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", row_key().alias("k"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
     base = base.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     new = changed(docs).select("doc_id", "k", "n_removed", F.sha2("kept", 256).alias("part"))
-    return base.join(new, same_row(base, new), "left").select(base["doc_id"], "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("part", "whole").alias("kept_sha256"))
+    return base.join(shuffled(new), same_row(base, new), "left").select(base["doc_id"], "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("part", "whole").alias("kept_sha256"))
