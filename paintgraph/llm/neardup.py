@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fmix, materialize, slices, word_hashes
+from .common import components, fmix, materialize, shuffled, slices, word_hashes
 
 ROWS, BANDS, BLOCK = 5, 26, 1500
 T = ROWS * BANDS
@@ -157,7 +157,7 @@ def links(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, i
 def confirmed(docs: DataFrame, family: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v: spanning links inside each family, from full sets."""
     sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = family.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = family.join(shuffled(sizes), "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -167,7 +167,7 @@ def confirmed(docs: DataFrame, family: DataFrame, words: int, percent: int) -> D
             sets = pa.array([s.tobytes() for s in shingle_sets(values, words, memo)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["doc_id", "label", "blocks", "own", "s"])
 
-    sets = _rows(docs).join(members, "doc_id").select("doc_id", "label", "blocks", "own", "b").mapInArrow(to_sets, f"doc_id {kind}, label {kind}, blocks int, own int, s binary")
+    sets = _rows(docs).join(shuffled(members), "doc_id").select("doc_id", "label", "blocks", "own", "b").mapInArrow(to_sets, f"doc_id {kind}, label {kind}, blocks int, own int, s binary")
     # one item for each pair of a family's blocks; most families have one block and so one item
     item = sets.select("doc_id", "label", "own", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     item = item.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "s")
@@ -202,14 +202,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     base = materialize(sketched(docs, words), "sketched")
     filled = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = materialize(filled.groupBy("e1", "e2", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    vertex = filled.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    vertex = filled.join(shuffled(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
     banded = vertex.select("doc_id", F.posexplode("bands").alias("band", "h"))
     leaders = banded.groupBy("band", "h").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("x")).where("u <> x").select("band", "h", "u")
-    near = banded.join(leaders, ["band", "h"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
+    near = banded.join(shuffled(leaders), ["band", "h"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
     family = components(spark, near)
     linked = components(spark, confirmed(docs, family, words, percent))
-    own = base.join(reps, ["e1", "e2", "n"], "left")
-    done = own.join(linked.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    own = base.join(shuffled(reps), ["e1", "e2", "n"], "left")
+    done = own.join(shuffled(linked.select(F.col("node").alias("rep"), "label")), "rep", "left")
     done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -220,4 +220,4 @@ def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Documents without words stay. Texts aren't shuffled for it but by the join with the ids that go.
     """
     gone = materialize(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_pg_id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_pg_id"), "left_anti")
+    return docs.join(shuffled(gone), F.col("doc_id") == F.col("_pg_id"), "left_anti")
