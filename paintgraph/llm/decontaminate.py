@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, keyed, materialize, row_key, same_row, slices
+from .common import covered, keyed, materialize, row_key, same_row, shuffled, slices
 
 WINDOW = 10
 #: Bytes of benchmark text in a block, about; with the vocabulary that is what is broadcast at once.
@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     # rows of other blocks with hits are few; they join the first block's rows, one for each document
     rest = rest.groupBy("doc_id", "k").agg(F.flatten(F.collect_set("spans")).alias("more"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("others"))
     base = parts[0]
-    j = base.join(rest, same_row(base, rest), "left").select(base["doc_id"], base["k"], "n_words", F.concat("spans", F.coalesce("more", F.array().cast(SPANS))).alias("spans"), F.array_sort(F.array_union("items", F.coalesce("others", F.array().cast("array<string>")))).alias("items"), (F.col("hit") | F.col("more").isNotNull()).alias("contaminated"))
+    j = base.join(shuffled(rest), same_row(base, rest), "left").select(base["doc_id"], base["k"], "n_words", F.concat("spans", F.coalesce("more", F.array().cast(SPANS))).alias("spans"), F.array_sort(F.array_union("items", F.coalesce("others", F.array().cast("array<string>")))).alias("items"), (F.col("hit") | F.col("more").isNotNull()).alias("contaminated"))
     # spans of several blocks may overlap; n_hit counts a word once
     return j.withColumn("spans", F.array_sort("spans"))
 
@@ -152,4 +152,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns."""
     bad = materialize(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_pg_id"), F.col("k").alias("_pg_k")).distinct(), "contaminated")
     d = docs.withColumn("_pg_row", row_key())
-    return d.join(bad, (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left_anti").drop("_pg_row")
+    return d.join(shuffled(bad), (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left_anti").drop("_pg_row")
