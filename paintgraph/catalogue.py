@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import pixel_queries, zone_queries
+from .plans import pixel_queries, polygon_queries, zone_queries
 from .ship import ship
 
 
@@ -15,8 +15,8 @@ def _shipped(f):
 
 
 def queries() -> dict:
-    return {name: _shipped(f) for name, f in (zone_queries.QUERIES | pixel_queries.QUERIES).items()}
+    return {name: _shipped(f) for name, f in (zone_queries.QUERIES | pixel_queries.QUERIES | polygon_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return zone_queries.SQL | pixel_queries.SQL
+    return zone_queries.SQL | pixel_queries.SQL | polygon_queries.SQL

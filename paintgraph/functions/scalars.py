@@ -68,6 +68,25 @@ def gray(b, g, r) -> Column:
     return F.rint((114 * _c(b) + 587 * _c(g) + 299 * _c(r)) / F.lit(1000.0)).cast("long")
 
 
+#: Linear sRGB to XYZ (rows X, Y, Z; columns r, g, b), and the white point's X and Z.
+TO_XYZ = [(0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227)]
+WHITE_X, WHITE_Z = 0.950456, 1.088754
+
+
+def lab(b, g, r) -> tuple[Column, Column, Column]:
+    """CIELAB of channels 0 to 255."""
+
+    def linear(v) -> Column:
+        c = _c(v) / 255.0
+        return F.when(c > 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92)
+
+    own = [linear(v) for v in (r, g, b)]
+    x, y, z = (sum((w * c for w, c in zip(row, own, strict=True)), F.lit(0.0)) for row in TO_XYZ)
+    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    x, y, z = root(x / WHITE_X), root(y), root(z / WHITE_Z)
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
 def rgb_hex(r, g, b) -> Column:
     return F.format_string("#%02X%02X%02X", *[_c(x).cast("int") for x in (r, g, b)])
 
