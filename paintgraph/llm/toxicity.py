@@ -2,8 +2,9 @@
 
 A character language model (letter trigrams) is counted over all documents. Tokens with leetspeak, separators or
 stretched letters, and runs of single characters, become lattices of the letters that they may stand for; Viterbi
-decoding under the model picks the likeliest path, and the restored words are scored. Word weights (log odds of
-the label) come from a bounded sample: at most TRAIN_DOCS labelled rows, half of each label.
+decoding under the model picks the likeliest path, and the restored words are scored. Word weights (lower bounds of
+the log odds of the label) come from a bounded sample: at most TRAIN_DOCS labelled rows, half of each label; copies of a text in it
+count once for each label.
 
 Contract. Null and empty texts hold no words and get the score of a text without any weighted word. Repeated rows
 score alike. Texts of any length are decoded whole. Without usable labels every score is 0. Null doc_id: scored,
@@ -179,6 +180,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def telling(per_word: DataFrame, have: dict[int, int]) -> DataFrame:
+    """word, w: the words whose log odds of the label are above 1.5 at the lower end of their Wilson interval of MIN_Z deviations (w), surest first.
+
+    Each word is judged by its own counts alone, and w keeps growing with the rows where no clean row has the word.
+    """
+    n, zz = F.col("bad") + F.col("good"), MIN_Z**2
+    p = F.col("bad") / n
+    low = (p + zz / (2 * n) - MIN_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    w = F.log(low / (1 - low)) - F.log(F.lit(have[1] / have[0]))
+    return per_word.where(F.col("bad") >= MIN_DOCS).select("word", w.alias("w")).where("w > 1.5").orderBy(F.desc("w"), "word").limit(MAX_WORDS)
+
+
 def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> Model:
     """Language model from all documents; word weights and the last layer from the bounded sample."""
     decoder = Decoder([(r["code"], r["n"]) for r in trigram_counts(docs).collect()])  # 28^3 rows at most
@@ -188,19 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> Model:
         return Model(decoder, {}, None)
     from .common import materialize
 
-    told = materialize(restored_words(sample(docs, labels, "toxic", allowed, n_docs // 2), decoder, ["doc_id", "y"]), "told")
+    told = materialize(restored_words(sample(docs, labels, "toxic", allowed, n_docs // 2).dropDuplicates(["y", "text"]), decoder, ["y"]), "told")
     have = {r["y"]: r["n"] for r in told.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(have) < 2:
         return Model(decoder, {}, None)
     per_word = told.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
-    weight = F.log(rate("bad", have[1])) - F.log(rate("good", have[0]))
-    z = weight / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    rows = per_word.where(F.col("bad") >= MIN_DOCS).select("word", weight.alias("w"), z.alias("z")).where((F.col("w") > 1.5) & (F.col("z") > MIN_Z)).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
-    # texts of one language can favour a label: a word counts fully only if it is as telling as the best ones are
-    got = rows.collect()
-    best = max((r["z"] for r in got), default=0.0)
-    weights = {r["word"]: r["w"] for r in got if r["z"] >= 0.6 * best}
+    weights = {r["word"]: r["w"] for r in telling(per_word, have).collect()}
     told_x = told.select("y", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")).alias("f")).collect()  # n_docs rows of few words
     x = np.array([features([weights[w] for w in r["f"]]) for r in told_x])
     y = np.array([r["y"] for r in told_x], float)
