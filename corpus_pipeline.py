@@ -16,9 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, but for the first; n_chars follows the text."""
+    """Repeated chunks and runs of two lines or more go, but for the first; n_chars follows the text."""
     ship(spark)
-    return lines.dedup_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return lines.dedup_documents(docs, runs=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

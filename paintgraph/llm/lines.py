@@ -4,6 +4,10 @@ A rolling hash over the hashes of the last three lines ends a chunk where it fal
 follow content and survive insertions. Chunks of two lines or more that occur again anywhere are removed but for
 their first occurrence (by doc_id, then place); equality is settled by bytes, not by hashes.
 
+Chunks alone miss passages inside which no two borders fall. With `runs`, every pair of successive lines with words
+(and the blank lines between) is looked up like a chunk, so that all lines in later occurrences of repeated runs of two
+lines or more go, wherever they stand. Each line removed still stands at an earlier place.
+
 Contract. Lines are split at \\n alone. Null texts have no lines and stay null; an empty text is one empty line.
 Single lines are never removed. Repeated rows are occurrences like others: the first keeps the chunk (rows that
 agree in doc_id and text keep or lose it together). Texts of any length are handled whole. Empty table: empty
@@ -22,6 +26,8 @@ from .common import keyed, materialize, row_key, same_row, shuffled, slices
 
 #: A chunk ends after a line where (h0 + 3 h1 + 5 h2) mod MODULUS < BOUND; h: first 32 bits of a line's md5.
 MODULUS, BOUND, MIN_LINES = 97, 24, 2
+#: Pairs of lines are numbered from here on, by their first line.
+PAIRS = 1 << 30
 
 
 def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
@@ -36,8 +42,17 @@ def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def _chunks(rows: DataFrame, wanted: bool = False) -> DataFrame:
-    """doc_id, k, i, h (64-bit hash) of each chunk of MIN_LINES lines or more; with `wanted` only those whose number is in it, and their bytes."""
+def parts_of(lines: list[bytes], runs: bool) -> list[tuple[int, int, int]]:
+    """Number, start and stop of each chunk of MIN_LINES lines or more; with `runs` also of each pair of successive lines with words, from number PAIRS on."""
+    out = [(i, s, e) for i, (s, e) in enumerate(chunk_lines(lines)) if e - s >= MIN_LINES]
+    if runs:
+        at = [i for i, line in enumerate(lines) if line.strip()]  # bytes.strip() takes ASCII white space alone
+        out += [(PAIRS + a, a, b + 1) for a, b in zip(at, at[1:])]
+    return out
+
+
+def _chunks(rows: DataFrame, wanted: bool = False, runs: bool = False) -> DataFrame:
+    """doc_id, k, i, h (hash, its last bit tells pairs from chunks) of each part; with `wanted` only those whose number is in it, and their bytes."""
     import xxhash
 
     def run(batches):
@@ -47,12 +62,12 @@ def _chunks(rows: DataFrame, wanted: bool = False) -> DataFrame:
             for n, b in enumerate(values):
                 lines = b.split(b"\n")
                 own = set(picks[n]) if picks else None
-                for i, (s, e) in enumerate(chunk_lines(lines)):
-                    if e - s >= MIN_LINES and (own is None or i in own):
+                for i, s, e in parts_of(lines, runs):
+                    if own is None or i in own:
                         text = b"\n".join(lines[s:e])
                         at.append(n)
                         number.append(i)
-                        h.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                        h.append((xxhash.xxh3_64_intdigest(text) - (1 << 63)) >> 1 << 1 | (i >= PAIRS))
                         body.append(text)
             take = pa.array(at, pa.int64())
             cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(number, pa.int32()), pa.array(h, pa.int64())]
@@ -61,18 +76,18 @@ def _chunks(rows: DataFrame, wanted: bool = False) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k long, i int, h long" + ", body binary" * wanted)
 
 
-def doomed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def doomed(docs: DataFrame, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows that hold recurring chunks (doc_id, k, b, wanted), and doc_id, k, gone (numbers of the chunks to remove) of those that lose some.
 
     Whole texts are shuffled once, to meet the numbers of their recurring chunks; what follows reads only those rows.
     """
     rows = keyed(docs.where(F.col("text").isNotNull()))
-    chunks = materialize(_chunks(rows), "chunks")
+    chunks = materialize(_chunks(rows, runs=runs), "chunks")
     again = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     some = materialize(chunks.join(shuffled(again), "h"), "candidates")
     wanted = some.groupBy("doc_id", "k").agg(F.collect_set("i").alias("wanted"))
     texts = materialize(rows.join(shuffled(wanted), same_row(rows, wanted)).select(rows["doc_id"], rows["k"], "b", "wanted"), "texts")
-    bodies = materialize(_chunks(texts, wanted=True), "bodies")
+    bodies = materialize(_chunks(texts, wanted=True, runs=runs), "bodies")
     place = F.struct("doc_id", "k", "i")
     classes = bodies.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first")).select("h", "first", (F.col("low") == F.col("high")).alias("same"))
     classes = materialize(classes, "classes")
@@ -84,7 +99,7 @@ def doomed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, materialize(verdict.groupBy("doc_id", "k").agg(F.collect_set("i").alias("gone")), "gone")
 
 
-def cut(rows: DataFrame) -> DataFrame:
+def cut(rows: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id, k, b, gone to doc_id, k, kept, n_lines, n_removed, n_chunks."""
 
     def run(batches):
@@ -92,7 +107,8 @@ def cut(rows: DataFrame) -> DataFrame:
             out = []
             for b, gone in zip(values, batch.column(batch.schema.get_field_index("gone")).to_pylist(), strict=True):
                 lines, own = b.split(b"\n"), set(gone or ())
-                left = [x for i, (s, e) in enumerate(chunk_lines(lines)) if i not in own for x in lines[s:e]]
+                lost = {j for i, s, e in parts_of(lines, runs) if i in own for j in range(s, e)}
+                left = [x for j, x in enumerate(lines) if j not in lost]
                 out.append((b"\n".join(left), len(lines), len(lines) - len(left), len(own)))
             kept, lines, removed, chunks = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (lines, removed, chunks))], names=["doc_id", "k", "kept", "n_lines", "n_removed", "n_chunks"])
@@ -100,16 +116,16 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k long, kept binary, n_lines long, n_removed long, n_chunks long")
 
 
-def changed(docs: DataFrame) -> DataFrame:
+def changed(docs: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id, k, kept and counts of the rows that lose lines; rows alike in doc_id and text come once."""
-    texts, gone = doomed(docs)
+    texts, gone = doomed(docs, runs)
     hit = texts.join(shuffled(gone), same_row(texts, gone)).select(texts["doc_id"], texts["k"], "b", "gone")
-    return materialize(cut(hit), "cut").dropDuplicates(["doc_id", "k"])
+    return materialize(cut(hit, runs), "cut").dropDuplicates(["doc_id", "k"])
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, runs: bool = False) -> DataFrame:
     """All columns of docs with the remaining text; documents that lose their last word this way are dropped."""
-    new = changed(docs).select(F.col("doc_id").alias("_pg_id"), F.col("k").alias("_pg_k"), F.col("kept").cast("string").alias("_pg_kept"))
+    new = changed(docs, runs).select(F.col("doc_id").alias("_pg_id"), F.col("k").alias("_pg_k"), F.col("kept").cast("string").alias("_pg_kept"))
     d = docs.withColumn("_pg_row", row_key())
     j = d.join(shuffled(new), (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left")
     j = j.where(F.col("_pg_k").isNull() | F.col("_pg_kept").rlike(r"[^\x20\x09-\x0D]"))

@@ -27,3 +27,36 @@ def test_a_word_also_in_clean_rows_hides_no_insult_in_any_sample(spark):
         per_word = spark.createDataFrame(words, "word string, bad long, good long")
         w = {r.word: r.w for r in toxicity.telling(per_word, {1: 6000 * n, 0: 6000 * n}).collect()}
         assert "insult" in w and not {"language", "plain"} & set(w) and w["insult"] == max(w.values())
+
+
+def later_runs(texts):
+    """Plain Python: each text without its lines in later occurrences of repeated runs of lines (or chunks)."""
+    from paintgraph.llm import lines
+
+    first, out = set(), {}
+    for i, text in sorted(texts.items()):
+        own, lost = text.encode().split(b"\n"), set()
+        worded = [n for n, x in enumerate(own) if x.split()]
+        spans = [("chunk", s, e) for s, e in lines.chunk_lines(own) if e - s > 1] + [("run", a, b + 1) for a, b in zip(worded, worded[1:], strict=False)]
+        for kind, s, e in spans:
+            body = (kind, tuple(own[s:e]))
+            if body in first:
+                lost.update(range(s, e))
+            first.add(body)
+        out[i] = b"\n".join(x for n, x in enumerate(own) if n not in lost).decode()
+    return out
+
+
+def test_short_passages_inside_documents_go_whole(spark):
+    import corpus_pipeline
+
+    passages = [[prose(12) for _ in range(n)] for n in (2, 3, 5, 5, 10, 10, 20, 20)]
+    own = lambda: [prose(9) for _ in range(rng.randint(1, 5))]
+    texts = {i: "\n".join(own() + passages[i % 8] + own() + [""] * (i % 3) + passages[(3 * i + 1) % 8] + own()) for i in range(60)}
+    texts |= {100: "one line alone\n\n\n" + prose(5), 101: prose(5) + "\none line alone\n\n\n", 102: "\n".join(["again"] * 5 + ["end"]), 103: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: x for i, x in later_runs(texts).items() if x.split() or not texts[i].split()}
+    whole = "\n".join(got.values()).split("\n")
+    assert all(whole.count(line) == 1 for p in passages for line in p)
+    assert {x for t in texts.values() for x in t.split("\n")} == set(whole)
