@@ -8,7 +8,7 @@ which keeps candidate edges linear in a band; connected candidates form a family
 compared exactly (intersection counts by matrix products). Families beyond BLOCK members are compared in pairs of
 blocks, so no task holds a large family. Components of the confirmed links are the result.
 
-Bands: BANDS of ROWS coordinates; two sets at similarity 0.85 share none with probability 2.4e-7, at 0.8 1.7e-5.
+Bands: BANDS of ROWS coordinates; two sets at similarity 0.85 share none with probability 2.4e-7, at 0.8 3.3e-5.
 
 Contract. Null texts and texts without words have empty sets: linked with nothing. Fewer words than a shingle: the
 whole sequence is one shingle. Rows with the same doc_id are one node. A null doc_id can't be named: such a row is
