@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
+from ..scratch import materialize
 
 TOLERANCE, CELL = 10, 64
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def candidates(zones: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Pairs src < dst of one image whose boxes, widened by the tolerance, overlap.
 
@@ -83,16 +70,10 @@ def collisions(zones: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(zones: DataFrame, edges: DataFrame) -> DataFrame:
-    """image_id, zone_id, component (its smallest zone): contraction of edges, a written table a round."""
-    labels = zones.select("image_id", "zone_id", F.col("zone_id").alias("component"))
-    e = materialize(edges.select("image_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where("u <> v").distinct())
-    while e.limit(1).count():
-        up = materialize(e.groupBy("image_id", F.col("v").alias("x")).agg(F.min("u").alias("p")))
-        for end in ("u", "v"):
-            e = e.join(up.withColumnsRenamed({"x": end, "p": "to"}), ["image_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        e = materialize(e.select("image_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-        labels = materialize(labels.join(up.withColumnRenamed("x", "component"), ["image_id", "component"], "left").select("image_id", "zone_id", F.coalesce("p", "component").alias("component")))
-    return labels
+    """image_id, zone_id, component (its smallest zone), in a logarithmic number of rounds."""
+    linked = scratch.components(edges.select("image_id", F.col("src").alias("u"), F.col("dst").alias("v")), ["image_id"]).df
+    j = zones.select("image_id", "zone_id").join(linked.withColumnRenamed("node", "zone_id"), ["image_id", "zone_id"], "left")
+    return j.select("image_id", "zone_id", F.coalesce("label", "zone_id").alias("component"))
 
 
 def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataFrame:
