@@ -1,9 +1,10 @@
 """Substring removal with suffix automata, over words.
 
 Removes each word in a window of `length` consecutive words that also starts anywhere else. The corpus's repeated
-anchors (see repeats.py) pick the contexts that matter; each shard of them gets a suffix automaton with counts of
-occurrences, and the contexts are streamed through it: the matching statistics give the longest match that ends at
-each word, and a window recurs if its state was reached more than once.
+anchors (see repeats.py) pick the contexts that matter, one of each content with its number of occurrences; each shard
+of them gets a suffix automaton with counts of occurrences, and the contexts are streamed through it: the matching
+statistics give the longest match that ends at each word, and a window recurs if its state was reached more than once.
+Every removed word comes from such a match, those in exact copies as well.
 
 The reference shards are dealt to the tasks beside the documents that can match them instead of being broadcast
 whole, because their number grows with the corpus. A shard is about 256 KB of contexts.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import keyed, materialize, same_row
+from .common import covered, materialize, row_key, same_row
 
 LENGTH = 35
 
@@ -87,15 +88,11 @@ class Automaton:
 def resolver(length: int):
     def resolve(rows: list) -> list:
         shard, by = Automaton(), {}
-        contexts = [[by.setdefault(w, len(by)) for w in r[7].split()] for r in rows]
+        contexts = [[by.setdefault(w, len(by)) for w in r[5].split()] for r in rows]
         for words, r in zip(contexts, rows, strict=True):
-            shard.add(words, r[3])
+            shard.add(words, r[2])
         shard.close()
-        out = []
-        for words, r in zip(contexts, rows, strict=True):
-            if r[3] == 1:  # contents seen more often are removed as a whole
-                out += [(r[0], r[1], r[4] + s, r[4] + s + length) for s in shard.repeated(words, length)]
-        return out
+        return [(r[0], r[1], s, e) for words, r in zip(contexts, rows, strict=True) for s, e in covered([(i, i + length) for i in shard.repeated(words, length)])]
 
     return resolve
 
@@ -109,8 +106,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The query's result; rows that lose nothing are hashed where they are read, and only numbers are joined."""
     words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    from .common import row_key
-
     base = docs.select("doc_id", row_key().alias("k"), F.btrim(words).alias("w"))
     base = base.select("doc_id", "k", F.when(F.col("w") == "", 0).otherwise(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"), F.sha2("w", 256).alias("whole"))
     lost = materialize(repeated_spans(docs, length).select("doc_id", "k", "n_removed", "n_spans", F.sha2("kept", 256).alias("part")).dropDuplicates(["doc_id", "k"]), "lost")

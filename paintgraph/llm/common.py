@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import components, materialize  # noqa: F401
+
 #: The two word patterns of the operators (ASCII white space; letters, digits and non-ASCII).
 WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table, in the shared folder that the cluster names (a local one only if unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cuts lineage with a written table: computed once, and still there when an executor is lost."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished stages now: it does so when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffled(df: DataFrame) -> DataFrame:
     """The side of a join that grows with the corpus: it is shuffled at every size, so the plan of a small table is that of a large one."""
     return df.hint("merge")
@@ -114,23 +91,3 @@ def word_hashes(words: list[bytes], memo: dict) -> np.ndarray:
             v = memo[w] = xxhash.xxh3_64_intdigest(w)
         h[i] = v
     return h
-
-
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v): node, label (its component's smallest node).
-
-    Every round maps each node to its smallest neighbour and contracts the edges, so the edge table shrinks
-    geometrically; each round is a written table. Only counts come to the driver.
-    """
-    edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    labels = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("label")), "labels")
-    while edges.limit(1).count():
-        # u < v, so a node with smaller neighbours is a v; the smallest of a component never moves
-        par = edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("p"))
-        up = par.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        par = materialize(par.join(up, "p", "left").select("x", F.coalesce("pp", "p").alias("p")), "parents")
-        pu, pv = par.select(F.col("x").alias("u"), F.col("p").alias("pu")), par.select(F.col("x").alias("v"), F.col("p").alias("pv"))
-        edges = edges.join(pu, "u", "left").join(pv, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-        edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-        labels = materialize(labels.join(par.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
-    return labels

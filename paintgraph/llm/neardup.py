@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     banded = vertex.select("doc_id", F.posexplode("bands").alias("band", "h"))
     leaders = banded.groupBy("band", "h").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("x")).where("u <> x").select("band", "h", "u")
     near = banded.join(shuffled(leaders), ["band", "h"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
-    family = components(spark, near)
-    linked = components(spark, confirmed(docs, family, words, percent))
+    family = components(near).df
+    linked = components(confirmed(docs, family, words, percent)).df
     own = base.join(shuffled(reps), ["e1", "e2", "n"], "left")
     done = own.join(shuffled(linked.select(F.col("node").alias("rep"), "label")), "rep", "left")
     done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))

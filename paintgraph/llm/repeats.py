@@ -2,12 +2,18 @@
 
 A window is `length` elements (bytes or words) of one document. Each window's anchor is the k-gram of least hash in
 it, so equal windows have equal anchors at the same place. Consecutive windows with one anchor are a segment; a few
-numbers stand for it. Anchors seen once can't belong to a repeated window. Among the others, segments of equal
-content are counted by aggregation (partial sums first, so thousands of copies cost one row a task), and all their
-windows are repeated. Only anchors with different contents around them need a closer look: one representative of
-each content goes to a resolver (suffix arrays or suffix automata), which finds the repeated windows exactly. An
-anchor with more than MOST contents is resolved by distributed counts of window hashes instead, so that no task
-gathers an unbounded group.
+numbers stand for it. Anchors seen once can't belong to a repeated window. Segments of one anchor and equal content
+are a class with a weight (partial sums first, so thousands of copies cost one row a task), and one representative
+context of each class goes to a resolver (suffix arrays or suffix automata) with that weight. The resolver alone says
+which windows recur; its spans go back to all segments of the class.
+
+A resolver takes at most MOST contexts of a key. Keys with more are split by longer keys: windows that reach far to
+the left of the key take the elements before it into the key, the others those after it. Equal windows stay together,
+contexts that now agree become one class, and after log2(length) splits a key is a whole window, so every group gets
+small enough, whatever the number of contexts.
+
+Contents of one anchor are told apart by 64-bit hashes: two of m different ones collide with odds of about m^2 / 2^65.
+Anchors whose hashes collide do no harm, for resolvers compare elements.
 """
 
 from __future__ import annotations
@@ -20,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, fmix, keyed, materialize, release, same_row, slices
+from ..scratch import Table
+from .common import covered, fmix, keyed, same_row, shuffled, slices
 
-#: Contents of one anchor that a resolver takes at most.
-MOST = 2000
-SEGMENT = "struct<a:bigint,c:bigint,s1:int,s2:int,p:int,n:bigint,pick:boolean,many:boolean,hot:boolean>"
+#: Contexts of one key that a resolver takes at most.
+MOST = 500
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -135,63 +141,66 @@ def segments(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, a long, c long, s1 int, s2 int, p int")
 
 
-def flagged(rows: DataFrame, kind: Kind) -> DataFrame:
-    """The texts (doc_id, k, b, one for each row of the input) that hold repeated anchors, with those segments."""
-    segs = materialize(segments(rows, kind), "segments")
-    seen = segs.groupBy("a").agg(F.count(F.lit(1)).alias("t"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("t > 1").select("a", (F.col("c1") != F.col("c2")).alias("many"))
-    seen = materialize(seen, "seen")  # read from a table, a join with a hot anchor can be split
-    some = materialize(segs.join(seen, "a"), "repeated")
-    release(rows.sparkSession)
-    # min of a struct picks one representative place for each content
-    classes = some.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s1")).alias("first"))
-    crowded = some.where("many").groupBy("a", "c").agg(F.count(F.lit(1)).alias("x")).groupBy("a").agg(F.count(F.lit(1)).alias("x")).where(F.col("x") > MOST).select("a", F.lit(True).alias("hot"))
-    some = some.join(materialize(classes.join(crowded, "a", "left"), "classes"), ["a", "c"])
-    pick = F.col("many") & (F.col("first.k") == F.col("k")) & (F.col("first.s1") == F.col("s1"))
-    by_text = some.groupBy("doc_id", "k").agg(F.collect_set(F.struct("a", "c", "s1", "s2", "p", "n", pick.alias("pick"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
-    r = rows.join(by_text, same_row(rows, by_text)).select(rows["doc_id"], rows["k"], "b", "segs")
-    r = materialize(r, "flagged")
-    release(rows.sparkSession)
-    return r
+def _batch(rows: list, types: list, names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
 
-def _contexts(texts: DataFrame, kind: Kind) -> DataFrame:
-    """For each picked segment: its elements, packed, and where its anchor stands; a row for each content."""
+def contexts(rows: DataFrame, picks: DataFrame, kind: Kind) -> DataFrame:
+    """a, c, n, off, size, ctx: of each class one context (elements, packed), where its key begins and how long it is."""
+    by_text = picks.groupBy("doc_id", "k").agg(F.collect_list(F.struct("a", "c", "n", "s1", "s2", "p")).alias("segs"))
+    once = rows.join(shuffled(by_text), same_row(rows, by_text)).select(rows["k"], "b", "segs")
 
     def run(batches):
         for batch, values in slices(batches, "b", 2 << 20):
-            ids, keys, segs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(batch.schema.get_field_index("segs")).to_pylist()
-            rows = []
-            for i, k, b, own in zip(ids, keys, values, segs, strict=True):
+            out = []
+            for b, own in zip(values, batch.column(batch.schema.get_field_index("segs")).to_pylist(), strict=True):
                 parts = kind.split(b)
-                rows += [(i, k, s["a"], s["n"], s["s1"], s["s2"], s["p"], s["hot"], kind.pack(parts[s["s1"] : s["s2"] + kind.length])) for s in own]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["doc_id", "k", "a", "n", "s1", "s2", "p", "hot", "ctx"])
+                out += [(s["a"], s["c"], s["n"], s["p"] - s["s1"], kind.k, kind.pack(parts[s["s1"] : s["s2"] + kind.length])) for s in own]
+            yield _batch(out, [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()], ["a", "c", "n", "off", "size", "ctx"])
+
+    # rows repeated with doc_id and text give one context each; one of them stays
+    return once.mapInArrow(run, "a long, c long, n long, off int, size int, ctx binary").dropDuplicates(["a", "c"])
+
 
-    picked = texts.select("doc_id", "k", "b", F.filter("segs", lambda s: s["pick"]).alias("segs")).where(F.size("segs") > 0)
-    return picked.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, k long, a long, n long, s1 int, s2 int, p int, hot boolean, ctx binary")
+def halves(work: DataFrame, kind: Kind) -> DataFrame:
+    """Contexts under longer keys: a, c, shift, a2, c2, n, off, size, ctx; a context gives one row or two.
 
+    The windows that begin `left` elements or more before the key hold those elements too; the others hold the
+    elements that follow it.
+    """
+    import xxhash
 
-def resolved(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
-    """doc_id, k, start, stop: spans of elements in windows repeated elsewhere, of contents seen once."""
-    ctx = materialize(_contexts(texts, kind), "contexts")
-    name = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, k long, start int, stop int"
+    def run(batches):
+        for batch, values in slices(batches, "ctx", 1 << 20):
+            col = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            out = []
+            for a, c, n, off, size, ctx in zip(col("a"), col("c"), col("n"), col("off"), col("size"), values, strict=True):
+                parts = kind.split(ctx)
+                last, spare = len(parts) - kind.length, kind.length - size
+                left = (spare + 1) // 2
+                ways = [(0, min(off - left, last), off - left, size + left), (max(0, off - left + 1), last, off, size + spare - left + 1)]
+                for side, (first, end, at, new) in enumerate(ways):
+                    if first <= end:
+                        part = kind.pack(parts[first : end + kind.length])
+                        key = xxhash.xxh3_64_intdigest(kind.pack(parts[at : at + new]), (a * 2 + side) & (2**64 - 1))
+                        content = xxhash.xxh3_64_intdigest(part, at - first)
+                        out.append((a, c, first, key - (1 << 63), content - (1 << 63), n, at - first, new, part))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["a", "c", "shift", "a2", "c2", "n", "off", "size", "ctx"])
+
+    return work.mapInArrow(run, "a long, c long, shift int, a2 long, c2 long, n long, off int, size int, ctx binary")
+
+
+def _resolve(work: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
+    """a, c, start, stop: spans of elements of the contexts, from whole groups of a key; a task holds a shard of them."""
 
     def groups(batches):
-        """Whole groups of one anchor, as they come sorted; `resolve` takes several at once."""
         held: list = []
         size = 0
-
-        def close():
-            out = resolve(held)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["doc_id", "k", "start", "stop"])
-
-        types = None
+        close = lambda: _batch(resolve(held), [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["a", "c", "start", "stop"])
         for batch in batches:
-            types = types or [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32()]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > kind.shard and row[2] != held[-1][2]:
+                if size > kind.shard and row[0] != held[-1][0]:
                     yield close()
                     held, size = [], 0
                 held.append(row)
@@ -199,33 +208,59 @@ def resolved(texts: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
         if held:
             yield close()
 
-    cols = ["doc_id", "k", "a", "n", "s1", "s2", "p", "ctx"]
-    usual = ctx.where("NOT hot").select(*cols).repartition("a").sortWithinPartitions("a", "k", "s1").mapInArrow(groups, name)
-
-    def windows(batches):
-        memo: dict = {}
-        for batch, values in slices(batches, "ctx", 1 << 20):
-            for i in range(len(values)):
-                parts = kind.split(values[i])
-                r, at = Rolling(kind.values([parts], memo)), np.arange(len(parts) - kind.length + 1)
-                one = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(one) for j in (0, 1, 2, 3)), pa.array((at + batch.column(4)[i].as_py()).astype(np.int32)), pa.array(r.of(at, at + kind.length).view(np.int64))], names=["doc_id", "k", "a", "n", "start", "h"])
-
-    kind_of_id = texts.schema["doc_id"].dataType.simpleString()
-    each = ctx.where("hot").select(*cols).mapInArrow(windows, f"doc_id {kind_of_id}, k long, a long, n long, start int, h long")
-    again = each.groupBy("a", "h").agg(F.sum("n").alias("t")).where("t > 1").select("a", "h")
-    hot = each.where("n = 1").join(again, ["a", "h"]).select("doc_id", "k", "start", (F.col("start") + kind.length).cast("int").alias("stop"))
-    return usual.union(hot)
+    cols = ["a", "c", "n", "off", "size", "ctx"]
+    return work.select(*cols).repartition("a").sortWithinPartitions("a", "c").mapInArrow(groups, "a long, c long, start int, stop int")
+
+
+def resolved(first: Table, kind: Kind, resolve: Callable) -> Table:
+    """a, c, start, stop for the contexts of `first`, which is freed."""
+    levels, done, work = [], [], first
+    while True:
+        crowded = Table(work.df.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST).select("a"), "crowded")
+        some = crowded.df.limit(1).count()
+        usual = work.df.join(crowded.df, "a", "left_anti") if some else work.df
+        done.append(Table(_resolve(usual, kind, resolve), "spans"))
+        if not some:
+            break
+        subs = Table(halves(work.df.join(crowded.df, "a", "left_semi"), kind), "halves")
+        again = subs.df.groupBy(F.col("a2").alias("a"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), *[F.first(x).alias(x) for x in ("off", "size", "ctx")])
+        work.free()
+        crowded.free()
+        work = Table(again, "contexts")
+        levels.append(Table(subs.df.select("a", "c", "shift", "a2", "c2"), "levels"))
+        subs.free()
+    work.free()
+    crowded.free()
+    below = done.pop()
+    for level in reversed(levels):  # spans of the longer keys belong to the contexts that they were cut from
+        deep = below.df.withColumnsRenamed({"a": "a2", "c": "c2"})
+        own = done.pop()
+        up = level.df.join(shuffled(deep), ["a2", "c2"]).select("a", "c", (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"))
+        new = Table(own.df.union(up), "spans")
+        for t in (below, level, own):
+            t.free()
+        below = new
+    return below
 
 
 def spans(docs: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
-    """doc_id, k, b, spans (element ranges, maximal runs) of the rows with repeated windows."""
-    texts = flagged(keyed(docs), kind)
-    more = resolved(texts, kind, resolve).groupBy("doc_id", "k").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
-    sure = F.transform(F.filter("segs", lambda s: s["n"] > 1), lambda s: F.struct(s["s1"].alias("start"), (s["s2"] + kind.length).alias("stop")))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    both = texts.join(more, same_row(texts, more), "left").select(texts["doc_id"], texts["k"], "b", F.concat(sure, F.coalesce("more", none)).alias("spans"))
-    return both.where(F.size("spans") > 0)
+    """doc_id, k, b, spans (element ranges) of the rows with repeated windows."""
+    rows = keyed(docs)
+    segs = Table(segments(rows, kind), "segments")
+    seen = segs.df.groupBy("a").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("a")
+    some = Table(segs.df.join(shuffled(seen), "a"), "repeated")
+    segs.free()
+    # min of a struct picks one representative place for each content
+    classes = some.df.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s1", "s2", "p", "doc_id")).alias("at"))
+    ctx = Table(contexts(rows, classes.select("a", "c", "n", "at.*"), kind), "contexts")
+    found = resolved(ctx, kind, resolve)
+    runs = found.df.groupBy("a", "c").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    place = F.transform("runs", lambda r: F.struct((r["start"] + F.col("s1")).alias("start"), (r["stop"] + F.col("s1")).alias("stop")))
+    own = some.df.join(shuffled(runs), ["a", "c"]).select("doc_id", "k", place.alias("runs"))
+    own = Table(own.groupBy("doc_id", "k").agg(F.flatten(F.collect_set("runs")).alias("spans")), "runs")
+    some.free()
+    found.free()
+    return rows.join(shuffled(own.df), same_row(rows, own.df)).select(rows["doc_id"], rows["k"], "b", "spans")
 
 
 def cut(found: DataFrame, kind: Kind, glue: bytes) -> DataFrame:

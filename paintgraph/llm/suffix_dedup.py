@@ -1,8 +1,8 @@
 """Substring removal with suffix arrays, sorted deep-shallow.
 
 Removes each byte that lies in a `length`-byte string which also starts anywhere else. The corpus's repeated anchors
-(see repeats.py) give the suffixes to sort: for each representative context the suffix from its anchor, and the
-reversed text before it. Multikey quicksort orders them to a shallow depth; groups with a longer common prefix go
+(see repeats.py) give the suffixes to sort: for each representative context the suffix from its key, and the
+reversed text before it. Contexts that occur more than once stand beside themselves in the order. Multikey quicksort orders them to a shallow depth; groups with a longer common prefix go
 to blind tries, which look at the characters that tell suffixes apart and compare text once an insertion. Longest
 common prefixes of neighbours then tell which windows around the anchor recur.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import same_row, keyed, materialize
+from .common import covered, keyed, materialize, same_row
 
 LENGTH, SHALLOW = 400, 32
 
@@ -109,10 +109,12 @@ def suffix_order(texts: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
-def resolve_group(members: list[tuple[bytes, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """For contexts (text before the anchor reversed, text from the anchor): the ranges of window offsets that recur.
+def resolve_group(members: list[tuple[bytes, bytes]], length: int, copies: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For contexts (text before the key reversed, text from the key on): the ranges of window offsets that recur.
 
-    A window that starts o before the anchor recurs if another context agrees on o bytes before it and length - o
+    A context that occurs more than once is its own neighbour in both orders, and agrees with itself on all of it.
+
+    A window that starts o before the key recurs if another context agrees on o bytes before it and length - o
     from it. Contexts are united from the longest common left part down; an insertion looks only at its two
     neighbours in the order of right parts, for any other agrees on no more.
     """
@@ -125,8 +127,12 @@ def resolve_group(members: list[tuple[bytes, bytes]], length: int) -> list[list[
             for x in (i, j):
                 ranges[x].append((max(0, length - right), left))
 
-    if m == 2:
-        note(0, 1, lcp(members[0][0], members[1][0]))
+    for i, n in enumerate(copies or ()):
+        if n > 1:
+            note(i, i, len(members[i][0]))
+    if m < 3:
+        if m == 2:
+            note(0, 1, lcp(members[0][0], members[1][0]))
         return ranges
     rank = [0] * m
     for r, i in enumerate(suffix_order([right for _, right in members])):
@@ -161,14 +167,12 @@ def resolver(length: int):
         out, i = [], 0
         while i < len(rows):
             j = i
-            while j < len(rows) and rows[j][2] == rows[i][2]:
+            while j < len(rows) and rows[j][0] == rows[i][0]:
                 j += 1
             own = rows[i:j]
-            if len(own) > 1:
-                members = [(r[7][: r[6] - r[4]][::-1], r[7][r[6] - r[4] :]) for r in own]
-                for r, found in zip(own, resolve_group(members, length), strict=True):
-                    if r[3] == 1:  # contents seen more often are removed as a whole
-                        out += [(r[0], r[1], r[6] - high, r[6] - low + length) for low, high in found]
+            members = [(r[5][: r[3]][::-1], r[5][r[3] :]) for r in own]
+            for r, found in zip(own, resolve_group(members, length, [r[2] for r in own]), strict=True):
+                out += [(r[0], r[1], s, e) for s, e in covered([(r[3] - high, r[3] - low + length) for low, high in found])]
             i = j
         return out
 
