@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import pixel_queries, polygon_queries, zone_queries
+from .plans import pixel_queries, polygon_queries, record_queries, shape_queries, zone_queries
 from .ship import ship
 
+_PARTS = (zone_queries, pixel_queries, polygon_queries, shape_queries, record_queries)
+
 
 def _shipped(f):
     def run(spark, sf_dir):
@@ -15,8 +17,8 @@ def _shipped(f):
 
 
 def queries() -> dict:
-    return {name: _shipped(f) for name, f in (zone_queries.QUERIES | pixel_queries.QUERIES | polygon_queries.QUERIES).items()}
+    return {name: _shipped(f) for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return zone_queries.SQL | pixel_queries.SQL | polygon_queries.SQL
+    return {name: text for part in _PARTS for name, text in part.SQL.items()}

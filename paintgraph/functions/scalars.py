@@ -45,22 +45,26 @@ def color_limits(w, h, detail, legacy_area=None) -> dict[str, Column]:
     return {"min_area_px": F.greatest(F.lit(MIN_AREA_FLOOR), F.coalesce(_c(legacy_area), area) if legacy_area is not None else area).cast("long"), "max_zones": whole(interpolate(*MAX_ZONES, detail))}
 
 
-def line_params(w, h, detail) -> dict[str, Column]:
-    """Parameters of line-art segmentation from size and detail."""
-    area = _c(w) * _c(h)
-    minimum = F.greatest(F.lit(20), whole(area * interpolate(*LINE_MIN_AREA_RATIO, detail))).cast("long")
+def line_params(w, h, detail, min_area=None) -> dict[str, Column]:
+    """Parameters of line-art segmentation from size and detail; a wanted minimum area (not 0) goes before the derived one."""
+    area, own = _c(w) * _c(h), whole(_c(w) * _c(h) * interpolate(*LINE_MIN_AREA_RATIO, detail))
+    minimum = F.greatest(F.lit(20), own if min_area is None else F.coalesce(F.nullif(_c(min_area), F.lit(0)), own)).cast("long")
     return {
+        "detail_level": F.greatest(F.lit(0.0), F.least(_c(detail), F.lit(1.0))),
         "min_area_px": minimum,
         "component_min_area_px": F.greatest(F.lit(30), whole(minimum * 0.06)).cast("long"),
+        "close_kernel": odd(F.rint(interpolate(*LINE_KERNEL, detail)).cast("int")).cast("long"),
+        "adaptive_block_size": odd(F.lit(BLOCK_SIZE)).cast("long"),
+        "adaptive_c": F.lit(BLOCK_C).cast("long"),
+        "epsilon_ratio": interpolate(*LINE_EPSILON, detail),
         "max_area_px": area * F.lit(MAX_AREA_RATIO),
-        "block_size": F.lit(BLOCK_SIZE),
-        "block_c": F.lit(BLOCK_C),
-        "max_segments": F.lit(MAX_SEGMENTS),
-        "kernel": odd(F.rint(interpolate(*LINE_KERNEL, detail)).cast("int")).cast("long"),
-        "epsilon": F.round(interpolate(*LINE_EPSILON, detail), 6),
-        "large_factor": F.round(interpolate(*LARGE_FACTOR, detail), 6),
-        "target_factor": F.round(interpolate(*TARGET_FACTOR, detail), 6),
-        "compactness": F.round(interpolate(*COMPACTNESS, detail), 6),
+        "slic_large_zone_multiplier": interpolate(*LARGE_FACTOR, detail),
+        "slic_target_area_multiplier": interpolate(*TARGET_FACTOR, detail),
+        "slic_compactness": interpolate(*COMPACTNESS, detail),
+        "slic_max_segments_per_zone": F.lit(MAX_SEGMENTS).cast("long"),
+        "subdivision_strategy": F.lit("curved"),
+        "merge_small_slic_fragments": F.lit(True),
+        "small_fragment_max_iterations_multiplier": F.lit(3).cast("long"),
     }
 
 
@@ -87,6 +91,13 @@ def lab(b, g, r) -> tuple[Column, Column, Column]:
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
+def lab8(b, g, r) -> tuple[Column, Column, Column]:
+    """CIELAB in 8-bit planes: lightness over 255, a and b around 128."""
+    light, a, b = lab(b, g, r)
+    clip = lambda v: F.greatest(F.lit(0), F.least(whole(F.round(v, 6)), F.lit(255)))
+    return clip(light * 255 / 100), clip(a + 128), clip(b + 128)
+
+
 def rgb_hex(r, g, b) -> Column:
     return F.format_string("#%02X%02X%02X", *[_c(x).cast("int") for x in (r, g, b)])
 
@@ -123,6 +134,23 @@ def paint_number(number, zone_id) -> Column:
     return F.coalesce(F.nullif(_c(number).cast("string"), F.lit("")), _c(zone_id).cast("string"))
 
 
+def zone_key(own, feature_id, place) -> Column:
+    """A zone's id: its own, else the feature's, else its place (from 0) plus 1."""
+    return F.coalesce(_c(own).cast("string"), _c(feature_id).cast("string"), (_c(place) + 1).cast("string"))
+
+
+def sort_key(text) -> Column:
+    """Keys of digits sort as numbers, before the others, which sort as text."""
+    t = _c(text).cast("string")
+    digits = t.rlike("^[0-9]+$")
+    return F.struct((~digits).alias("other"), F.when(digits, t.cast("decimal(38,0)")).alias("number"), t.alias("text"))
+
+
+def iso_time(at) -> Column:
+    """UTC time as ISO 8601 text of fixed width, so that texts sort like times (the session's time zone is UTC)."""
+    return F.date_format(_c(at), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def label_font(area, w, h) -> Column:
     return F.greatest(F.lit(5.0), F.least(F.lit(28.0), F.sqrt(_c(area)) * 0.28, _c(w) * 0.55, _c(h) * 0.55))
 
@@ -151,6 +179,12 @@ def svg_path(ring) -> Column:
     return F.when(F.size(r) == 0, "").otherwise(F.concat(F.lit("M "), F.substring(F.array_join(F.transform(r, step), " "), 3, 1 << 30), F.lit(" Z")))
 
 
+def deduped(ring) -> Column:
+    """A ring without corners that equal the one before."""
+    r = _c(ring)
+    return F.filter(r, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(r, i - 1)))
+
+
 def shoelace(ring) -> Column:
     """Twice the signed area of a ring that isn't closed."""
     r = _c(ring)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import scalars as S
-from ..scratch import materialize
+from . import polygons
 
 TOLERANCE, CELL = 10, 64
 
@@ -52,6 +52,12 @@ def adjacency(zones: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     return near.select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"))
 
 
+def ring_adjacency(zones: DataFrame, tolerance: int = TOLERANCE, ring: str = "polygon") -> DataFrame:
+    """image_id, src, dst of general rings: boxes meet by grid cells, then the distance of the boundaries decides."""
+    near = candidates(zones, tolerance).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col(f"a.{ring}").alias("p"), F.col(f"b.{ring}").alias("q"))
+    return near.where(polygons.boundary_distance("p", "q") <= tolerance).select("image_id", "src", "dst")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("image_id", F.col("src").alias("zone_id"), F.col("dst").alias("other")).union(edges.select("image_id", F.col("dst"), F.col("src")))
 
@@ -76,6 +82,42 @@ def components(zones: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("image_id", "zone_id", F.coalesce("label", "zone_id").alias("component"))
 
 
+def graph_metrics(zones: DataFrame, edges: DataFrame) -> DataFrame:
+    """image_id, edges, isolated zones, components and the largest one's size: one row for each image."""
+    d = degrees(zones, edges).groupBy("image_id").agg((F.sum("degree") / 2).cast("long").alias("edges"), F.count_if(F.col("degree") == 0).alias("isolated"))
+    sizes = components(zones, edges).groupBy("image_id", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("image_id").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
+    return d.join(sizes, "image_id")
+
+
+def _nearest(alone: DataFrame, big: DataFrame) -> DataFrame:
+    """image_id, zone_id, near_num: the nearest large zone (then the larger, then the smaller id) of each zone of `alone`.
+
+    Zones meet by grid cells as wide as the distance looked at, which grows fourfold each round for those that have
+    found nothing, so that no zone is held against all others of a crowded image.
+    """
+    ends = big.agg(F.max(F.greatest(F.col("x0") + F.col("w"), F.col("y0") + F.col("h"))).alias("hi"), F.min(F.least("x0", "y0")).alias("lo")).first()
+    own = alone.agg(F.max(F.greatest(F.col("x0") + F.col("w"), F.col("y0") + F.col("h"))).alias("hi"), F.min(F.least("x0", "y0")).alias("lo")).first()
+    reach, found = CELL, None
+    most = 0 if ends["hi"] is None or own["hi"] is None else max(ends["hi"], own["hi"]) - min(ends["lo"], own["lo"])
+    gx, gy = box_gap("x0", "w"), box_gap("y0", "h")
+    left = scratch.Table(alone, "alone").df
+    while most and left.limit(1).count():
+        cell = lambda lo, size, more, r=reach: F.explode(F.sequence(F.floor((F.col(lo) - more) / r), F.floor((F.col(lo) + F.col(size) + more) / r)))
+        a = left.withColumn("cx", cell("x0", "w", reach)).withColumn("cy", cell("y0", "h", reach)).alias("a")
+        b = big.withColumn("cx", cell("x0", "w", 0)).withColumn("cy", cell("y0", "h", 0)).alias("b")
+        c = F.col
+        apart = F.when(inset() > 0, F.lit(0)).otherwise(gx * gx + gy * gy)
+        j = a.join(b, (c("a.image_id") == c("b.image_id")) & (c("a.cx") == c("b.cx")) & (c("a.cy") == c("b.cy")) & (apart <= reach * reach))
+        best = j.groupBy(c("a.image_id").alias("image_id"), c("a.zone_id").alias("zone_id")).agg(F.min_by("b.num", F.struct(apart, -c("b.area_px"), c("b.zone_id"))).alias("near_num"))
+        best = scratch.Table(best, "nearest").df
+        found = best if found is None else found.union(best)
+        if reach > most:
+            break
+        reach *= 4
+        left = scratch.Table(left.join(best, ["image_id", "zone_id"], "left_anti"), "alone").df
+    return found if found is not None else alone.select("image_id", "zone_id", F.col("num").alias("near_num")).limit(0)
+
+
 def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataFrame:
     """Zones too small for a label take the number of a labelled neighbour, the largest; without one, of the nearest
     labelled zone of the image (then the larger, then the smaller id). image_id, zone_id, num, suppressed, method."""
@@ -83,16 +125,19 @@ def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataF
     big = z.where("NOT small").select("image_id", F.col("zone_id").alias("other"), "area_px", "num")
     by_edge = both_ways(edges).join(big, ["image_id", "other"]).groupBy("image_id", "zone_id").agg(F.max_by("num", F.struct("area_px", -F.col("other"))).alias("edge_num"))
     base = z.join(by_edge, ["image_id", "zone_id"], "left")
-    alone = base.where("small AND edge_num IS NULL").alias("a")
-    gx, gy = box_gap("x0", "w"), box_gap("y0", "h")
-    nested = inset()
-    distance = F.when(nested > 0, F.lit(0)).otherwise(gx * gx + gy * gy)
-    near = alone.join(z.where("NOT small").alias("b"), F.col("a.image_id") == F.col("b.image_id")).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.zone_id").alias("zone_id")).agg(F.min_by("b.num", F.struct(distance, -F.col("b.area_px"), F.col("b.zone_id"))).alias("near_num"))
+    boxes = ["image_id", "zone_id", "x0", "y0", "w", "h", "area_px", "num"]
+    near = _nearest(base.where("small AND edge_num IS NULL").select(*boxes), z.where("NOT small").select(*boxes))
     j = base.join(near, ["image_id", "zone_id"], "left")
     method = F.when(~F.col("small"), "own").when(F.col("edge_num").isNotNull(), "neighbour").when(F.col("near_num").isNotNull(), "nearest").otherwise("none")
     return j.select("image_id", "zone_id", F.when(F.col("small"), F.coalesce("edge_num", "near_num", "num")).otherwise(F.col("num")).alias("num"), F.col("small").alias("suppressed"), method.alias("method"))
 
 
+def label_metrics(zones: DataFrame, inherited: DataFrame) -> DataFrame:
+    """image_id, suppressed labels, how many of them took another number, visible ones."""
+    j = inherited.join(zones.select("image_id", "zone_id", F.col("num").alias("was")), ["image_id", "zone_id"])
+    return j.groupBy("image_id").agg(F.count_if("suppressed").alias("suppressed_labels"), F.count_if(F.col("suppressed") & (F.col("num") != F.col("was"))).alias("inherited_labels"), F.count_if(~F.col("suppressed")).alias("visible_labels"))
+
+
 def assign_numbers(zones: DataFrame, edges: DataFrame, n: int, passes: int = 4) -> DataFrame:
     """image_id, zone_id, num: saturation-first colouring of each image's graph, then passes that move colliding zones.
 

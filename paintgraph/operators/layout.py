@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import polygons, shapes
 
 #: Points of a page, margins, rows and swatches of the legend.
 PAGES = {"A4": (595.2755905511812, 841.8897637795277), "Letter": (612.0, 792.0)}
@@ -31,23 +32,58 @@ def shrunk_font(font, text, clearance) -> tuple[Column, Column]:
 
 def placements(zones: DataFrame) -> DataFrame:
     """Labels of boxes that aren't too small: the centre has the largest clearance, half the shorter side."""
-    font = S.label_font("area_px", "w", "h")
-    clearance = F.least("w", "h") / 2
-    z = zones.withColumns({"text": F.col("num").cast("string"), "font": font, "clearance": clearance})
-    z = z.withColumn("required", S.label_radius("text", "font"))
-    shrunk, step = shrunk_font("font", "text", "clearance")
-    method = F.when(step == 0, "representative_point").when(step > 0, "pole_of_inaccessibility_reduced_font").otherwise("pole_of_inaccessibility_tight")
-    return z.select("image_id", "zone_id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"), F.round(shrunk, 6).alias("font_size"), method.alias("method"), F.round("clearance", 3).alias("clearance_px"), F.round(S.label_radius("text", shrunk), 3).alias("required_radius_px"))
+    half = F.least("w", "h") / 2
+    return labelled(zones.withColumns({"_x": F.col("x0") + F.col("w") / 2, "_y": F.col("y0") + F.col("h") / 2, "_own": half, "_px": F.col("x0") + F.col("w") / 2, "_py": F.col("y0") + F.col("h") / 2, "_pole": half}))
+
+
+def ring_placements(zones: DataFrame, ring: str = "polygon") -> DataFrame:
+    """Labels of general rings: at the interior point if the text fits there, else at the pole of inaccessibility."""
+    p = shapes.interior_point(ring)
+    z = zones.withColumn("_p", p).withColumns({"_x": F.col("_p.x"), "_y": F.col("_p.y")})
+    z = shapes.with_pole(z.withColumn("_own", polygons.clearance(ring, F.col("_x"), F.col("_y"))), ring, "_pl")
+    return labelled(z.withColumns({"_px": F.col("_pl.x"), "_py": F.col("_pl.y"), "_pole": F.col("_pl.d")}))
+
+
+def labelled(z: DataFrame) -> DataFrame:
+    """The cascade of places: the first point (_x, _y, clearance _own), then the pole (_px, _py, _pole) with the whole
+    font, then with smaller ones, and at last the smallest font, too tight."""
+    z = z.withColumns({"_text": F.col("num").cast("string"), "_font": S.label_font("area_px", "w", "h")})
+    z = z.withColumn("_need", S.label_radius("_text", "_font"))
+    shrunk, step = shrunk_font("_font", "_text", "_pole")
+    first = F.col("_own") >= F.col("_need")
+    method = F.when(first, "representative_point").when(step == 0, "pole_of_inaccessibility").when(step > 0, "pole_of_inaccessibility_reduced_font").otherwise("pole_of_inaccessibility_tight")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    font = F.when(first, F.col("_font")).otherwise(shrunk)
+    return z.select("image_id", "zone_id", pick("_x", "_px").alias("x"), pick("_y", "_py").alias("y"), F.round(font, 6).alias("font_size"), method.alias("method"), F.round(pick("_own", "_pole"), 3).alias("clearance_px"), F.round(S.label_radius("_text", font), 3).alias("required_radius_px"))
 
 
 def placement_metrics(placed: DataFrame) -> DataFrame:
-    is_ = lambda m: F.count_if(F.col("method") == m)
+    """One row an image: how labels were placed, and the least clearance, alone and against the radius it should have."""
+    pole = F.col("method").startswith("pole_of_inaccessibility")
+    none = F.lit(0.0)
     return placed.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("labels"), is_("representative_point").alias("representative"), is_("pole_of_inaccessibility_reduced_font").alias("reduced"), is_("pole_of_inaccessibility_tight").alias("tight"),
-        F.coalesce(F.round(F.min("clearance_px"), 3), F.lit(0.0)).alias("min_clearance"), F.coalesce(F.round(F.min("font_size"), 3), F.lit(0.0)).alias("min_font"),
+        F.count(F.lit(1)).alias("placement_count"), F.count_if(~pole).alias("representative_point_count"), F.count_if(pole).alias("pole_of_inaccessibility_count"),
+        F.count_if(F.col("method") == "pole_of_inaccessibility_reduced_font").alias("reduced_font_count"), F.count_if(F.col("clearance_px") + 0.001 < F.col("required_radius_px")).alias("tight_label_count"),
+        F.coalesce(F.round(F.min("clearance_px"), 3), none).alias("min_clearance_px"), F.coalesce(F.round(F.min(F.when(F.col("required_radius_px") > 0, F.col("clearance_px") / F.col("required_radius_px"))), 3), none).alias("min_clearance_ratio"),
     )
 
 
+#: The drawing page's largest font, the share of a box that a number may fill, the width of a bold digit of size 1, the drop of a centred text.
+PAGE_FONT, FILL, DIGIT_WIDTH, DROP = 18.0, 0.85, 0.556, 0.32
+
+
+def drawing_labels(zones: DataFrame, placed: DataFrame, image_w: int, image_h: int, page_w: float, page_h: float) -> DataFrame:
+    """Numbers on the drawing page: place of the text's middle and its font, fitted to the zone's box."""
+    scale = min((page_w - 2 * MARGIN) / image_w, (page_h - 2 * MARGIN) / image_h)
+    j = placed.join(zones.select("image_id", "zone_id", "w", "h", F.col("num").cast("string").alias("text")), ["image_id", "zone_id"])
+    room = lambda side: F.greatest(F.lit(4.0), F.col(side) * scale * FILL)
+    font = F.least(F.col("font_size") * scale, F.lit(PAGE_FONT), room("h"))
+    width = F.length("text") * DIGIT_WIDTH * font
+    font = F.greatest(F.lit(SMALLEST_FONT), F.when(width > room("w"), font * room("w") / width).otherwise(font))
+    x, y = on_page("x", "y", image_w, image_h, page_w, page_h)
+    return j.select("image_id", "zone_id", "text", F.round(font, 6).alias("font"), F.round(x, 6).alias("px"), F.round(y - font * DROP, 6).alias("py"))
+
+
 def legend(entries: DataFrame, width: float, height: float) -> DataFrame:
     """Places of legend entries (image_id, num): column, row and corner of the swatch."""
     rows = max(1, int((height - 2 * LEGEND_MARGIN - HEADER) // ROW))

@@ -7,31 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
+from . import numbering
 
 #: Name, hue shifts, saturation and value factors of the suggested palettes; the cycle of stand-in colours.
 SUGGESTED = [("Análoga", [-1 / 24, 0.0, 1 / 24], 0.9, 1.05), ("Complementaria", [0.0, 0.5], 1.0, 1.0), ("Triádica", [0.0, 1 / 3, 2 / 3], 0.95, 1.0)]
 STAND_INS = ["#d86f45", "#3f8f87", "#f2bd4b", "#8f6cc9", "#4d86c6", "#7fb069", "#d95d8c", "#52615a"]
 FEWER = "La paleta tiene %d colores y este proyecto usa %d numeros. Se aplica igual; los numeros sin color conservan el color actual."
 MORE = "La paleta tiene %d colores y este proyecto usa %d numeros. Se aplica igual; los colores sobrantes no se usan."
-CENTRES = 8
-
-
-def lloyd(samples: DataFrame, rounds: int, k: int = CENTRES) -> DataFrame:
-    """k-means over samples (id, x, y, z) from fixed first centres: the k lowest ids. Centres are k rows, so each
-    round is one broadcast and one aggregation with partial sums."""
-    centres = samples.orderBy("id").limit(k).select(F.row_number().over(Window.orderBy("id")).alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    for _ in range(rounds):
-        labelled = nearest(samples, centres)
-        centres = labelled.groupBy("c").agg(F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"), F.round(F.avg("z"), 6).alias("cz"), F.count(F.lit(1)).alias("n")).select("c", "cx", "cy", "cz", "n")
-    return centres
-
-
-def nearest(samples: DataFrame, centres: DataFrame) -> DataFrame:
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct("c", "cx", "cy", "cz"))).alias("centres"))  # k entries
-    d = lambda p: (F.col("x") - p["cx"]) ** 2 + (F.col("y") - p["cy"]) ** 2 + (F.col("z") - p["cz"]) ** 2
-    best = F.array_min(F.transform("centres", lambda p: F.struct(F.round(d(p), 6).alias("d"), p["c"].alias("c"))))
-    return samples.join(F.broadcast(listed)).withColumn("c", best["c"]).drop("centres")  # one row is joined
+CENTRES, LEAST_PIXELS, SEED_SV = 8, 50, (0.55, 0.82)
+PLAIN, WHITE, CURRENT = "Paleta editada", "#ffffff", "Paleta actual"
 
 
 def kmeans(samples: DataFrame, k: int = CENTRES, rounds: int = 20, seed: int = 7) -> DataFrame:
@@ -45,6 +31,69 @@ def kmeans(samples: DataFrame, k: int = CENTRES, rounds: int = 20, seed: int = 7
     return found.join(model.transform(v).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "left")
 
 
+def lloyd_by_image(samples: DataFrame, k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """k-means apart for each image over samples (image_id, id, x, y, z, weight): the labelled samples (c) and the
+    centres (image_id, c, cx, cy, cz, n: weight).
+
+    First centres are the samples at the middle of k equal parts in order of (x, y, z, id), or all where there are
+    fewer than k. A round joins an image's centres to its samples and adds up partial sums; it is a written table. The
+    loop ends early only when no centre moves any more, so results are those of all rounds.
+    """
+    w = Window.partitionBy("image_id")
+    s = scratch.Table(samples.withColumns({"_i": F.row_number().over(w.orderBy("x", "y", "z", "id")) - 1, "_n": F.count(F.lit(1)).over(w)}), "samples").df
+    part = F.least(F.lit(k), F.col("_n"))
+    c = F.floor(F.col("_i") * part / F.col("_n"))
+    middle = F.col("_i") == F.floor((2 * c + 1) * F.col("_n") / (2 * part))
+    centres = s.where(middle).select("image_id", c.cast("int").alias("c"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.col("z").cast("double").alias("cz"), F.lit(0).cast("long").alias("n"))
+    now = scratch.Table(centres, "centres")
+
+    def labelled(of: DataFrame) -> DataFrame:
+        listed = of.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "cx", "cy", "cz"))).alias("_c"))
+        d = lambda p: (F.col("x") - p["cx"]) ** 2 + (F.col("y") - p["cy"]) ** 2 + (F.col("z") - p["cz"]) ** 2
+        best = F.array_min(F.transform("_c", lambda p: F.struct(F.round(d(p), 6).alias("d"), p["c"].alias("c"))))
+        return s.join(listed, "image_id").withColumn("c", best["c"]).drop("_c", "_i", "_n")
+
+    mean = lambda v: F.round(F.sum(F.col(v) * F.col("weight")) / F.sum("weight"), 6).alias(f"c{v}")
+    for _ in range(rounds):
+        new = scratch.Table(labelled(now.df).groupBy("image_id", "c").agg(mean("x"), mean("y"), mean("z"), F.sum("weight").cast("long").alias("n")), "centres")
+        same = new.df.exceptAll(now.df).limit(1).count() == 0
+        now.free()
+        now = new
+        if same:
+            break
+    return labelled(now.df), now.df
+
+
+def dominant(pixels: DataFrame, count: int, rounds: int = 20) -> DataFrame:
+    """image_id, i (from 0), hex: an image's dominant colours, most frequent first; images of fewer than LEAST_PIXELS
+    colourful pixels get colours from their mean gray. At most CENTRES colours."""
+    k = max(1, min(count, CENTRES))
+    p = colourful(pixels)
+    enough = p.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PIXELS).select("image_id")
+    own = p.join(enough, "image_id").groupBy("image_id", "b", "g", "r").agg(F.count(F.lit(1)).alias("weight"))
+    own = own.select("image_id", ((F.col("b") * 256 + F.col("g")) * 256 + F.col("r")).cast("long").alias("id"), F.col("b").alias("x"), F.col("g").alias("y"), F.col("r").alias("z"), "weight")
+    _, centres = lloyd_by_image(own, k, rounds)
+    ranked = centres.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "c")) - 1).alias("i"), S.rgb_hex(*[F.rint(c) for c in ("cz", "cy", "cx")]).alias("hex"))
+    seeds = seed_hues(pixels).join(enough, "image_id", "left_anti").where(F.col("i") < k)
+    return ranked.union(seeds.select("image_id", "i", S.hsv_hex("hue", F.lit(SEED_SV[0]), F.lit(SEED_SV[1])).alias("hex")))
+
+
+def zone_numbers(zones: DataFrame, n: int, rounds: int = 30) -> DataFrame:
+    """image_id, zone_id, num: numbers from the zones' colours (l8, a8, b8): clusters ranked by area, missing numbers
+    dealt to large zones of numbers used more than once; zones of images without colours are numbered in turn."""
+    known = zones.where(F.col("l8").isNotNull())
+    s = known.select("image_id", F.col("zone_id").alias("id"), F.col("l8").alias("x"), F.col("a8").alias("y"), F.col("b8").alias("z"), F.lit(1).cast("long").alias("weight"), "area_px")
+    found, _ = lloyd_by_image(s, n, rounds)
+    found = scratch.materialize(found.select("image_id", F.col("id").alias("zone_id"), F.col("c").cast("long").alias("num"), F.greatest("area_px", F.lit(1)).alias("area_px")), "clusters")
+    ranks = numbering.cluster_rank(found).select("image_id", "cluster", F.col("num").alias("new"))
+    ranked = found.withColumnRenamed("num", "cluster").join(ranks, ["image_id", "cluster"]).select("image_id", "zone_id", F.col("new").alias("num"), "area_px")
+    ranked = scratch.materialize(ranked, "ranked")
+    moved = numbering.donors(ranked, n).select("image_id", "zone_id", "new")
+    done = ranked.join(moved, ["image_id", "zone_id"], "left").select("image_id", "zone_id", F.coalesce("new", "num").alias("num"))
+    turn = numbering.in_turn(zones.where(F.col("l8").isNull()), n)
+    return done.union(turn)
+
+
 def colourful(pixels: DataFrame) -> DataFrame:
     """Pixels with enough colour for a palette, by 8-bit saturation and value."""
     v, low = F.greatest("b", "g", "r"), F.least("b", "g", "r")
@@ -90,3 +139,26 @@ def mismatch(palette: str, used: str) -> Column:
     fewer = F.format_string(FEWER, p, c)
     more = F.format_string(MORE, p, c)
     return F.when((c == 0) | (p == c), "").when(p < c, fewer).otherwise(more)
+
+
+def zone_colours(zones: DataFrame, palette: DataFrame) -> DataFrame:
+    """Zones with the colour of their number (palette: image_id, num, hex); white where the palette lacks it."""
+    return zones.join(palette, ["image_id", "num"], "left").select("image_id", "zone_id", "num", F.coalesce("hex", F.lit(WHITE)).alias("hex"))
+
+
+def colour_ids(zones: DataFrame, palette: DataFrame, n: int) -> DataFrame:
+    """image_id, pos, number (text): numbers 1..n, those of zones and of the palette, once each, in numeric order."""
+    wanted = zones.select("image_id").distinct().withColumn("number", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string"))))
+    own = zones.select("image_id", F.col("num").cast("string").alias("number")).union(palette.select("image_id", F.col("num").cast("string")))
+    return numeric_order(wanted.union(own).distinct())
+
+
+def numeric_order(keys: DataFrame) -> DataFrame:
+    """image_id, pos, number: keys of digits as numbers first, then the others as text."""
+    w = Window.partitionBy("image_id").orderBy(S.sort_key("number"))
+    return keys.select("image_id", F.row_number().over(w).cast("long").alias("pos"), "number")
+
+
+def manual_numbers(zones: DataFrame) -> DataFrame:
+    """image_id, pos, number: the distinct numbers of zones that need a colour by hand, in numeric order."""
+    return numeric_order(zones.where("requires_manual_color").select("image_id", S.paint_number("num", "zone_id").alias("number")).distinct())

@@ -100,8 +100,9 @@ def simplified(zones: DataFrame, ratio: float, ring: str = "polygon") -> DataFra
 
     of = lambda k: F.transform(F.coalesce(ring, F.array().cast(zones.schema[ring].dataType)), lambda p: p[k].cast("double"))
     epsilon = F.greatest(F.lit(1.0), F.coalesce(perimeter(ring), F.lit(0.0)) * ratio)
-    z = zones.withColumn("_kept", kept(of("x"), of("y"), epsilon))
-    return z.withColumn(ring, F.transform("_kept", lambda i: F.element_at(ring, i + 1))).drop("_kept")
+    spare = next(n for n in (f"kept{i}" for i in range(len(zones.columns) + 1)) if n not in zones.columns)
+    z = zones.withColumn(spare, kept(of("x"), of("y"), epsilon))
+    return z.withColumn(ring, F.transform(spare, lambda i: F.element_at(ring, i + 1))).drop(spare)
 
 
 def extended_line(line: str, reach: Column) -> Column:

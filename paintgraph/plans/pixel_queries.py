@@ -13,8 +13,6 @@ SQL: dict = {}
 _P = f"p AS {PIXELS}"
 _GRAY = "CAST(round_even((114*b+587*g+299*r)/1000.0::DOUBLE, 0) AS BIGINT)"
 _V = f"v AS (SELECT image_id, x, y, {_GRAY} AS v FROM p)"
-_SAMPLES = "s AS (SELECT vec_id AS id, round((CAST(embedding[1] AS DOUBLE)+1)*100, 3) AS x, round((CAST(embedding[2] AS DOUBLE)+1)*100, 3) AS y, round((CAST(embedding[3] AS DOUBLE)+1)*100, 3) AS z FROM embeddings)"
-ROUNDS = 3
 
 
 def query(sql: str | None = None):
@@ -47,8 +45,11 @@ def pixel_runs(spark, d):
     return raster.runs(pixels(spark, d))
 
 
+_RUNS = "q AS (SELECT image_id, y, x, x-row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM p), r AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1, y*100000+min(x) AS node FROM q GROUP BY image_id, y, g)"
+_NEXT = "e AS MATERIALIZED (SELECT a.image_id, a.node AS u, b.node AS v FROM r a JOIN r b ON a.image_id=b.image_id AND b.y=a.y+1 AND a.x0<=b.x1+1 AND b.x0<=a.x1+1), t AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT image_id, v, u FROM e), w(image_id, node, root) AS (SELECT image_id, node, node FROM r UNION SELECT t.image_id, t.v, w.root FROM w JOIN t ON t.image_id=w.image_id AND t.u=w.node WHERE w.root < t.v)"
 
-@query()
+
+@query(f"WITH RECURSIVE {_P}, {_RUNS}, {_NEXT}, c AS (SELECT image_id, node, min(root) AS component FROM w GROUP BY 1, 2) SELECT image_id, component, min(x0) AS x, min(y) AS y, max(x1)-min(x0)+1 AS w, max(y)-min(y)+1 AS h, CAST(sum(x1-x0+1) AS BIGINT) AS area FROM r JOIN c USING (image_id, node) GROUP BY 1, 2")
 def run_components(spark, d):
     return raster.component_stats(raster.run_components(raster.runs(pixels(spark, d))))
 
@@ -63,17 +64,38 @@ def dilate_row(spark, d):
     return raster.dilate_rows(raster.gray_pixels(pixels(spark, d)), 2)
 
 
-_R = "OVER (PARTITION BY image_id, {} ORDER BY {} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+def _window(part: str, along: str, k: int) -> str:
+    return f"OVER (PARTITION BY image_id, {part} ORDER BY {along} RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
+
+
+def _ellipse_sql(step: str, source: str, name: str) -> str:
+    """A kernel of radius 2: five rows, of widths 0, 2, 2, 2, 0 to each side."""
+    pick = "greatest" if step == "max" else "least"
+    return f"{name}0 AS (SELECT *, {step}(v) {_window('y', 'x', 0)} AS m0, {step}(v) {_window('y', 'x', 2)} AS m2 FROM {source}), {name} AS (SELECT image_id, x, y, {pick}({step}(m0) {_window('x', 'y', 2)}, {step}(m2) {_window('x', 'y', 1)}) AS v FROM {name}0)"
 
 
-@query(f"WITH {_P}, {_V}, a AS (SELECT image_id, x, y, max(v) {_R.format('y', 'x')} AS v FROM v), b AS (SELECT image_id, x, y, max(v) {_R.format('x', 'y')} AS v FROM a), c AS (SELECT image_id, x, y, min(v) {_R.format('y', 'x')} AS v FROM b) SELECT image_id, x, y, min(v) {_R.format('x', 'y')} AS v FROM c")
+@query(f"WITH {_P}, {_V}, {_ellipse_sql('max', 'v', 'a')}, {_ellipse_sql('min', 'a', 'b')} SELECT * FROM b")
 def close_mask(spark, d):
     return raster.close_mask(raster.gray_pixels(pixels(spark, d)), 2).select("image_id", "x", "y", "v")
 
 
-@query(f"WITH {_P}, {_V}, a AS (SELECT *, avg(v) {_R.format('y', 'x')} AS m0 FROM v), b AS (SELECT *, avg(m0) {_R.format('x', 'y')} AS m FROM a) SELECT image_id, x, y, CAST(CASE WHEN v<=m-9.125 THEN 255 ELSE 0 END AS BIGINT) AS v FROM b")
+_BLOCK, _SIGMA = 35, 5.6
+
+
+def _gauss_sql() -> str:
+    r = _BLOCK // 2
+    weights = f"k AS (SELECT d, exp(-d*d/(2*{_SIGMA}::DOUBLE*{_SIGMA}::DOUBLE)) / (SELECT sum(exp(-e*e/(2*{_SIGMA}::DOUBLE*{_SIGMA}::DOUBLE))) FROM range(-{r}, {r + 1}) t(e)) AS w FROM range(0, {r + 1}) t(d)), f AS (SELECT d, coalesce(sum(w) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS w FROM k)"
+
+    def blur(source: str, value: str, name: str, part: str, along: str) -> str:
+        near = f"{name}n AS (SELECT a.image_id, a.x, a.y, a.v AS own, b.{value}::DOUBLE AS v, abs(a.{along}-b.{along}) AS d, b.{along}=min(b.{along}) OVER g AS lo, b.{along}=max(b.{along}) OVER g AS hi FROM {source} a JOIN {source} b ON a.image_id=b.image_id AND a.{part}=b.{part} AND abs(a.{along}-b.{along})<={r} WINDOW g AS (PARTITION BY a.image_id, a.x, a.y))"
+        return f"{near}, {name} AS (SELECT image_id, x, y, any_value(own) AS v, sum(n.v*(k.w + CASE WHEN lo THEN f.w ELSE 0 END + CASE WHEN hi THEN f.w ELSE 0 END))/sum(k.w + CASE WHEN lo THEN f.w ELSE 0 END + CASE WHEN hi THEN f.w ELSE 0 END) AS m FROM {name}n n JOIN k USING (d) JOIN f USING (d) GROUP BY 1, 2, 3)"
+
+    return f"WITH {_P}, {_V}, {weights}, {blur('v', 'v', 'a', 'y', 'x')}, {blur('a', 'm', 'b', 'x', 'y')} SELECT image_id, x, y, CAST(CASE WHEN v<=round_even(round(m, 6), 0)-9 THEN 255 ELSE 0 END AS BIGINT) AS v FROM b"
+
+
+@query(_gauss_sql())
 def adaptive_threshold(spark, d):
-    return raster.adaptive_threshold(raster.gray_pixels(pixels(spark, d)), 2, 9.125)
+    return raster.adaptive_threshold(raster.gray_pixels(pixels(spark, d)), _BLOCK, 9)
 
 
 @query(f"WITH {_P}, {_V}, o AS (SELECT image_id, x+dx AS x, y+dy AS y, v FROM v, range(-1,2) a(dx), range(-1,2) b(dy)), m AS (SELECT image_id, x, y, median(v) AS m FROM o GROUP BY 1,2,3) SELECT v.image_id, v.x, v.y, CAST(floor(m) AS BIGINT) AS v FROM v JOIN m ON v.image_id=m.image_id AND v.x=m.x AND v.y=m.y")
@@ -98,17 +120,30 @@ def _samples(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), v(0).alias("x"), v(1).alias("y"), v(2).alias("z"))
 
 
-def _lloyd_sql() -> str:
-    parts = [_SAMPLES, "c0 AS (SELECT row_number() OVER (ORDER BY id) AS c, x AS cx, y AS cy, z AS cz FROM s QUALIFY row_number() OVER (ORDER BY id)<=8)"]
-    for i in range(ROUNDS):
-        parts.append(f"l{i} AS (SELECT s.*, arg_min(c, (round((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz), 6), c)) AS c FROM s, c{i} GROUP BY s.id, s.x, s.y, s.z)")
-        parts.append(f"c{i + 1} AS (SELECT c, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, count(*) AS n FROM l{i} GROUP BY c)")
-    return f"WITH {', '.join(parts)} SELECT CAST(c AS INT) AS c, round(cx, 3) AS cx, round(cy, 3) AS cy, round(cz, 3) AS cz, n FROM c{ROUNDS}"
+def _lloyd_sql(samples: str, k: int, rounds: int) -> str:
+    """CTEs c0 to c{rounds} of centres over samples s0 (image_id, id, x, y, z, weight)."""
+    parts = [
+        f"s0 AS MATERIALIZED ({samples}), s1 AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY x, y, z, id)-1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM s0), s2 AS (SELECT *, least({k}, n) AS kk, i*least({k}, n)//n AS c FROM s1), c0 AS MATERIALIZED (SELECT image_id, c, x::DOUBLE AS cx, y::DOUBLE AS cy, z::DOUBLE AS cz, 0 AS n FROM s2 WHERE i=((2*c+1)*n)//(2*kk))"
+    ]
+    for r in range(rounds):
+        parts.append(f"l{r} AS (SELECT s0.image_id, id, x, y, z, weight, arg_min(c, (round((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz), 6), c)) AS c FROM s0 JOIN c{r} USING (image_id) GROUP BY ALL)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT image_id, c, round(sum(x*weight)/sum(weight)::DOUBLE, 6) AS cx, round(sum(y*weight)/sum(weight)::DOUBLE, 6) AS cy, round(sum(z*weight)/sum(weight)::DOUBLE, 6) AS cz, sum(weight) AS n FROM l{r} GROUP BY 1, 2)")
+    return ", ".join(parts)
 
 
-@query(_lloyd_sql())
-def dominant_colors_lloyd(spark, d):
-    return palette.lloyd(_samples(spark, d), ROUNDS).select("c", *[F.round(k, 3).alias(k) for k in ("cx", "cy", "cz")], "n")
+_COLOURFUL = "q AS (SELECT *, greatest(b,g,r) AS vv, CASE WHEN greatest(b,g,r)>0 THEN CAST(round_even(255.0*(greatest(b,g,r)-least(b,g,r))/greatest(b,g,r), 0) AS BIGINT) ELSE 0 END AS ss FROM p), f AS (SELECT * FROM q WHERE ss>35 AND vv>35 AND vv<245), enough AS (SELECT image_id FROM f GROUP BY 1 HAVING count(*)>=50)"
+#: Rounds of the two clusterings; a round changes nothing once centres rest, and then the loop ends.
+PALETTE_ROUNDS, ZONE_ROUNDS = 20, 30
+
+
+@query(
+    f"WITH {_P}, {_V}, {_COLOURFUL}, {_lloyd_sql('SELECT image_id, (b*256+g)*256+r AS id, b AS x, g AS y, r AS z, count(*) AS weight FROM f WHERE image_id IN (SELECT image_id FROM enough) GROUP BY ALL', 6, PALETTE_ROUNDS)}, "
+    f"a AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, c)-1 AS i, printf('#%02X%02X%02X', CAST(round_even(cz, 0) AS INT), CAST(round_even(cy, 0) AS INT), CAST(round_even(cx, 0) AS INT)) AS hex FROM c{PALETTE_ROUNDS}), m AS (SELECT image_id, avg(v) AS gray FROM v WHERE image_id NOT IN (SELECT image_id FROM enough) GROUP BY 1), "
+    "h AS (SELECT image_id, i, (0.58+gray/255*0.22+o)%1.0 AS h FROM m, (VALUES (0,0.0::DOUBLE),(1,0.08),(2,0.17),(3,0.33),(4,0.5),(5,0.67)) t(i, o)), w AS (SELECT *, CAST(floor(h*6) AS BIGINT)%6 AS s, h*6-floor(h*6) AS fr, 0.82::DOUBLE AS v, 0.55::DOUBLE AS sat FROM h), "
+    "y AS (SELECT *, v*(1-sat) AS p, v*(1-sat*fr) AS q, v*(1-sat*(1-fr)) AS t FROM w) SELECT image_id, CAST(i AS INT) AS i, hex FROM a UNION ALL SELECT image_id, CAST(i AS INT), printf('#%02X%02X%02X', CAST(round_even(([v,q,p,p,t,v])[s+1]*255, 0) AS INT), CAST(round_even(([t,v,v,q,p,p])[s+1]*255, 0) AS INT), CAST(round_even(([p,p,t,v,v,q])[s+1]*255, 0) AS INT)) FROM y"
+)
+def dominant_colors(spark, d):
+    return palette.dominant(pixels(spark, d), 6, PALETTE_ROUNDS)
 
 
 @query()
@@ -184,17 +219,17 @@ def hex_validation(spark, d):
     return palettes(spark, d).select("palette_id", S.valid_hex(v).alias("hex"))
 
 
-@query("SELECT c_custkey AS palette_id, c_name AS name, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS pos FROM customer QUALIFY pos<=100")
+@query("SELECT c_custkey AS palette_id, c_name AS name, '2024-01-'||printf('%02d', 1+c_custkey%28)||'T00:00:00.000Z' AS created_at FROM customer ORDER BY 3 DESC, 1")
 def palette_list(spark, d):
-    top = palettes(spark, d).orderBy(F.desc("balance"), "palette_id").limit(100)  # the list's first page
-    from pyspark.sql import Window
-
-    return top.select("palette_id", "name", F.row_number().over(Window.orderBy(F.desc("balance"), "palette_id")).cast("long").alias("pos"))
+    """All saved palettes, newest first; their times are texts that sort like times."""
+    day = F.format_string("2024-01-%02dT00:00:00.000Z", 1 + F.col("palette_id") % 28)
+    return palettes(spark, d).select("palette_id", "name", day.alias("created_at")).orderBy(F.desc("created_at"), "palette_id")
 
 
-@query("SELECT c_custkey AS palette_id, coalesce(trim(c_name)<>'' AND c_custkey%33 BETWEEN 1 AND 30, false) AS valid FROM customer")
+@query("SELECT c_custkey AS palette_id, coalesce(trim(c_name)<>'' AND c_custkey%33 BETWEEN 1 AND 30, false) AND c_custkey%5<>0 AS valid FROM customer")
 def palette_validate(spark, d):
-    return palettes(spark, d).select("palette_id", edits.valid_palette().alias("valid"))
+    colors = F.when(F.col("palette_id") % 5 != 0, F.create_map(F.lit("1"), F.lit("#000000")))
+    return palettes(spark, d).withColumn("colors", colors).select("palette_id", edits.valid_palette().alias("valid"))
 
 
 _VERS = "v AS (SELECT user_id AS project_id, event_id AS version, event_type AS mode, ts AS updated_at, props AS palette_json, value AS detail, event_id%37 AS num_colors FROM events)"
@@ -223,9 +258,10 @@ def project_json(spark, d):
     return projects(spark, d).select("version", F.coalesce(edits.json_map("palette_json")["k"], F.lit("")).alias("k"))
 
 
-@query(f"WITH {_VERS} SELECT version, coalesce(mode<>'' AND num_colors BETWEEN 1 AND 30 AND detail BETWEEN 0.0 AND 1.0 AND palette_json IS NOT NULL, false) AS valid FROM v")
+@query(f"WITH {_VERS} SELECT version, coalesce(mode<>'' AND num_colors BETWEEN 1 AND 30 AND detail BETWEEN 0.0 AND 1.0 AND palette_json IS NOT NULL AND version%6<>0, false) AS valid FROM v")
 def project_validate(spark, d):
-    return projects(spark, d).select("version", edits.valid_project().alias("valid"))
+    p = projects(spark, d).withColumn("geojson", F.when(F.col("version") % 6 != 0, F.lit("{}")))
+    return p.select("version", edits.valid_project().alias("valid"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")

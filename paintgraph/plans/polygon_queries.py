@@ -70,8 +70,8 @@ _F = "CASE WHEN {t}>0.008856::DOUBLE THEN power({t}, 1/3.0::DOUBLE) ELSE 7.787::
     f"n AS (SELECT image_id, zone_id, {_LIN.format(c='b')} AS b, {_LIN.format(c='g')} AS g, {_LIN.format(c='r')} AS r FROM m), "
     "t AS (SELECT image_id, zone_id, (0.412453::DOUBLE*r+0.357580::DOUBLE*g+0.180423::DOUBLE*b)/0.950456::DOUBLE AS x, 0.212671::DOUBLE*r+0.715160::DOUBLE*g+0.072169::DOUBLE*b AS y, (0.019334::DOUBLE*r+0.119193::DOUBLE*g+0.950227::DOUBLE*b)/1.088754::DOUBLE AS z FROM n), "
     f"f AS (SELECT image_id, zone_id, {_F.format(t='x')} AS x, {_F.format(t='y')} AS y, {_F.format(t='z')} AS z FROM t) "
-    "SELECT image_id, zone_id, round(116*y-16, 4) AS l, round(500*(x-y), 4) AS a, round(200*(y-z), 4) AS b FROM f"
+    "SELECT image_id, zone_id, round(116*y-16, 4) AS l, round(500*(x-y), 4) AS a, round(200*(y-z), 4) AS b, CAST(greatest(0, least(round_even(round((116*y-16)*255/100, 6), 0), 255)) AS BIGINT) AS l8, CAST(greatest(0, least(round_even(round(500*(x-y)+128, 6), 0), 255)) AS BIGINT) AS a8, CAST(greatest(0, least(round_even(round(200*(y-z)+128, 6), 0), 255)) AS BIGINT) AS b8 FROM f"
 )
 def zone_lab(spark, d):
-    m = raster.mean_colours(pixels(spark, d), zones(spark, d))
-    return m.select("image_id", "zone_id", *[F.round(c, 4).alias(n) for n, c in zip("lab", S.lab("b", "g", "r"), strict=True)])
+    m = raster.mean_colours(pixels(spark, d), raster.box_runs(zones(spark, d)))
+    return m.select("image_id", "zone_id", *[F.round(c, 4).alias(n) for n, c in zip("lab", S.lab("b", "g", "r"), strict=True)], *[c.alias(n) for n, c in zip(("l8", "a8", "b8"), S.lab8("b", "g", "r"), strict=True)])

@@ -135,10 +135,12 @@ def cluster_rank(spark, d):
     return numbering.cluster_rank(zones(spark, d))
 
 
+#: Numbers 1 to N or to the image's number of zones, whichever is less, that no zone has.
+_WANTED = f"u AS (SELECT DISTINCT image_id, num FROM z), w AS (SELECT i.image_id, CAST(g AS BIGINT) AS num FROM (SELECT image_id, least({N}, count(*)) AS top FROM z GROUP BY 1) i, range(1, {N + 1}) r(g) WHERE g <= top), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.image_id=w.image_id AND u.num=w.num))"
 _MISSING = f"u AS (SELECT DISTINCT image_id, num FROM z), w AS (SELECT i.image_id, CAST(g AS BIGINT) AS num FROM (SELECT DISTINCT image_id FROM z) i, range(1, {N + 1}) r(g)), m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.image_id=w.image_id AND u.num=w.num))"
 
 
-@query(f"WITH {_Z}, {_MISSING}, s AS (SELECT *, row_number() OVER (PARTITION BY image_id, num ORDER BY area_px, zone_id DESC) AS r FROM z), a AS (SELECT image_id, zone_id, num AS old, row_number() OVER (PARTITION BY image_id ORDER BY area_px DESC, zone_id) AS k FROM s WHERE r>1), b AS (SELECT image_id, num AS new, row_number() OVER (PARTITION BY image_id ORDER BY num) AS k FROM m) SELECT a.image_id, a.zone_id, a.old, b.new FROM a JOIN b USING (image_id, k)")
+@query(f"WITH {_Z}, {_WANTED}, k0 AS (SELECT *, least({N}, count(*) OVER (PARTITION BY image_id)) AS top FROM z), s AS (SELECT *, row_number() OVER (PARTITION BY image_id, num ORDER BY area_px, zone_id DESC) AS r FROM k0 WHERE num BETWEEN 1 AND top), a AS (SELECT image_id, zone_id, num AS old, row_number() OVER (PARTITION BY image_id ORDER BY area_px DESC, zone_id) AS k FROM s WHERE r>1), b AS (SELECT image_id, num AS new, row_number() OVER (PARTITION BY image_id ORDER BY num) AS k FROM m) SELECT a.image_id, a.zone_id, a.old, b.new FROM a JOIN b USING (image_id, k)")
 def donor_rebalance(spark, d):
     return numbering.donors(zones(spark, d), N)
 
@@ -222,7 +224,10 @@ def label_shrink(spark, d):
     return _placements(spark, d)
 
 
-@query(f"WITH {_Z}, {_PLACED} SELECT image_id, count(*) AS labels, count(*) FILTER (method='representative_point') AS representative, count(*) FILTER (method='pole_of_inaccessibility_reduced_font') AS reduced, count(*) FILTER (method='pole_of_inaccessibility_tight') AS tight, round(min(clearance_px), 3) AS min_clearance, round(min(font_size), 3) AS min_font FROM p GROUP BY 1")
+@query(
+    f"WITH {_Z}, {_PLACED} SELECT image_id, count(*) AS placement_count, count(*) FILTER (method='representative_point') AS representative_point_count, count(*) FILTER (method<>'representative_point') AS pole_of_inaccessibility_count, count(*) FILTER (method='pole_of_inaccessibility_reduced_font') AS reduced_font_count, "
+    "count(*) FILTER (clearance_px+0.001<required_radius_px) AS tight_label_count, round(min(clearance_px), 3) AS min_clearance_px, round(min(clearance_px/required_radius_px), 3) AS min_clearance_ratio FROM p GROUP BY 1"
+)
 def placement_metrics(spark, d):
     return layout.placement_metrics(_placements(spark, d))
 
@@ -254,11 +259,16 @@ def color_limits(spark, d):
     return z.select("image_id", "zone_id", *[c.alias(n) for n, c in lim.items()])
 
 
-@query(f"WITH {_Z}, a AS (SELECT image_id, zone_id, CAST(greatest(20, round_even((w*16)*(h*16)*{_LERP.format(a='0.0025', b='0.00035')}, 0)) AS BIGINT) AS min_area_px, round({_LERP.format(a='0.005', b='0.0018')}, 6) AS epsilon, round({_LERP.format(a='3.2', b='2.0')}, 6) AS large_factor FROM (SELECT image_id, zone_id::DOUBLE AS zone_id, w::DOUBLE AS w, h::DOUBLE AS h FROM z)) SELECT *, CAST(greatest(30, round_even(min_area_px*0.06, 0)) AS BIGINT) AS component_min_area_px FROM a")
+@query(
+    f"WITH {_Z}, d AS (SELECT image_id, zone_id, w*16 AS pw, h*16 AS ph, (zone_id % 5)*70 AS wish FROM (SELECT image_id, zone_id::DOUBLE AS zone_id, w::DOUBLE AS w, h::DOUBLE AS h FROM z)), a AS (SELECT *, CAST(greatest(20, coalesce(nullif(wish, 0), round_even(pw*ph*{_LERP.format(a='0.0025', b='0.00035')}, 0))) AS BIGINT) AS min_area_px, CAST(greatest(3, round_even({_LERP.format(a='5.0', b='3.0')}, 0)) AS BIGINT) AS k FROM d) "
+    f"SELECT image_id, zone_id, round(greatest(0.0, least({_DETAIL}, 1.0)), 9) AS detail_level, min_area_px, CAST(greatest(30, round_even(min_area_px*0.06, 0)) AS BIGINT) AS component_min_area_px, k + (k+1)%2 AS close_kernel, 35::BIGINT AS adaptive_block_size, 9::BIGINT AS adaptive_c, round({_LERP.format(a='0.005', b='0.0018')}, 9) AS epsilon_ratio, round(pw*ph*0.92, 6) AS max_area_px, round({_LERP.format(a='3.2', b='2.0')}, 9) AS slic_large_zone_multiplier, "
+    f"round({_LERP.format(a='3.4', b='1.2')}, 9) AS slic_target_area_multiplier, round({_LERP.format(a='10.0', b='4.0')}, 9) AS slic_compactness, 64::BIGINT AS slic_max_segments_per_zone, 'curved' AS subdivision_strategy, true AS merge_small_slic_fragments, 3::BIGINT AS small_fragment_max_iterations_multiplier FROM a"
+)
 def derived_params(spark, d):
     z = zones(spark, d).select("image_id", *[F.col(c).cast("double").alias(c) for c in ("zone_id", "w", "h")])
-    p = S.line_params(F.col("w") * 16, F.col("h") * 16, F.col("zone_id") % 21 / 10.0 - 0.5)
-    return z.select("image_id", "zone_id", *[p[n].alias(n) for n in ("min_area_px", "component_min_area_px", "epsilon", "large_factor")])
+    p = S.line_params(F.col("w") * 16, F.col("h") * 16, F.col("zone_id") % 21 / 10.0 - 0.5, F.col("zone_id") % 5 * 70)
+    real = {"detail_level", "epsilon_ratio", "slic_large_zone_multiplier", "slic_target_area_multiplier", "slic_compactness"}
+    return z.select("image_id", "zone_id", *[(F.round(c, 9) if n in real else F.round(c, 6) if n == "max_area_px" else c).alias(n) for n, c in p.items()])
 
 
 @query(f"WITH {_Z} SELECT image_id, zone_id, (area_px<{LABEL_MIN} OR least(w,h)<14) AS too_small, (area_px>0 AND (area_px<0.0017*640*480 OR least(w,h)<14)) AS client_hidden FROM z")
@@ -271,14 +281,44 @@ def svg_path(spark, d):
     return render.rings(zones(spark, d)).select("image_id", "zone_id", S.svg_path("polygon").alias("path"))
 
 
-@query(f"WITH {_Z} SELECT image_id, string_agg('<path d=\"M '||x0||' '||y0||' L '||(x0+w)||' '||y0||' L '||(x0+w)||' '||(y0+h)||' L '||x0||' '||(y0+h)||' Z\" id=\"zone-'||zone_id||'\" data-number=\"'||num||'\"/>', '' ORDER BY zone_id) AS body FROM z GROUP BY 1")
+_D = "'M '||x0||' '||y0||' L '||(x0+w)||' '||y0||' L '||(x0+w)||' '||(y0+h)||' L '||x0||' '||(y0+h)||' Z'"
+_STROKE = 'fill="none" stroke="#000000" stroke-width="2" vector-effect="non-scaling-stroke"'
+_PATH = f"'<path id=\"zone-'||zone_id||'\" data-zone-id=\"'||zone_id||'\" data-paint-number=\"'||num||'\" d=\"'||{_D}||'\" {_STROKE}/>'"
+_OPEN = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 640 480" width="640" height="480">'
+
+
+@query(f"WITH {_Z} SELECT image_id, '{_OPEN}'||chr(10)||'  '||string_agg({_PATH}, chr(10)||'  ' ORDER BY zone_id)||chr(10)||'</svg>' AS svg FROM z GROUP BY 1")
 def svg_document(spark, d):
-    return render.svg_bodies(render.rings(zones(spark, d)))
+    return render.svg_documents(render.rings(zones(spark, d)), 640, 480)
 
 
-@query()
+@query(
+    f"WITH {_Z}, {_PLACED}, l AS (SELECT z.image_id, string_agg({_PATH}, chr(10)||'  ' ORDER BY zone_id) AS paths FROM z GROUP BY 1), t AS (SELECT p.image_id, string_agg(printf('<text x=\"%.2f\" y=\"%.2f\" text-anchor=\"middle\" dominant-baseline=\"central\" font-size=\"%.2f\" font-weight=\"700\" fill=\"#000000\">', p.x, p.y, p.font_size)||num||'</text>', chr(10)||'  ' ORDER BY p.zone_id) AS texts FROM p JOIN z ON z.image_id=p.image_id AND z.zone_id=p.zone_id GROUP BY 1) "
+    f"SELECT l.image_id, '{_OPEN}'||chr(10)||'  '||paths||coalesce(chr(10)||'  '||texts, '')||chr(10)||'</svg>' AS svg FROM l LEFT JOIN t USING (image_id)"
+)
+def numbered_svg(spark, d):
+    return render.numbered_svg(render.rings(zones(spark, d)), _placements(spark, d), 640, 480)
+
+
+def _flagged(spark, d):
+    return render.rings(zones(spark, d)).withColumns({"requires_manual_color": F.col("zone_id") % 11 == 0, "suppress_label": F.when(F.col("zone_id") % 7 == 0, True)})
+
+
+_JSON_RING = "'[['||x0||','||y0||'],['||(x0+w)||','||y0||'],['||(x0+w)||','||(y0+h)||'],['||x0||','||(y0+h)||'],['||x0||','||y0||']]'"
+_FEATURE = (
+    f"'{{\"type\":\"Feature\",\"id\":\"'||zone_id||'\",\"properties\":{{\"zone_id\":\"'||zone_id||'\",\"paint_number\":\"'||num||'\",\"area_px\":'||area_px||',\"bbox\":['||x0||','||y0||','||w||','||h||']'||CASE WHEN zone_id%11=0 THEN ',\"requires_manual_color\":true' ELSE '' END||CASE WHEN zone_id%7=0 THEN ',\"suppress_label\":true' ELSE '' END||"
+    f"'}},\"geometry\":{{\"type\":\"Polygon\",\"coordinates\":['||{_JSON_RING}||']}}}}'"
+)
+
+
+@query(f"WITH {_Z} SELECT image_id, zone_id, {_FEATURE} AS feature FROM z")
 def geojson_feature(spark, d):
-    return render.geojson(render.rings(zones(spark, d)))
+    return render.features(_flagged(spark, d))
+
+
+@query(f"WITH {_Z} SELECT image_id, '{{\"type\":\"FeatureCollection\",\"properties\":{{\"width\":640,\"height\":480,\"mode\":\"bw\",\"zone_count\":'||count(*)||',\"num_colors\":12,\"detail_level\":null}},\"features\":['||string_agg({_FEATURE}, ',' ORDER BY zone_id)||']}}' AS geojson FROM z GROUP BY 1")
+def feature_collection(spark, d):
+    return render.feature_collections(_flagged(spark, d), 640, 480, "bw", num_colors=12)
 
 
 @query(f"WITH {_Z} SELECT image_id, zone_id, CAST(area_px AS DOUBLE) AS area, round(x0+w/2.0, 6) AS cx, round(y0+h/2.0, 6) AS cy FROM z")
@@ -289,4 +329,4 @@ def shoelace_area(spark, d):
 
 @query(f"WITH {_Z}, p AS {PIXELS} SELECT z.image_id, z.zone_id, CAST(floor(avg(b)) AS BIGINT) AS b, CAST(floor(avg(g)) AS BIGINT) AS g, CAST(floor(avg(r)) AS BIGINT) AS r, count(*) AS n FROM p JOIN z ON z.image_id=p.image_id AND x>=x0 AND x<x0+w AND y>=y0 AND y<y0+h GROUP BY 1, 2")
 def zone_mean_color(spark, d):
-    return raster.mean_colours(pixels(spark, d), zones(spark, d))
+    return raster.mean_colours(pixels(spark, d), raster.box_runs(zones(spark, d)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The same views for an SQL engine that has the tables.
@@ -53,3 +53,24 @@ def image_pixels(images: DataFrame) -> DataFrame:
     p = images.select("image_id", "width", "n_channels", "data", place.alias("_", "i"))
     at = lambda c: F.conv(F.hex(F.substring("data", F.col("i") * F.col("n_channels") + F.least(F.lit(c), F.col("n_channels") - 1) + 1, F.lit(1))), 16, 10).cast("int")
     return p.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), at(0).alias("b"), at(1).alias("g"), at(2).alias("r"))
+
+
+def encode_base64(files: DataFrame) -> DataFrame:
+    """Adds `image_base64` to rows with content (bytes), without a prefix."""
+    return files.withColumn("image_base64", F.base64("content"))
+
+
+def accepted(name: str, mime: str) -> Column:
+    """Whether a file is a picture by its media type or by the ending of its name."""
+    return F.coalesce(F.col(mime).isin("image/jpeg", "image/png"), F.lit(False)) | F.coalesce(F.lower(name).rlike(r"\.(jpe?g|png)$"), F.lit(False))
+
+
+def synthetic_pixels(spark: SparkSession, width: int, height: int) -> DataFrame:
+    """Three made-up pages of coloured shapes as pixels: i, name, x, y, b, g, r. For trying things without pictures."""
+    p = spark.range(3 * width * height).selectExpr("id div {0} AS i".format(width * height), f"id % {width} AS x", f"id % {width * height} div {width} AS y")
+    cx, cy = F.col("x") - width / 2, F.col("y") - height / 2
+    far = F.hypot(cx, cy)
+    kinds = [("arcs", F.floor((far + F.col("x")) / (width / 6))), ("grid", F.floor(F.col("x") * 4 / width) + 4 * F.floor(F.col("y") * 4 / height)), ("rings", F.floor(far / (width / 10)))]
+    part = F.element_at(F.array(*[k.cast("long") for _, k in kinds]), (F.col("i") + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in kinds]), (F.col("i") + 1).cast("int"))
+    return p.select("i", name.alias("name"), "x", "y", *[((part * a + b) % 256).alias(k) for k, a, b in (("b", 67, 40), ("g", 101, 90), ("r", 29, 200))])
