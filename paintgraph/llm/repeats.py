@@ -247,19 +247,21 @@ def spans(docs: DataFrame, kind: Kind, resolve: Callable) -> DataFrame:
     """doc_id, k, b, spans (element ranges) of the rows with repeated windows."""
     rows = keyed(docs)
     segs = Table(segments(rows, kind), "segments")
-    seen = segs.df.groupBy("a").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("a")
-    some = Table(segs.df.join(shuffled(seen), "a"), "repeated")
+    seen = Table(segs.df.groupBy("a").agg(F.count(F.lit(1)).alias("t")).where("t > 1").select("a"), "seen")
+    some = Table(segs.df.join(shuffled(seen.df), "a"), "repeated")  # between written tables, a hot anchor's partition can be split
     segs.free()
+    seen.free()
     # min of a struct picks one representative place for each content
     classes = some.df.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s1", "s2", "p", "doc_id")).alias("at"))
     ctx = Table(contexts(rows, classes.select("a", "c", "n", "at.*"), kind), "contexts")
     found = resolved(ctx, kind, resolve)
     runs = found.df.groupBy("a", "c").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     place = F.transform("runs", lambda r: F.struct((r["start"] + F.col("s1")).alias("start"), (r["stop"] + F.col("s1")).alias("stop")))
-    own = some.df.join(shuffled(runs), ["a", "c"]).select("doc_id", "k", place.alias("runs"))
+    runs = Table(runs, "runs")
+    own = some.df.join(shuffled(runs.df), ["a", "c"]).select("doc_id", "k", place.alias("runs"))
     own = Table(own.groupBy("doc_id", "k").agg(F.flatten(F.collect_set("runs")).alias("spans")), "runs")
-    some.free()
-    found.free()
+    for t in (some, found, runs):
+        t.free()
     return rows.join(shuffled(own.df), same_row(rows, own.df)).select(rows["doc_id"], rows["k"], "b", "spans")
 
 
