@@ -23,6 +23,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table hasn't."""
+    return next(n for n in (f"{name}_{i}" for i in range(len(df.columns) + 1)) if n.lower() not in {c.lower() for c in df.columns})
+
+
 def row_key(text: str = "text") -> Column:
     """One key for all rows of the same doc_id and text; with doc_id beside it, it joins back to the rows."""
     return F.xxhash64(F.col("doc_id"), F.col(text))

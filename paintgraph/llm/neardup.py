@@ -3,16 +3,22 @@
 A document is the set of its distinct `words`-word shingles. Its sketch has T coordinates: in round i each element
 falls into a hashed bin with a hashed value, later rounds only fill bins that are still empty, and rounds T and on
 are bound to one bin each, so every coordinate fills; a large set takes a round or two. Documents with equal sets
-are one vertex. Vertices that share a band of the sketch become candidates through the band's smallest member,
-which keeps candidate edges linear in a band; connected candidates form a family, and inside a family full sets are
-compared exactly (intersection counts by matrix products). Families beyond BLOCK members are compared in pairs of
-blocks, so no task holds a large family. Components of the confirmed links are the result.
+are one vertex. Vertices that share a band of the sketch are a bucket, and only pairs of a bucket are candidates.
+
+Candidates are compared on full sets in two steps. First each bucket's smallest member is held against the others,
+whose number is linear in the bucket: groups of near copies are mostly one component after it. Then the buckets that
+still hold more than one component, each set of members once, have their pairs of different components compared:
+buckets beyond BLOCK members by classes of like set size (a pair above the threshold lies in one class or in two
+neighbouring ones) and in pairs of blocks, so no task holds a large bucket. Components of the confirmed links are the
+result.
 
 Bands: BANDS of ROWS coordinates; two sets at similarity 0.85 share none with probability 2.4e-7, at 0.8 3.3e-5.
+Sets are sets of 64-bit hashes; two of m different shingles of a pair of documents collide with odds of m^2 / 2^65.
 
 Contract. Null texts and texts without words have empty sets: linked with nothing. Fewer words than a shingle: the
 whole sequence is one shingle. Rows with the same doc_id are one node. A null doc_id can't be named: such a row is
-linked with nothing and kept. Repeated texts link. Empty table: empty result. Other columns stay as they are.
+linked with nothing and kept. Repeated texts link. Texts of any length are handled whole. Empty table: empty result.
+Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fmix, materialize, shuffled, slices, word_hashes
+from ..scratch import Table, components
+from .common import fmix, materialize, shuffled, slices, unused, word_hashes
 
-ROWS, BANDS, BLOCK = 5, 26, 1500
+ROWS, BANDS, BLOCK = 5, 26, 256
 T = ROWS * BANDS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x27D4EB2F165667C5, 0x94D049BB133111EB], np.uint64)
@@ -98,10 +105,11 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return _rows(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, e1 long, e2 long, bands array<bigint>")
 
 
-def links(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
-    """Spanning links of the pairs with 100 * common >= percent * union; first: pairs have one side below it (0: any)."""
+def links(sets: list[np.ndarray], first: int, percent: int, labels: list) -> list[tuple[int, int]]:
+    """Spanning links of the pairs with 100 * common >= percent * union and different labels; first: pairs have one side below it (0: any)."""
     m = len(sets)
-    group = list(range(m))
+    place: dict = {}
+    group = [place.setdefault(x, i) for i, x in enumerate(labels)]  # members of one component are joined already
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -154,60 +162,108 @@ def links(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, i
     return out
 
 
-def confirmed(docs: DataFrame, family: DataFrame, words: int, percent: int) -> DataFrame:
-    """u, v: spanning links inside each family, from full sets."""
-    sizes = family.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = family.join(shuffled(sizes), "label").select(F.col("node").alias("doc_id"), "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def compared(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """u, v: links inside items. members: doc_id, item, side (0, or 1 for the other side of an item whose pairs are across), across, label.
+
+    Texts become sets once a document, which then goes to all its items.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = members.groupBy("doc_id").agg(F.collect_set(F.struct("item", "side", "across", "label")).alias("items"))
+    rows = _rows(docs).join(shuffled(wanted), "doc_id").select("doc_id", "items", "b")
 
     def to_sets(batches):
         memo: dict = {}
         for batch, values in slices(batches, "b", 1 << 20):
             sets = pa.array([s.tobytes() for s in shingle_sets(values, words, memo)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["doc_id", "label", "blocks", "own", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], sets], names=["doc_id", "items", "s"])
 
-    sets = _rows(docs).join(shuffled(members), "doc_id").select("doc_id", "label", "blocks", "own", "b").mapInArrow(to_sets, f"doc_id {kind}, label {kind}, blocks int, own int, s binary")
-    # one item for each pair of a family's blocks; most families have one block and so one item
-    item = sets.select("doc_id", "label", "own", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    item = item.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "s")
+    sets = rows.mapInArrow(to_sets, f"doc_id {kind}, items {wanted.schema['items'].dataType.simpleString()}, s binary")
+    item = sets.select("doc_id", "s", F.explode("items").alias("i")).select("i.item", "i.side", "doc_id", "i.across", "i.label", "s")
 
     def compare(batches):
-        held, key = [], None
+        held: list = []
 
         def close():
-            across = held[0][1] != held[0][2]
-            low = sum(r[3] == r[1] for r in held) if across else 0  # they come first
-            found = [] if across and low in (0, len(held)) else links([np.frombuffer(r[5], np.uint64) for r in held], low, percent)
-            pairs = [(held[i][4], held[j][4]) for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], id_type) for k in (0, 1)], names=["u", "v"])
+            low = sum(r[1] == 0 for r in held) if held[0][3] else 0  # they come first
+            found = [] if held[0][3] and low in (0, len(held)) else links([np.frombuffer(r[5], np.uint64) for r in held], low, percent, [r[4] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array([held[p[k]][2] for p in found], id_type) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            id_type = batch.schema.field(4).type
+            id_type = batch.schema.field(2).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != key:
+                if held and row[0] != held[0][0]:
                     yield close()
                     held = []
-                key = row[:3]
                 held.append(row)
         if held:
             yield close()
 
-    return item.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "own", "doc_id").mapInArrow(compare, f"u {kind}, v {kind}")
+    return item.repartition("item").sortWithinPartitions("item", "side", "doc_id").mapInArrow(compare, f"u {kind}, v {kind}")
+
+
+def alike(a: str, b: str, percent: int):
+    """Set sizes that allow the similarity."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def star_members(buckets: DataFrame, percent: int) -> DataFrame:
+    """Members of comparisons with a bucket's first document: shares of at most BLOCK others, each with it on the other side."""
+    edges = buckets.where("doc_id <> first.doc_id").where(alike("n", "first.n", percent)).select(F.col("first.doc_id").alias("u"), "doc_id").distinct()
+    size = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    many = edges.join(shuffled(size), "u").withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares"))
+    key = F.xxhash64("u", "share", F.lit("star"))
+    others = many.select("doc_id", key.alias("item"), F.lit(1).alias("side"), "u")
+    own = many.select("u", "share").distinct().select(F.col("u").alias("doc_id"), key.alias("item"), F.lit(0).alias("side"), "u")
+    both = own.union(others)
+    return both.select("doc_id", "item", "side", F.lit(True).alias("across"), F.col("doc_id").alias("label"))
+
+
+def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Members of the comparisons inside buckets that hold several components."""
+    lab = buckets.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").select("band", "h", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    lab = Table(lab, "labelled").df
+    each = lab.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+    # one bucket for each set of members
+    each = each.groupBy("m", "sum").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "m")
+    rows = lab.join(shuffled(each), ["band", "h"]).withColumn("g", F.xxhash64("band", "h"))
+    # sizes of one class differ by less than the threshold's ratio, so pairs above it are of one class or of neighbours
+    rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).otherwise(F.lit(0)).cast("int"))
+    rows = Table(rows, "open").df
+    blocks = rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    near = lambda k: blocks.select("g", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"next{k}".replace("-", "_")))
+    r = rows.join(shuffled(blocks), ["g", "class"]).join(shuffled(near(1)), ["g", "class"], "left").join(shuffled(near(-1)), ["g", "class"], "left")
+    r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    c, own = F.col("class"), F.col("own")
+    item = lambda c1, b1, c2, b2: F.xxhash64("g", c1, b1, c2, b2)
+    some = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    entry = lambda key, side, across: F.struct(key.alias("item"), side.cast("int").alias("side"), across.alias("across"))
+    same = F.transform(some("blocks"), lambda o: entry(item(c, F.least(own, o), c, F.greatest(own, o)), F.when(own <= o, 0).otherwise(1), own != o))
+    above = F.transform(some("next1"), lambda o: entry(item(c, own, c + 1, o), F.lit(0), F.lit(True)))
+    below = F.transform(some("next_1"), lambda o: entry(item(c - 1, o, c, own), F.lit(1), F.lit(True)))
+    return r.select("doc_id", "label", F.explode(F.concat(same, above, below)).alias("i")).select("doc_id", "i.item", "i.side", "i.across", "label")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    spark = docs.sparkSession
     base = materialize(sketched(docs, words), "sketched")
     filled = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = materialize(filled.groupBy("e1", "e2", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    vertex = filled.join(shuffled(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    banded = vertex.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    leaders = banded.groupBy("band", "h").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("x")).where("u <> x").select("band", "h", "u")
-    near = banded.join(shuffled(leaders), ["band", "h"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
-    family = components(near).df
-    linked = components(confirmed(docs, family, words, percent)).df
+    vertex = filled.join(shuffled(reps.select(F.col("rep").alias("doc_id"), "e1", "e2").distinct()), ["doc_id", "e1", "e2"], "left_semi")
+    banded = vertex.select("doc_id", "n", F.posexplode("bands").alias("band", "h"))
+    leaders = banded.groupBy("band", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("x")).where("first.doc_id <> x").drop("x")
+    buckets = Table(banded.join(shuffled(leaders), ["band", "h"]), "buckets")
+    stars = Table(star_members(buckets.df, percent), "stars")
+    near = Table(compared(docs, stars.df, words, percent), "links")
+    stars.free()
+    labels = components(near.df)
+    more = Table(open_members(buckets.df, labels.df, percent), "open")
+    buckets.free()
+    rest = Table(compared(docs, more.df, words, percent), "links")
+    for t in (more, labels):
+        t.free()
+    linked = components(near.df.union(rest.df)).df
+    near.free()
+    rest.free()
     own = base.join(shuffled(reps), ["e1", "e2", "n"], "left")
     done = own.join(shuffled(linked.select(F.col("node").alias("rep"), "label")), "rep", "left")
     done = done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
@@ -219,5 +275,6 @@ def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Documents without words stay. Texts aren't shuffled for it but by the join with the ids that go.
     """
-    gone = materialize(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("_pg_id")).distinct(), "gone")
-    return docs.join(shuffled(gone), F.col("doc_id") == F.col("_pg_id"), "left_anti")
+    key = unused(docs, "key")
+    gone = materialize(near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(shuffled(gone), F.col("doc_id") == F.col(key), "left_anti")
