@@ -1,13 +1,15 @@
 """Sharding by fixed virtual slots.
 
-Rows hash into `n_slots` slots by doc_id and text; the bytes of each slot are summed over all rows; a versioned
-map gives each slot its shard. Version 0 deals slots round; each rebalancing edits the newest version by moving
-slots from the heaviest shard to the lightest while that evens them out. The map holds n_slots rows, so the driver
-edits it; the rows themselves meet it by a broadcast of that fixed size.
+Rows hash into `n_slots` slots by doc_id and text; the bytes of each slot are summed over all rows; a stored, versioned
+map gives each slot its shard. Version 0 deals slots round; each rebalancing loads the map, edits its newest version
+by moving slots from the heaviest shard to the lightest while that evens them out, and appends the next version, so
+that older assignments stay readable. The map holds n_slots rows a version, so the driver edits it; the rows
+themselves meet it by a broadcast of that fixed size.
 
 Contract. A null text has size 1 and crc32 of the empty text. Rows with one doc_id and text fall into one slot;
-rows that share only a doc_id don't. A null doc_id hashes like any value. Empty table: empty result, and a map of
-empty slots. Other columns take no part.
+rows that share only a doc_id don't. A null doc_id hashes like any value. Texts of any length are handled whole; a slot
+is as heavy as its heaviest text at least, so a text above a shard's share can't be evened out. Empty table: empty
+result, and a map of empty slots. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -70,13 +72,39 @@ def rebalance(shards: list[int], sizes: list[int], n_shards: int) -> list[int]:
     return shards
 
 
-def slot_map(spark: SparkSession, sizes: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> DataFrame:
-    """The stored map: version 0 as dealt, version 1 as rebalanced by the bytes of each slot."""
+def _rows(spark: SparkSession, version: int, shards: list[int], amounts: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(version, s, shards[s], *amounts[s]) for s in range(len(shards))], MAP)
+
+
+def _amounts(sizes: DataFrame, n_slots: int) -> list[tuple[int, int]]:
     got = {r["vslot"]: (r["bytes"], r["n_rows"]) for r in sizes.collect()}  # n_slots rows at most
-    amounts = [got.get(s, (0, 0)) for s in range(n_slots)]
-    versions = [first_map(n_slots, n_shards)]
-    versions.append(rebalance(versions[0], [a[0] for a in amounts], n_shards))
-    return materialize(spark.createDataFrame([(v, s, shards[s], *amounts[s]) for v, shards in enumerate(versions) for s in range(n_slots)], MAP), "slotmap")
+    return [got.get(s, (0, 0)) for s in range(n_slots)]
+
+
+def new_map(sizes: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> DataFrame:
+    """Version 0 of a map: slots as dealt round, with the bytes and rows that they hold."""
+    return _rows(sizes.sparkSession, 0, first_map(n_slots, n_shards), _amounts(sizes, n_slots))
+
+
+def edited(stored: DataFrame, sizes: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """The next version of a stored map: its newest one, edited for what the slots hold now."""
+    newest = newest_of(stored).orderBy("vslot").collect()  # n_slots rows
+    amounts = _amounts(sizes, len(newest))
+    return _rows(stored.sparkSession, newest[0]["version"] + 1, rebalance([r["shard"] for r in newest], [a[0] for a in amounts], n_shards), amounts)
+
+
+def newest_of(stored: DataFrame) -> DataFrame:
+    last = stored.agg(F.max("version").alias("version"))
+    return stored.join(F.broadcast(last), "version", "left_semi")  # one row
+
+
+def save(version: DataFrame, path: str) -> None:
+    """Appends a version to the stored map; a version that is there already is never written again."""
+    version.write.mode("append").partitionBy("version").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MAP).parquet(path)
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
@@ -84,18 +112,40 @@ def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(n_slots).alias("vslot"))
 
 
-def assign(docs: DataFrame, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Each row's shard and its place there, gapless from 0; and the versioned map.
+def place(rows: DataFrame, version: DataFrame) -> DataFrame:
+    """Each row's shard by one version of the map, and its place there, gapless from 0.
 
-    Places: a slot's first place follows the slots before it in its shard (n_slots rows); inside a slot rows are
-    numbered by a window over the slot, so no task ever holds a shard.
+    A slot's first place follows the slots before it in its shard (n_slots rows); inside a slot rows are numbered by a
+    window over the slot, so no task ever holds a shard.
     """
-    spark = docs.sparkSession
-    rows = materialize(sized(docs, n_slots), "sized")
-    stored = slot_map(spark, slot_sizes(rows, n_slots), n_slots, n_shards)
-    newest = stored.where(F.col("version") == 1).select("vslot", "shard", "n_rows")
     first = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    newest = newest.select("vslot", "shard", F.coalesce(first, F.lit(0)).alias("first"))
+    known = version.select("vslot", "shard", F.coalesce(first, F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    placed = rows.withColumn("n", within).join(F.broadcast(newest), "vslot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"), stored
+    placed = rows.withColumn("n", within).join(F.broadcast(known), "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+def assign(docs: DataFrame, path: str | None = None, n_slots: int = N_SLOTS, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """Each row's shard and place by a rebalanced map, and all versions of it.
+
+    With a path, the map stored there is loaded, edited and stored with one version more; where there is none yet,
+    version 0 is stored first. Without a path the map lives in a scratch table.
+    """
+    spark = docs.sparkSession
+    rows = materialize(sized(docs, n_slots), "sized")
+    sizes = slot_sizes(rows, n_slots)
+    if path is None:
+        first = new_map(sizes, n_slots, n_shards)
+        stored = materialize(first.union(edited(first, sizes, n_shards)), "slotmap")
+    else:
+        try:
+            known = load(spark, path).limit(1).count()
+        except Exception as e:  # Spark's own error class for a path that isn't there
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            known = 0
+        if not known:
+            save(new_map(sizes, n_slots, n_shards), path)
+        save(edited(load(spark, path), sizes, n_shards), path)
+        stored = load(spark, path)
+    return place(rows, newest_of(stored)), stored
