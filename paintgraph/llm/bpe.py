@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Contract. Null texts count as empty; empty texts give no ids. Texts of any length are handled whole. Repeated
-rows give repeated results; other columns of the table are left alone. An empty table gives an empty result.
+rows give repeated results, a null doc_id is kept; other columns of the table are left alone. Characters that no match
+of the pattern covers are left out, as the tiktoken library does. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Pretokens remembered by each Python worker; more only means that they are encoded again.
-MEMO = 200_000
-#: In texts of these characters alone, ASCII classes and Unicode classes split alike.
+#: Bytes of pretokens and of their ids that each Python worker remembers, about, and the longest pretoken remembered
+#: (bytes); the others are encoded again.
+MEMO_BYTES, MEMO_LONGEST = 48 << 20, 64
+#: A pattern, and characters in whose texts ASCII classes split as its Unicode classes do.
+PLAIN_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = r"[\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*"
 PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
 
@@ -51,8 +54,11 @@ class Codec:
         self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
-        self.plain, self.fast, self.full = re.compile(PLAIN), re.compile(PLAIN_PATTERN), regex.compile(pattern)
+        self.full = regex.compile(pattern)
+        self.plain = re.compile(PLAIN) if pattern == PLAIN_FOR else None  # the quick way is one pattern's alone
+        self.fast = re.compile(PLAIN_PATTERN)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _parts(token: bytes, rank: int, ranks: dict) -> list[bytes]:
@@ -64,21 +70,31 @@ class Codec:
         return parts
 
     def split(self, text: str) -> list[str]:
-        return (self.fast if self.plain.fullmatch(text) else self.full).findall(text)
+        if self.plain and self.plain.fullmatch(text):
+            return self.fast.findall(text)
+        return [m[0] for m in self.full.finditer(text)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         split = [self.split(t) for t in texts]
         memo, char = self.memo, self.chars
+        long: dict[str, bytes] = {}
         new = list(dict.fromkeys(w for words in split for w in words if w not in memo))
         for i in range(0, len(new), 5000):
             part = new[i : i + 5000]
             shown = ["".join([char[b] for b in w.encode()]) for w in part]
             for w, e in zip(part, self.tokenizer.encode_batch(shown, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+                ids = np.array(e.ids, "<u4").tobytes()
+                if len(w) <= MEMO_LONGEST:
+                    memo[w] = ids
+                    self.held += 150 + len(w) + len(ids)
+                else:
+                    long[w] = ids
+        ids_of = (lambda w: memo.get(w) or long[w]) if long else memo.__getitem__
+        return [b"".join(map(ids_of, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
