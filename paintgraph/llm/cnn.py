@@ -2,10 +2,12 @@
 
 Overlapping chunks cover the whole text. Each byte has a learned vector; filters of eight bytes move by four; each
 filter's maximum over a chunk feeds a small hidden layer and a logit, and the chunks' mean logit gives the
-document's probability. Training takes a bounded sample: at most TRAIN_DOCS labelled rows, half of each label,
-TRAIN_CHUNKS chunks of each, spread over its whole text; the labels' shares over all allowed rows set the prior.
+document's probability. Training takes a bounded sample: at most TRAIN_DOCS labelled rows, half of each label, with
+their whole texts; the labels' shares over all allowed rows set the prior. The driver trains and reads the sample a
+partition at a time, so it never holds all texts; chunks of a text are worked on in slices.
 
-Contract. Null and empty texts are one chunk of padding and get its score. Repeated rows score alike. A table
+Contract. Null and empty texts are one chunk of padding and get its score. Repeated rows score alike; a doc_id with
+several texts trains with the least of them alone. Texts of any length are scored and trained on whole. A table
 without usable labels gives the neutral score 0.5. Null doc_id: scored, never held out, never a label. Empty table:
 empty result. Other columns take no part.
 """
@@ -17,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Table
 from .common import slices
 
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, SEED = 3000, 12, 6, 7
+TRAIN_DOCS, EPOCHS, SEED, PARTS, SLICE = 3000, 6, 7, 8, 256
 CHUNK, OVERLAP, STEP, DIM, FILTERS, HIDDEN = 512, 64, 4, 8, 32, 16
 
 
@@ -61,13 +64,24 @@ class Network:
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def gradients(self, x: np.ndarray, doc: np.ndarray, target: np.ndarray) -> dict:
-        """Of the mean cross-entropy over documents; doc gives each chunk's document, 0 to len(target) - 1."""
+        """Of the mean cross-entropy over documents; doc gives each chunk's document, 0 to len(target) - 1.
+
+        A document's logit is the mean of its chunks', so chunks can be worked on in slices once it is known.
+        """
+        own = np.bincount(doc, minlength=len(target)).astype(np.float32)
+        logit = np.bincount(doc, self.logits(x), len(target)) / own
+        g = ((1 / (1 + np.exp(-logit)) - target) / len(target) / own)[doc].astype(np.float32)
+        total: dict = {}
+        for i in range(0, len(x), SLICE):
+            for k, v in self._backward(x[i : i + SLICE], g[i : i + SLICE]).items():
+                total[k] = total[k] + v if k in total else v
+        return total
+
+    def _backward(self, x: np.ndarray, g: np.ndarray) -> dict:
+        """Gradients of the chunks' logits, weighted by g."""
         p = self.p
         h, at, blocks = self.pooled(x, places=True)
         z = np.tanh(h @ p["u"] + p["d"])
-        own = np.bincount(doc, minlength=len(target)).astype(np.float32)
-        logit = np.bincount(doc, z @ p["v"] + p["b"][0], len(target)) / own
-        g = ((1 / (1 + np.exp(-logit)) - target) / len(target) / own)[doc].astype(np.float32)
         gz = g[:, None] * p["v"] * (1 - z * z)
         gh = (gz @ p["u"].T) * (h > 0)
         n = np.arange(len(x))[:, None]
@@ -80,21 +94,22 @@ class Network:
         return {"e": ge, "w": gw, "c": gh.sum(0), "u": h.T @ gz, "d": gz.sum(0), "v": z.T @ g, "b": g.sum(keepdims=True)}
 
 
-def train(docs: list[tuple[np.ndarray, int]], seed: int = SEED, epochs: int = EPOCHS) -> Network:
-    """Adam over batches of 32 documents."""
+def train(parts, seed: int = SEED, epochs: int = EPOCHS) -> Network:
+    """Adam over batches of 32 documents. parts(): the sample as lists of (bytes, label), read anew for each epoch."""
     rng = np.random.default_rng(seed)
     net = Network(rng)
     m, s, t = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(docs))
-        for i in range(0, len(order), 32):
-            part = [docs[j] for j in order[i : i + 32]]
-            x = np.concatenate([c for c, _ in part])
-            doc = np.repeat(np.arange(len(part)), [len(c) for c, _ in part])
-            grads, t = net.gradients(x, doc, np.array([y for _, y in part], np.float32)), t + 1
-            for k, g in grads.items():
-                m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
-                net.p[k] -= (0.004 * 0.75**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+        for docs in parts():
+            order = rng.permutation(len(docs))
+            for i in range(0, len(order), 32):
+                part = [(chunks_of(docs[j][0]), docs[j][1]) for j in order[i : i + 32]]
+                x = np.concatenate([c for c, _ in part])
+                doc = np.repeat(np.arange(len(part)), [len(c) for c, _ in part])
+                grads, t = net.gradients(x, doc, np.array([y for _, y in part], np.float32)), t + 1
+                for k, g in grads.items():
+                    m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
+                    net.p[k] -= (0.004 * 0.75**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
     return net
 
 
@@ -102,7 +117,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_
     """At most per_class documents of each label among the allowed ones, picked by a hash; with the label as y."""
     usable = labels.where(allowed & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     picks = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picks[0].union(picks[1])), "doc_id")  # 2 * per_class rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(picks[0].union(picks[1])), "doc_id")  # 2 * per_class rows are broadcast
+    # a doc_id may come any number of times: one text of it stays, chosen in each task first
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n_docs: int = TRAIN_DOCS) -> tuple[Network | None, float]:
@@ -111,20 +128,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n_docs:
     if len(shares) < 2:
         return None, 0.0
 
-    def cut(batches):
-        for batch, values in slices(batches, "b"):
-            rows = []
-            for v in values:
-                c = chunks_of(v)
-                take = np.unique(np.linspace(0, len(c) - 1, min(len(c), TRAIN_CHUNKS)).round().astype(int))
-                rows.append(c[take].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "c"])
-
-    picked = sample(docs, labels, label, allowed, n_docs // 2).select(F.col("doc_id").cast("string"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    got = sorted(picked.mapInArrow(cut, "doc_id string, y int, c binary").collect(), key=lambda r: (r["doc_id"], r["c"]))
-    net = train([(np.frombuffer(r["c"], np.uint8).reshape(-1, CHUNK), r["y"]) for r in got])
-    have = [sum(r["y"] == y for r in got) for y in (0, 1)]
-    return net, float(np.log(shares[1] / shares[0]) - np.log(max(have[1], 1) / max(have[0], 1)))
+    picked = sample(docs, labels, label, allowed, n_docs // 2).select(F.col("doc_id").cast("string").alias("doc_id"), "y", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    told = Table(picked.repartition(PARTS, F.xxhash64("doc_id")), "told")
+    have = {r["y"]: r["n"] for r in told.df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def parts():
+        """The rows of a part of the documents at a time, in an order that doesn't depend on Spark's."""
+        for i in range(PARTS):
+            own = told.df.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == i).select("doc_id", "y", "b").collect()  # n_docs / PARTS rows, about
+            yield [(bytes(r["b"]), r["y"]) for r in sorted(own, key=lambda r: r["doc_id"])]
+
+    net = train(parts)
+    told.free()
+    return net, float(np.log(shares[1] / shares[0]) - np.log(max(have.get(1, 0), 1) / max(have.get(0, 0), 1)))
 
 
 def score(docs: DataFrame, net: Network | None, shift: float) -> DataFrame:
