@@ -3,12 +3,15 @@
 A character language model (letter trigrams) is counted over all documents. Tokens with leetspeak, separators or
 stretched letters, and runs of single characters, become lattices of the letters that they may stand for; Viterbi
 decoding under the model picks the likeliest path, and the restored words are scored. Word weights (lower bounds of
-the log odds of the label) come from a bounded sample: at most TRAIN_DOCS labelled rows, half of each label; copies of a text in it
-count once for each label.
+the log odds of the label) come from a bounded sample: at most TRAIN_DOCS labelled rows, half of each label; copies of a
+text in it count once for each label. A `*` may stand for any letter: such tokens also give the weighted words that fit
+all their other letters.
 
 Contract. Null and empty texts hold no words and get the score of a text without any weighted word. Repeated rows
-score alike. Texts of any length are decoded whole. Without usable labels every score is 0. Null doc_id: scored,
-never held out. Empty table: empty result. Other columns take no part.
+score alike; a doc_id with several texts trains with the least of them alone. Texts and tokens of any length are
+decoded whole: paths are kept for BLOCK places at once, and the others are walked again from the costs kept at each
+block's start. Without usable labels every score is 0. Null doc_id: scored, never held out. Empty table: empty result.
+Other columns take no part.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from .cnn import id_crc, sample
 from .common import slices
 
-TRAIN_DOCS, MAX_WORDS, MIN_DOCS, MIN_Z, MEMO = 12_000, 2000, 6, 3.0, 300_000
+TRAIN_DOCS, MIN_DOCS, MIN_Z, BLOCK = 12_000, 6, 3.0, 8192
+#: Tokens that a worker remembers, and the longest (characters) remembered.
+MEMO, MEMO_LONGEST = 300_000, 64
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "&": "a", "%": "x"}
 SEPARATORS = ".-_*~'`^,:/\\·"
@@ -64,11 +69,9 @@ class Decoder:
         n = n.reshape(BASE, BASE, BASE)
         self.cost = (-np.log(n / n.sum(2, keepdims=True))).tolist()
 
-    def arcs(self, text: str, i: int) -> list[tuple[int, str, float]]:
-        """Ways on from place i: (next place, letters put out, channel cost)."""
-        ch, run = text[i], 1
-        while i + run < len(text) and text[i + run] == ch:
-            run += 1
+    def arcs(self, text: str, i: int, run: int) -> list[tuple[int, str, float]]:
+        """Ways on from place i, where the same character stands `run` times: (next place, letters put out, channel cost)."""
+        ch = text[i]
         if ch.isalpha():
             if run >= 3:
                 return [(i + run, ch, 1.0), (i + run, ch * 2, 1.5)]
@@ -85,29 +88,53 @@ class Decoder:
         o = ord(ch)
         return o - 96 if 97 <= o <= 122 else 27 if o > 127 else 0
 
-    def decode(self, text: str) -> str:
-        """The likeliest letters; each place keeps the best path for its last two letters."""
-        at: list[dict] = [{} for _ in range(len(text) + 1)]
-        at[0][0, 0] = (0.0, "", None)
-        for i in range(len(text)):
-            if not at[i]:
+    def _walk(self, text: str, ends: np.ndarray, live: dict, start: int, stop: int, back: dict | None) -> None:
+        """Moves the paths at places start to stop - 1 on. live: place -> last two letters -> cost; back: with how they came."""
+        for i in range(start, stop):
+            here = live.pop(i, None)
+            if not here:
                 continue
-            ways = self.arcs(text, i)
-            for (a, b), (cost, _, _) in list(at[i].items()):
+            ways = self.arcs(text, i, int(ends[i]) - i)
+            for (a, b), cost in here.items():
                 for to, put, extra in ways:
                     x, y, total = a, b, cost + extra
                     for ch in put:
                         z = self.code(ch)
                         total += self.cost[x][y][z]
                         x, y = y, z
-                    old = at[to].get((x, y))
-                    if old is None or total < old[0]:
-                        at[to][x, y] = (total, put, (i, (a, b)))
-        end = min(at[-1], key=lambda s: at[-1][s][0] + self.cost[s[0]][s[1]][0])
-        place, state, out = len(text), end, []
-        while (step := at[place][state])[2] is not None:
-            out.append(step[1])
-            place, state = step[2]
+                    states = live.setdefault(to, {})
+                    old = states.get((x, y))
+                    if old is None or total < old:
+                        states[x, y] = total
+                        if back is not None:
+                            back[to, x, y] = (i, a, b, put)
+
+    def decode(self, text: str) -> str:
+        """The likeliest letters; each place keeps the best path for its last two letters."""
+        n = len(text)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        turns = np.append(np.flatnonzero(chars[1:] != chars[:-1]) + 1, n)
+        ends = turns[np.searchsorted(turns, np.arange(n), "right")]  # where each place's run of one character ends
+        live: dict = {0: {(0, 0): 0.0}}
+        kept = []  # costs at the start of each block, for the places from there on
+        for start in range(0, n, BLOCK):
+            kept.append({p: dict(s) for p, s in live.items()} if n > BLOCK else live)
+            if n > BLOCK:
+                self._walk(text, ends, live, start, min(n, start + BLOCK), None)
+        place, state, out = n, None, []
+        for k in range(len(kept) - 1, -1, -1):
+            start = k * BLOCK
+            if state is not None and place <= start:  # a jump went over the whole block
+                continue
+            back: dict = {}
+            again = kept[k]
+            self._walk(text, ends, again, start, min(n, start + BLOCK), back)
+            if state is None:
+                last = again[n]
+                state = min(last, key=lambda s: last[s] + self.cost[s[0]][s[1]][0])
+            while (step := back.get((place, *state))) is not None:
+                place, state = step[0], (step[1], step[2])
+                out.append(step[3])
         return "".join(reversed(out))
 
     def words(self, token: str) -> tuple[str, ...]:
@@ -130,8 +157,12 @@ class Decoder:
             if forms is None:
                 if len(memo) > MEMO:
                     memo.clear()
-                forms = memo[token] = self.words(token)
+                forms = self.words(token)
+                if len(token) <= MEMO_LONGEST:
+                    memo[token] = forms
             found.update(forms)
+            if "*" in token:
+                found.add(token)  # as it stands, for the words that fit it
         for run in _spaced.findall(low):
             letters = "".join(run.split())
             found.update(self.words(letters))
@@ -162,11 +193,29 @@ def features(weights: list[float]) -> list[float]:
 class Model:
     def __init__(self, decoder: Decoder, weights: dict[str, float], beta: np.ndarray | None):
         self.decoder, self.weights, self.beta = decoder, weights, beta
+        self.by_length: dict[int, list[str]] = {}
+        for w in weights:
+            self.by_length.setdefault(len(w), []).append(w)
+
+    def fitting(self, token: str) -> list[str]:
+        """The weighted words that a token with stars may stand for: as long, and alike but for fewer stars than letters."""
+        core = _edges.sub("", token) if not token.startswith("*") else token
+        letters = [STANDS_FOR.get(ch, ch) for ch in core]
+        if 2 * core.count("*") >= len(core):
+            return []
+        return [w for w in self.by_length.get(len(core), ()) if all(ch == "*" or x in ch for ch, x in zip(letters, w, strict=True))]
+
+    def weighted(self, found: set[str]) -> list[float]:
+        known = {f for f in found if f in self.weights}
+        for f in found:
+            if "*" in f:
+                known.update(self.fitting(f))
+        return [self.weights[f] for f in sorted(known)]
 
     def score(self, found: set[str]) -> float:
         if self.beta is None:
             return 0.0
-        x = np.array([1.0, *features([w for f in found if (w := self.weights.get(f))])])
+        x = np.array([1.0, *features(self.weighted(found))])
         return float(1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30))))
 
 
@@ -181,7 +230,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def telling(per_word: DataFrame, have: dict[int, int]) -> DataFrame:
-    """word, w: the words whose log odds of the label are above 1.5 at the lower end of their Wilson interval of MIN_Z deviations (w), surest first.
+    """word, w: the words whose log odds of the label are above 1.5 at the lower end of their Wilson interval of MIN_Z deviations (w).
 
     Each word is judged by its own counts alone, and w keeps growing with the rows where no clean row has the word.
     """
@@ -189,7 +238,7 @@ def telling(per_word: DataFrame, have: dict[int, int]) -> DataFrame:
     p = F.col("bad") / n
     low = (p + zz / (2 * n) - MIN_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     w = F.log(low / (1 - low)) - F.log(F.lit(have[1] / have[0]))
-    return per_word.where(F.col("bad") >= MIN_DOCS).select("word", w.alias("w")).where("w > 1.5").orderBy(F.desc("w"), "word").limit(MAX_WORDS)
+    return per_word.where(F.col("bad") >= MIN_DOCS).select("word", w.alias("w")).where("w > 1.5")
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> Model:
@@ -206,16 +255,24 @@ def fit(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) -> Model:
     if len(have) < 2:
         return Model(decoder, {}, None)
     per_word = told.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    weights = {r["word"]: r["w"] for r in telling(per_word, have).collect()}
-    told_x = told.select("y", F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")).alias("f")).collect()  # n_docs rows of few words
-    x = np.array([features([weights[w] for w in r["f"]]) for r in told_x])
+    weights = {r["word"]: r["w"] for r in telling(per_word, have).collect()}  # words of MIN_DOCS rows of the sample or more
+    model = Model(decoder, weights, None)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measured(batches):
+        for batch in batches:
+            x = [features(shared.value.weighted(set(words))) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([float(r[i]) for r in x], pa.float64()) for i in range(3))], names=["y", "a", "b", "c"])
+
+    told_x = told.select("y", "words").mapInArrow(measured, "y int, a double, b double, c double").orderBy("y", "a", "b", "c").collect()  # n_docs rows
+    x = np.array([r[1:] for r in told_x])
     y = np.array([r["y"] for r in told_x], float)
     prior = np.where(y == 1, shares[1] / max(have[1], 1), shares[0] / max(have[0], 1))
     return Model(decoder, weights, logistic(x, y, prior / prior.mean()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row; the model (letter costs and at most MAX_WORDS words) is what is broadcast."""
+    """doc_id and score of every row; the model (letter costs, and the words that MIN_DOCS rows of the bounded sample share) is what is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
