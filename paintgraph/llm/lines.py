@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, row_key, same_row, shuffled, slices
+from ..scratch import Table
+from .common import keyed, materialize, row_key, same_row, shuffled, slices, unused
 
 #: A chunk ends after a line where (h0 + 3 h1 + 5 h2) mod MODULUS < BOUND; h: first 32 bits of a line's md5.
 MODULUS, BOUND, MIN_LINES = 97, 24, 2
@@ -82,21 +83,26 @@ def doomed(docs: DataFrame, runs: bool = False) -> tuple[DataFrame, DataFrame]:
     Whole texts are shuffled once, to meet the numbers of their recurring chunks; what follows reads only those rows.
     """
     rows = keyed(docs.where(F.col("text").isNotNull()))
-    chunks = materialize(_chunks(rows, runs=runs), "chunks")
-    again = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    some = materialize(chunks.join(shuffled(again), "h"), "candidates")
-    wanted = some.groupBy("doc_id", "k").agg(F.collect_set("i").alias("wanted"))
+    chunks = Table(_chunks(rows, runs=runs), "chunks")
+    again = Table(chunks.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
+    some = Table(chunks.df.join(shuffled(again.df), "h"), "candidates")  # between written tables, a hot chunk's partition can be split
+    chunks.free()
+    again.free()
+    wanted = some.df.groupBy("doc_id", "k").agg(F.collect_set("i").alias("wanted"))
     texts = materialize(rows.join(shuffled(wanted), same_row(rows, wanted)).select(rows["doc_id"], rows["k"], "b", "wanted"), "texts")
-    bodies = materialize(_chunks(texts, wanted=True, runs=runs), "bodies")
+    bodies = Table(_chunks(texts, wanted=True, runs=runs), "bodies")
     place = F.struct("doc_id", "k", "i")
-    classes = bodies.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first")).select("h", "first", (F.col("low") == F.col("high")).alias("same"))
-    classes = materialize(classes, "classes")
-    verdict = some.join(shuffled(classes.where("same").select("h", "first")), "h").where(place != F.col("first")).select("doc_id", "k", "i")
+    classes = bodies.df.groupBy("h").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first")).select("h", "first", (F.col("low") == F.col("high")).alias("same"))
+    classes = Table(classes, "classes")
+    verdict = some.df.join(shuffled(classes.df.where("same").select("h", "first")), "h").where(place != F.col("first")).select("doc_id", "k", "i")
     # chunks that share a hash but not their bytes: compared as they are
-    apart = bodies.join(classes.where("NOT same").select("h"), "h")
+    apart = bodies.df.join(classes.df.where("NOT same").select("h"), "h")
     firsts = apart.groupBy("h", "body").agg(F.min(place).alias("first"))
     verdict = verdict.union(apart.join(firsts, ["h", "body"]).where(place != F.col("first")).select("doc_id", "k", "i"))
-    return texts, materialize(verdict.groupBy("doc_id", "k").agg(F.collect_set("i").alias("gone")), "gone")
+    gone = materialize(verdict.groupBy("doc_id", "k").agg(F.collect_set("i").alias("gone")), "gone")
+    for t in (some, bodies, classes):
+        t.free()
+    return texts, gone
 
 
 def cut(rows: DataFrame, runs: bool = False) -> DataFrame:
@@ -125,11 +131,12 @@ def changed(docs: DataFrame, runs: bool = False) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, runs: bool = False) -> DataFrame:
     """All columns of docs with the remaining text; documents that lose their last word this way are dropped."""
-    new = changed(docs, runs).select(F.col("doc_id").alias("_pg_id"), F.col("k").alias("_pg_k"), F.col("kept").cast("string").alias("_pg_kept"))
-    d = docs.withColumn("_pg_row", row_key())
-    j = d.join(shuffled(new), (F.col("_pg_row") == F.col("_pg_k")) & F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left")
-    j = j.where(F.col("_pg_k").isNull() | F.col("_pg_kept").rlike(r"[^\x20\x09-\x0D]"))
-    return j.select(*[F.coalesce("_pg_kept", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    row, key, i, kept = (unused(docs, n) for n in ("row", "key", "id", "kept"))
+    new = changed(docs, runs).select(F.col("doc_id").alias(i), F.col("k").alias(key), F.col("kept").cast("string").alias(kept))
+    d = docs.withColumn(row, row_key())
+    j = d.join(shuffled(new), (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(i)), "left")
+    j = j.where(F.col(key).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    return j.select(*[F.coalesce(kept, "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
