@@ -57,8 +57,9 @@ def without(pattern: str):
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """All columns of docs and one struct `_pg_m`: language, base counts, both histograms. No shuffle."""
-    d = docs.withColumn("_pg_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_pg_lang", F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(""))
+    """row (the whole row, so that no name of it clashes) and one struct `_pg_m`: language, base counts, both histograms. No shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, F.coalesce(F.col("text"), F.lit("")).alias("_pg_text"), F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("").alias("_pg_lang"))
     d = d.withColumn("_pg_w", F.regexp_extract_all("_pg_text", F.lit(WORD), 0))
     # each removal works on what the one before left, so the chain reads the text once
     chain = F.array(F.struct(F.col("_pg_text").alias("t"), F.array().cast("array<long>").alias("n")))
@@ -109,7 +110,7 @@ def judged(measured: DataFrame, ref: DataFrame, min_words: int, max_class: float
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
     """A row for each document: doc_id, the base counts, base_failed, kept, class_distance, common_distance."""
-    measured = materialize(measures(docs).select("doc_id", "_pg_m"), "measures")
+    measured = materialize(measures(docs).select(F.col("row.doc_id").alias("doc_id"), "_pg_m"), "measures")
     m, j = F.col("_pg_m"), judged(measured, references(measured), min_words, max_class, max_common)
     counts = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return j.select("doc_id", *counts, base_failed(m).alias("base_failed"), F.col("_pg_kept").alias("kept"), F.col("_pg_class_d").alias("class_distance"), F.col("_pg_common_d").alias("common_distance"))
@@ -122,4 +123,4 @@ def filter_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_class: flo
     """
     measured = materialize(measures(docs), "measured")
     kept = judged(measured, references(measured), min_words, max_class, max_common).where("_pg_kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select("row.*")
