@@ -13,7 +13,7 @@ def one(spark, col):
 def test_limits_at_three_details(spark):
     for detail, line, component, kernel, area, zones in ((0.0, 655, 39, 5, 3146, 35), (0.5, 374, 30, 5, 1730, 108), (1.0, 92, 30, 3, 315, 180)):
         p, c = S.line_params(F.lit(512.0), F.lit(512.0), F.lit(detail)), S.color_limits(F.lit(512.0), F.lit(512.0), F.lit(detail))
-        got = spark.range(1).select(p["min_area_px"], p["component_min_area_px"], p["kernel"], c["min_area_px"], c["max_zones"]).first()
+        got = spark.range(1).select(p["min_area_px"], p["component_min_area_px"], p["close_kernel"], c["min_area_px"], c["max_zones"]).first()
         assert tuple(got) == (line, component, kernel, area, zones)
 
 
