@@ -229,7 +229,7 @@ def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     # sizes of one class differ by less than the threshold's ratio, so pairs above it are of one class or of neighbours
     rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).otherwise(F.lit(0)).cast("int"))
     rows = Table(rows, "open").df
-    blocks = rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks").df  # a large bucket's partition can be split
     near = lambda k: blocks.select("g", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"next{k}".replace("-", "_")))
     r = rows.join(shuffled(blocks), ["g", "class"]).join(shuffled(near(1)), ["g", "class"], "left").join(shuffled(near(-1)), ["g", "class"], "left")
     r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
@@ -261,7 +261,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = Table(compared(docs, more.df, words, percent), "links")
     for t in (more, labels):
         t.free()
-    linked = components(near.df.union(rest.df)).df
+    # texts of one doc_id are one node, whatever other documents stand for their sets
+    ids = filled.join(shuffled(reps), ["e1", "e2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
+    same = ids.select("u", F.explode("reps").alias("v"))
+    linked = components(near.df.union(rest.df).union(same)).df
     near.free()
     rest.free()
     own = base.join(shuffled(reps), ["e1", "e2", "n"], "left")
