@@ -31,9 +31,9 @@ def kmeans(samples: DataFrame, k: int = CENTRES, rounds: int = 20, seed: int = 7
     return found.join(model.transform(v).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "left")
 
 
-def lloyd_by_image(samples: DataFrame, k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+def lloyd_by_image(samples: DataFrame, k: int | str, rounds: int) -> tuple[DataFrame, DataFrame]:
     """k-means apart for each image over samples (image_id, id, x, y, z, weight): the labelled samples (c) and the
-    centres (image_id, c, cx, cy, cz, n: weight).
+    centres (image_id, c, cx, cy, cz, n: weight). k is a number, or the name of a column that is alike in an image.
 
     First centres are the samples at the middle of k equal parts in order of (x, y, z, id), or all where there are
     fewer than k. A round joins an image's centres to its samples and adds up partial sums; it is a written table. The
@@ -41,7 +41,7 @@ def lloyd_by_image(samples: DataFrame, k: int, rounds: int) -> tuple[DataFrame,
     """
     w = Window.partitionBy("image_id")
     s = scratch.Table(samples.withColumns({"_i": F.row_number().over(w.orderBy("x", "y", "z", "id")) - 1, "_n": F.count(F.lit(1)).over(w)}), "samples").df
-    part = F.least(F.lit(k), F.col("_n"))
+    part = F.least(F.col(k) if isinstance(k, str) else F.lit(k), F.col("_n"))
     c = F.floor(F.col("_i") * part / F.col("_n"))
     middle = F.col("_i") == F.floor((2 * c + 1) * F.col("_n") / (2 * part))
     centres = s.where(middle).select("image_id", c.cast("int").alias("c"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.col("z").cast("double").alias("cz"), F.lit(0).cast("long").alias("n"))

@@ -56,6 +56,29 @@ def close_mask(pixels: DataFrame, radius: int) -> DataFrame:
     return _spread(_spread(pixels, ellipse(radius), F.max), ellipse(radius), F.min)
 
 
+def _offsets(radius: int) -> list[tuple[int, int]]:
+    wide = ellipse(radius)
+    return [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-wide[abs(dy)], wide[abs(dy)] + 1)]
+
+
+def smoothed(mask: DataFrame, within: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
+    """Sets of pixels (keys, x, y) closed, then opened with an elliptic kernel, and cut to those of `within` (the keys
+    that both have, x, y). A pixel lies in a grown set if a kernel about it meets the set, in a shrunk one if the whole
+    kernel does, so both are counts of shifted pixels."""
+    k = _offsets(radius)
+    shift = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in k]))
+
+    def spread(p: DataFrame, least: int) -> DataFrame:
+        moved = p.withColumn("_s", shift).select(*keys, (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
+        return moved.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
+
+    p = mask.select(*keys, "x", "y")
+    for least in (1, len(k), len(k), 1):  # grow, shrink; shrink, grow
+        p = spread(p, least)
+    on = [c for c in keys if c in within.columns] + ["x", "y"]
+    return p.join(within.select(*on).distinct(), on, "left_semi")
+
+
 def gaussian(block: int) -> list[float]:
     """Weights of a Gaussian over `block` pixels, from the middle outwards; sigma follows the size."""
     sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import scratch
 from ..functions import scalars as S
-from . import polygons, raster
+from . import palette, polygons, raster
 
 POINT = "struct<x:double,y:double>"
 _RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
@@ -278,6 +278,54 @@ def subdivide(zones: DataFrame, min_area: float, target_factor: float, large_fac
     return both.select("image_id", F.row_number().over(order).cast("long").alias("zone_id"), F.col("zone_id").alias("was"), *cols[2:])
 
 
+def noise(inside: DataFrame) -> DataFrame:
+    """Adds `noise` (0 to 1) to the pixels of zones (image_id, zone_id, x, y): a smooth field whose seed is the zone's id. A
+    group is one zone."""
+    cols = {f.name: f.dataType.simpleString() for f in inside.schema.fields}
+
+    def field(pdf: pd.DataFrame) -> pd.DataFrame:
+        from .rings import noise_field
+
+        x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
+        made = noise_field(int(y.max() - y.min()) + 7, int(x.max() - x.min()) + 7, int(pdf.zone_id.iloc[0]) * 7919)
+        return pdf.assign(noise=made[y - y.min() + 3, x - x.min() + 3])
+
+    return inside.groupBy("image_id", "zone_id").applyInPandas(field, ", ".join(f"{n} {t}" for n, t in cols.items()) + ", noise double")
+
+
+def superpixels(pixels: DataFrame, zones: DataFrame, target: float, compactness: float, min_area: float, epsilon: float, most: int = S.MAX_SEGMENTS, rounds: int = 10) -> DataFrame:
+    """Large zones (all of `zones`) as patches of like place, gray and noise: image_id, zone_id, piece, area_px, box, polygon.
+
+    The other way to subdivide. Clusters are k-means over place and feature, apart for each zone; of each cluster the
+    largest connected part is smoothed, cut to the zone and traced. Zones with fewer than two patches give none.
+    """
+    runs = filled_runs(zones)
+    c = F.col
+    on = (c("r.image_id") == c("p.image_id")) & (c("r.y") == c("p.y")) & c("p.x").between(c("r.x0"), c("r.x1"))
+    inside = pixels.alias("p").join(runs.alias("r"), on).select("r.image_id", "r.zone_id", "p.x", "p.y", S.gray("p.b", "p.g", "p.r").alias("v"))
+    inside = scratch.materialize(noise(inside), "inside")
+    parts = F.greatest(F.lit(2), F.least(F.rint(c("area_px") / max(target, 1.0)).cast("int"), F.lit(most)))
+    size = zones.select("image_id", "zone_id", parts.alias("parts"), F.sqrt(c("area_px") / parts).alias("step"))
+    s = inside.join(size, ["image_id", "zone_id"]).withColumn("key", F.concat_ws("-", "image_id", "zone_id"))
+    place = lambda k: F.round(c(k) * compactness / c("step"), 6).alias(k)
+    feature = F.round((c("v") / 255.0 + c("noise")) * 50, 6).alias("z")
+    s = s.select(c("key").alias("image_id"), (c("y") * 100_000 + c("x")).alias("id"), place("x"), place("y"), feature, F.lit(1).cast("long").alias("weight"), "parts", c("image_id").alias("image"), "zone_id", c("x").alias("px"), c("y").alias("py"))
+    found, _ = palette.lloyd_by_image(s, "parts", rounds)
+    keys = ["image_id", "zone_id", "c"]
+    mask = found.select(c("image").alias("image_id"), "zone_id", c("c").cast("long").alias("c"), c("px").alias("x"), c("py").alias("y"))
+    mask = scratch.materialize(raster.smoothed(mask, inside, keys), "patches")
+    labelled = raster.run_components(raster.merged_runs(mask.select(*keys, "y", c("x").alias("x0"), c("x").alias("x1")), keys), keys)
+    labelled = scratch.materialize(labelled, "labelled")
+    biggest = labelled.groupBy(*keys, "component").agg(F.sum(c("x1") - c("x0") + 1).alias("n")).groupBy(*keys).agg(F.max_by("component", F.struct("n", -c("component"))).alias("component"))
+    z = contours(labelled.join(biggest, [*keys, "component"], "left_semi"), keys).withColumn("area_px", F.round(F.abs(S.shoelace("polygon")) / 2, 2)).where(c("area_px") >= max(8, int(min_area * 0.15)))
+    side = lambda k: [f(F.transform("polygon", lambda p: p[k])) for f in (F.array_min, F.array_max)]
+    (x0, x1), (y0, y1) = side("x"), side("y")
+    z = z.withColumns({"x0": x0, "y0": y0, "w": x1 - x0 + 1, "h": y1 - y0 + 1})
+    z = polygons.simplified(z, max(0.0014, epsilon * 0.8)).where(F.size("polygon") >= 3)
+    enough = F.count(F.lit(1)).over(Window.partitionBy("image_id", "zone_id")) > 1
+    return z.withColumn("enough", enough).where("enough").select("image_id", "zone_id", c("c").alias("piece"), "area_px", "x0", "y0", "w", "h", "polygon", F.lit(SUBZONES[0]).alias("source"))
+
+
 def subdivision_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """image_id, input zones, zones that were cut, pieces made."""
     made = after.where(F.col("parent").isNotNull()).groupBy("image_id").agg(F.count_distinct("parent").alias("subdivided_zones"), F.count(F.lit(1)).alias("created_zones"))

@@ -339,3 +339,39 @@ def graph_metrics(spark, d):
 def label_metrics(spark, d):
     z = zones(spark, d)
     return graph.label_metrics(z, graph.inherit_labels(z, graph.adjacency(z), LABEL_MIN))
+
+
+_K = "o AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE abs(dy)<2 OR dx=0)"
+
+
+def _spread_sql(source: str, name: str, least: int) -> str:
+    return f"{name} AS (SELECT image_id, x+dx AS x, y+dy AS y FROM {source}, o GROUP BY ALL HAVING count(*)>={least})"
+
+
+@query(f"WITH {_P}, {_K}, m AS (SELECT image_id, x, y FROM p WHERE b<128), w AS (SELECT image_id, x, y FROM p WHERE g<200), {_spread_sql('m', 'a', 1)}, {_spread_sql('a', 'b', 17)}, {_spread_sql('b', 'c', 17)}, {_spread_sql('c', 'd', 1)} SELECT d.image_id, d.x, d.y FROM d SEMI JOIN w ON d.image_id=w.image_id AND d.x=w.x AND d.y=w.y")
+def smoothed_mask(spark, d):
+    p = pixels(spark, d)
+    return raster.smoothed(p.where("b < 128"), p.where("g < 200"), ["image_id"])
+
+
+def _page(spark, d):
+    """A made-up page, its pixels spread over all tasks, and a zone that covers most of it."""
+    from ..sources.views import synthetic_pixels
+
+    p = synthetic_pixels(spark, 64, 48).selectExpr("i AS image_id", "x", "y", "b", "g", "r")
+    z = spark.createDataFrame([(i, 7 + i, 4, 4, 50, 40, 2000, 1) for i in range(3)], "image_id long, zone_id long, x0 long, y0 long, w long, h long, area_px long, num long")
+    return p, render.rings(z)
+
+
+@query()
+def superpixels(spark, d):
+    p, z = _page(spark, d)
+    s = shapes.superpixels(p, z, 300.0, 7.0, 100.0, 0.0034)
+    return s.select("image_id", "zone_id", "piece", "area_px", "source", S.svg_path("polygon").alias("path"))
+
+
+@query()
+def zone_noise(spark, d):
+    p, z = _page(spark, d)
+    n = shapes.noise(raster.crop(p, z, 0).select("image_id", "zone_id", "x", "y"))
+    return n.groupBy("image_id", "zone_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.min("noise"), 6).alias("low"), F.round(F.max("noise"), 6).alias("high"))

@@ -115,3 +115,10 @@ def test_subdivision_is_repeatable_and_whole():
     a, b = R.subdivided(ring, 5, 3000, 300, 64), R.subdivided(ring, 5, 3000, 300, 64)
     assert a == b and len(a) >= round(R.area(ring) / 3000) and math.isclose(sum(map(R.area, a)), R.area(ring), rel_tol=0.09)
     assert R.subdivided(ring, 6, 3000, 300, 64) != a
+
+
+def test_noise_is_repeatable_and_smooth():
+    a = R.noise_field(60, 80, 7919)
+    assert (a == R.noise_field(60, 80, 7919)).all() and (a.min(), a.max()) == (0.0, 1.0) and a.shape == (60, 80)
+    assert np.abs(np.diff(a, axis=1)).mean() < 0.05 and not np.allclose(a, R.noise_field(60, 80, 7920))
+    assert R.noise_field(3, 3, 1).shape == (3, 3)
