@@ -45,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", tokens)]
 
-#: Sketches, components and the tokenizer aren't SQL; tests/llm check single stages by brute force, but run() only by ids and counts.
+#: The tokenizer and similarity components of a whole corpus aren't SQL; tests/llm compare run() with its five stages written out in plain Python.
 ORACLE_SQL = None
 
 
