@@ -37,9 +37,11 @@ def placements(zones: DataFrame) -> DataFrame:
 
 
 def ring_placements(zones: DataFrame, ring: str = "polygon") -> DataFrame:
-    """Labels of general rings: at the interior point if the text fits there, else at the pole of inaccessibility."""
+    """Labels of general rings: at the interior point if the text fits there, else at the pole of inaccessibility.
+
+    Zones are dealt out first: the pole is much work for few bytes."""
     p = shapes.interior_point(ring)
-    z = zones.withColumn("_p", p).withColumns({"_x": F.col("_p.x"), "_y": F.col("_p.y")})
+    z = zones.repartition("image_id", "zone_id").withColumn("_p", p).withColumns({"_x": F.col("_p.x"), "_y": F.col("_p.y")})
     z = shapes.with_pole(z.withColumn("_own", polygons.clearance(ring, F.col("_x"), F.col("_y"))), ring, "_pl")
     return labelled(z.withColumns({"_px": F.col("_pl.x"), "_py": F.col("_pl.y"), "_pole": F.col("_pl.d")}))
 

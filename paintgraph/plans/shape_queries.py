@@ -77,7 +77,14 @@ def ring_labels(spark, d):
     return layout.ring_placements(z).where("method = 'representative_point'").select("image_id", "zone_id", "method", "clearance_px")
 
 
-@query()
+_POLES = (
+    f"f AS (SELECT *, greatest(5.0, least(28.0, sqrt(area_px)*0.28, w*0.55, h*0.55)) AS f, least(w,h)/2.0 AS c, least(w,h)//2+1.0 AS pole FROM z WHERE NOT (area_px<{LABEL_MIN} OR least(w,h)<14)), k AS (SELECT f.*, g AS step, greatest(3.5, f*power(0.9, g)) AS s FROM f, range(0, 21) r(g)), q AS (SELECT *, greatest(2.0, sqrt(power(length(CAST(num AS VARCHAR))*s*0.31, 2)+power(s*0.48, 2))) AS rad FROM k), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY image_id, zone_id ORDER BY CASE WHEN pole+0.001>=rad THEN step ELSE 100-step END) AS rn, first_value(rad) OVER (PARTITION BY image_id, zone_id ORDER BY step) AS whole FROM q), "
+    "p AS (SELECT image_id, zone_id, c>=whole AS first, step, round(CASE WHEN c>=whole THEN c ELSE pole END, 3) AS clearance_px, round(CASE WHEN c>=whole THEN whole ELSE rad END, 3) AS required_radius_px FROM b WHERE rn=1)"
+)
+
+
+@query(f"WITH {_Z}, {_POLES} SELECT image_id, count(*) AS placement_count, count(*) FILTER (first) AS representative_point_count, count(*) FILTER (NOT first) AS pole_of_inaccessibility_count, count(*) FILTER (NOT first AND step>0 AND clearance_px+0.001>=required_radius_px) AS reduced_font_count, count(*) FILTER (clearance_px+0.001<required_radius_px) AS tight_label_count, round(min(clearance_px), 3) AS min_clearance_px, round(min(clearance_px/required_radius_px), 3) AS min_clearance_ratio FROM p GROUP BY 1")
 def ring_label_methods(spark, d):
     z = _rings(spark, d).where(~S.label_too_small("area_px", "w", "h", F.lit(LABEL_MIN)))
     return layout.placement_metrics(layout.ring_placements(z))
@@ -173,7 +180,7 @@ def area_shrink(spark, d):
 
 
 _FIRST = f"o AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY src, dst)=1)"
-_TOUCH = "t AS (SELECT o.image_id, o.src, o.dst, a.area_px AS area1, b.area_px AS area2, a.num AS num1, b.num AS num2, greatest(0, least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0)) AS ox, greatest(0, least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0)) AS oy FROM o JOIN z a ON a.image_id=o.image_id AND a.zone_id=o.src JOIN z b ON b.image_id=o.image_id AND b.zone_id=o.dst)"
+_TOUCH = "t AS (SELECT o.image_id, o.src, o.dst, a.area_px AS area1, b.area_px AS area2, a.num AS num1, b.num AS num2, least(a.x0+a.w,b.x0+b.w)-greatest(a.x0,b.x0) AS rx, least(a.y0+a.h,b.y0+b.h)-greatest(a.y0,b.y0) AS ry, greatest(0, rx) AS ox, greatest(0, ry) AS oy FROM o JOIN z a ON a.image_id=o.image_id AND a.zone_id=o.src JOIN z b ON b.image_id=o.image_id AND b.zone_id=o.dst)"
 
 
 def _requests(spark, d):
@@ -185,20 +192,23 @@ def _requests(spark, d):
     return e.select("image_id", F.array("src", second).alias("ids"), F.when(F.col("image_id") % 2 == 0, F.col("dst")).alias("keep"))
 
 
-@query(
-    f"WITH {_Z}, {_E}, {_FIRST}, {_TOUCH}, m AS (SELECT *, ox>0 AND oy>0 AS meets, num1<>num2 AND abs(area1-area2)/CAST(greatest(area1,area2) AS DOUBLE)<0.2 AS asks FROM t), n AS (SELECT *, CASE WHEN image_id%5=0 THEN '{edits.TWO_ZONES}' WHEN image_id%7=0 THEN '{edits.UNKNOWN_MERGE}' WHEN NOT meets THEN '{edits.NOT_CONTIGUOUS}' END AS error FROM m) "
-    "SELECT image_id, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error, error IS NULL AND asks AND image_id%2<>0 AS requires_confirmation, CASE WHEN error IS NULL THEN CASE WHEN NOT asks THEN CASE WHEN area1>=area2 THEN src ELSE dst END WHEN image_id%2=0 THEN dst END END AS kept_from_id, CASE WHEN error IS NULL AND (NOT asks OR image_id%2=0) THEN CAST(area1+area2-ox*oy AS DOUBLE) END AS area FROM n"
-)
+_ANSWERS = f"m AS (SELECT *, least(rx, ry)>=0 AND greatest(rx, ry)>0 AS meets, num1<>num2 AND abs(area1-area2)/CAST(greatest(area1,area2) AS DOUBLE)<0.2 AS asks FROM t), n AS (SELECT *, CASE WHEN image_id%5=0 THEN '{edits.TWO_ZONES}' WHEN image_id%7=0 THEN '{edits.UNKNOWN_MERGE}' WHEN NOT meets THEN '{edits.NOT_CONTIGUOUS}' END AS error FROM m), r AS (SELECT image_id, src, dst, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error, error IS NULL AND asks AND image_id%2<>0 AS requires_confirmation, CASE WHEN error IS NULL THEN CASE WHEN NOT asks THEN CASE WHEN area1>=area2 THEN src ELSE dst END WHEN image_id%2=0 THEN dst END END AS kept_from_id, CASE WHEN error IS NULL AND (NOT asks OR image_id%2=0) THEN CAST(area1+area2-ox*oy AS DOUBLE) END AS area FROM n)"
+
+
+@query(f"WITH {_Z}, {_E}, {_FIRST}, {_TOUCH}, {_ANSWERS} SELECT image_id, status, error, requires_confirmation, kept_from_id, area FROM r")
 def merge_answers(spark, d):
     a = edits.merge_answers(_rings(spark, d), _requests(spark, d))
     return a.select("image_id", "status", "error", "requires_confirmation", "kept_from_id", F.round(shapes.ring_area(F.col("ring")), 6).alias("area"))
 
 
-@query()
+@query(
+    f"WITH {_Z}, {_E}, {_FIRST}, {_TOUCH}, {_ANSWERS}, d AS (SELECT * FROM r WHERE area IS NOT NULL), u AS (SELECT z.image_id, z.zone_id AS was, CAST(z.area_px AS BIGINT) AS area_px, z.num FROM z LEFT JOIN d USING (image_id) WHERE d.src IS NULL OR z.zone_id NOT IN (d.src, d.dst) UNION ALL SELECT d.image_id, least(d.src, d.dst), CAST(d.area AS BIGINT), z.num FROM d JOIN z ON z.image_id=d.image_id AND z.zone_id=d.kept_from_id) "
+    f"SELECT image_id, {_ROWN.format('was')} AS zone_id, was, area_px, num FROM u"
+)
 def merged_rings(spark, d):
     z = _rings(spark, d)
     m = edits.merged_rings(z, edits.merge_answers(z, _requests(spark, d)))
-    return m.select("image_id", "zone_id", "was", "area_px", "num", S.svg_path("polygon").alias("path"))
+    return m.select("image_id", "zone_id", "was", "area_px", "num")
 
 
 def _cut_requests(spark, d):

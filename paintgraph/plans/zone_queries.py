@@ -104,10 +104,25 @@ def duplicate_pairs(spark, d):
     return raster.duplicates(zones(spark, d), 0.5, 0.4)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_Z}, p AS ({SQL['duplicate_pairs'].removeprefix(f'WITH {_Z} ').replace('0.4*', '0.2*').replace('0.5*', '0.2*')}), o AS (SELECT image_id, second AS zone_id, list(first) AS over FROM p GROUP BY 1, 2), q AS (SELECT z.image_id, z.zone_id, row_number() OVER (PARTITION BY z.image_id ORDER BY z.area_px DESC, z.zone_id) AS r, coalesce(over, []) AS over FROM z LEFT JOIN o ON o.image_id=z.image_id AND o.zone_id=z.zone_id), "
+    "k(image_id, r, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[] FROM z UNION ALL SELECT k.image_id, q.r, CASE WHEN len(list_intersect(over, kept))=0 THEN list_append(kept, zone_id) ELSE kept END FROM k JOIN q ON q.image_id=k.image_id AND q.r=k.r+1), l AS (SELECT image_id, kept FROM k QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY r DESC)=1) SELECT image_id, unnest(kept) AS zone_id FROM l"
+)
 def duplicate_suppression(spark, d):
+    """With looser bounds than masks have, so that boxes suppress each other."""
+    z = zones(spark, d)
+    return raster.suppress_duplicates(z, raster.duplicates(z, 0.2, 0.2))
+
+
+@query(f"WITH {_Z} SELECT image_id, count(*) AS zones, count(*) AS numbered, 0::BIGINT AS outside, 0::BIGINT AS collisions FROM z GROUP BY 1")
+def graph_numbers_valid(spark, d):
+    """Every zone has a number from 1 to n, and with n this large no two neighbours share one."""
     z = zones(spark, d)
-    return raster.suppress_duplicates(z, raster.duplicates(z, 0.5, 0.4))
+    e = graph.adjacency(z)
+    n = graph.assign_numbers(z, e, N)
+    c = graph.collisions(n, e).select("image_id", "collisions")
+    g = z.join(n.select("image_id", "zone_id", F.col("num").alias("new")), ["image_id", "zone_id"], "left").groupBy("image_id").agg(F.count(F.lit(1)).alias("zones"), F.count("new").alias("numbered"), F.count_if((F.col("new") < 1) | (F.col("new") > N)).alias("outside"))
+    return g.join(c, "image_id", "left").select("image_id", "zones", "numbered", "outside", F.coalesce("collisions", F.lit(0)).cast("long").alias("collisions"))
 
 
 @query(f"WITH {_Z}, m AS (SELECT image_id, median(area_px) AS median_area FROM z GROUP BY 1) SELECT image_id, zone_id, area_px, median_area FROM z JOIN m USING (image_id) WHERE area_px>=2.0*median_area")
