@@ -1,17 +1,15 @@
-"""Helpers shared by the text operators: scratch tables, row keys, Arrow batches, hashes."""
+"""Helpers shared by the text operators: row keys, column names, Arrow batches, hashes."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import components, materialize  # noqa: F401
+from ..scratch import materialize  # noqa: F401
 
-#: The two word patterns of the operators (ASCII white space; letters, digits and non-ASCII).
+#: Fixed value: words are parted by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +54,6 @@ def slices(batches, column: str, most: int = 4 << 20):
             yield batch.slice(start), values[start:]
 
 
-def out(batch: pa.RecordBatch, keep: list[str], arrays: dict) -> pa.RecordBatch:
-    cols = {n: batch.column(batch.schema.get_field_index(n)) for n in keep} | arrays
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
-
-
 def fmix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer that spreads every input bit."""
     h = h.astype(np.uint64, copy=True)
@@ -84,7 +77,7 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def word_hashes(words: list[bytes], memo: dict) -> np.ndarray:
-    """64-bit hashes of words; memo is bounded and only saves time."""
+    """64-bit hashes of words; memo only saves time, and is bounded: 200,000 words of at most 64 bytes."""
     import xxhash
 
     if len(memo) > 200_000:
@@ -93,6 +86,8 @@ def word_hashes(words: list[bytes], memo: dict) -> np.ndarray:
     for i, w in enumerate(words):
         v = memo.get(w)
         if v is None:
-            v = memo[w] = xxhash.xxh3_64_intdigest(w)
+            v = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= 64:
+                memo[w] = v
         h[i] = v
     return h
