@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import edits, graph, layout, palette, render
+from ..operators import edits, graph, layout, numbering, palette, render
 from ..sources import views
 from ..sources.views import PIXELS, ZONES, palettes, pixels, projects, read, zones
-from .zone_queries import _E, LABEL_MIN, _PLACED, _ROWN
+from .zone_queries import _E, _PLACED, LABEL_MIN
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -99,8 +99,6 @@ def manual_numbers(spark, d):
 
 @query(f"WITH {_Z} SELECT image_id, count(*) AS zones, count(DISTINCT num) AS numbers FROM z GROUP BY 1")
 def zone_counts(spark, d):
-    from ..operators import numbering
-
     return numbering.zone_counts(zones(spark, d))
 
 
@@ -134,7 +132,6 @@ def slow_runs(spark, d):
 
 
 _VERS = "v AS (SELECT user_id AS project_id, event_id AS version, event_type AS mode, ts AS updated_at FROM events)"
-_OLD = "coalesce(n.mode, '-')"
 
 
 @query(f"WITH {_VERS}, n AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, version DESC)=1) SELECT c_custkey AS project_id, n.mode, CASE WHEN n.version IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN n.version IS NULL THEN 'project_id not found' END AS error FROM customer LEFT JOIN n ON n.project_id=c_custkey")

@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import edits, graph, layout, numbering, palette, polygons, raster, render, shapes
+from ..operators import edits, graph, layout, palette, raster, render, shapes
 from ..sources.views import PIXELS, ZONES, pixels, zones
 from .pixel_queries import ZONE_ROUNDS, _lloyd_sql
-from .zone_queries import _BOX, _GX, _GY, _INSET, LABEL_MIN, N, SQL as _ZONE_SQL, _E, _PLACED, _ROWN
+from .zone_queries import _E, _PLACED, _ROWN, LABEL_MIN, N
+from .zone_queries import SQL as _ZONE_SQL
 
 QUERIES: dict = {}
 SQL: dict = {}
