@@ -88,13 +88,13 @@ class Decoder:
         o = ord(ch)
         return o - 96 if 97 <= o <= 122 else 27 if o > 127 else 0
 
-    def _walk(self, text: str, ends: np.ndarray, live: dict, start: int, stop: int, back: dict | None) -> None:
+    def _walk(self, text: str, ends: list[int], live: dict, start: int, stop: int, back: dict | None) -> None:
         """Moves the paths at places start to stop - 1 on. live: place -> last two letters -> cost; back: with how they came."""
         for i in range(start, stop):
             here = live.pop(i, None)
             if not here:
                 continue
-            ways = self.arcs(text, i, int(ends[i]) - i)
+            ways = self.arcs(text, i, ends[i] - i)
             for (a, b), cost in here.items():
                 for to, put, extra in ways:
                     x, y, total = a, b, cost + extra
@@ -112,9 +112,9 @@ class Decoder:
     def decode(self, text: str) -> str:
         """The likeliest letters; each place keeps the best path for its last two letters."""
         n = len(text)
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        turns = np.append(np.flatnonzero(chars[1:] != chars[:-1]) + 1, n)
-        ends = turns[np.searchsorted(turns, np.arange(n), "right")]  # where each place's run of one character ends
+        ends = [n] * n  # where each place's run of one character ends
+        for i in range(n - 2, -1, -1):
+            ends[i] = ends[i + 1] if text[i] == text[i + 1] else i + 1
         live: dict = {0: {(0, 0): 0.0}}
         kept = []  # costs at the start of each block, for the places from there on
         for start in range(0, n, BLOCK):
@@ -206,7 +206,7 @@ class Model:
         return [w for w in self.by_length.get(len(core), ()) if all(ch == "*" or x in ch for ch, x in zip(letters, w, strict=True))]
 
     def weighted(self, found: set[str]) -> list[float]:
-        known = {f for f in found if f in self.weights}
+        known = found & self.weights.keys()
         for f in found:
             if "*" in f:
                 known.update(self.fitting(f))
