@@ -209,8 +209,8 @@ def alike(a: str, b: str, percent: int):
 def star_members(buckets: DataFrame, percent: int) -> DataFrame:
     """Members of comparisons with a bucket's first document: shares of at most BLOCK others, each with it on the other side."""
     edges = buckets.where("doc_id <> first.doc_id").where(alike("n", "first.n", percent)).select(F.col("first.doc_id").alias("u"), "doc_id").distinct()
-    size = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
-    many = edges.join(shuffled(size), "u").withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares"))
+    size = Table(edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares")), "shares")
+    many = edges.join(shuffled(size.df), "u").withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares"))
     key = F.xxhash64("u", "share", F.lit("star"))
     others = many.select("doc_id", key.alias("item"), F.lit(1).alias("side"), "u")
     own = many.select("u", "share").distinct().select(F.col("u").alias("doc_id"), key.alias("item"), F.lit(0).alias("side"), "u")
@@ -251,7 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     vertex = filled.join(shuffled(reps.select(F.col("rep").alias("doc_id"), "e1", "e2").distinct()), ["doc_id", "e1", "e2"], "left_semi")
     banded = vertex.select("doc_id", "n", F.posexplode("bands").alias("band", "h"))
     leaders = banded.groupBy("band", "h").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("x")).where("first.doc_id <> x").drop("x")
-    buckets = Table(banded.join(shuffled(leaders), ["band", "h"]), "buckets")
+    leaders = Table(leaders, "leaders")  # so that a large bucket's partition can be split
+    buckets = Table(banded.join(shuffled(leaders.df), ["band", "h"]), "buckets")
+    leaders.free()
     stars = Table(star_members(buckets.df, percent), "stars")
     near = Table(compared(docs, stars.df, words, percent), "links")
     stars.free()
