@@ -100,15 +100,19 @@ def _nearest(alone: DataFrame, big: DataFrame) -> DataFrame:
     reach, found = CELL, None
     most = 0 if ends["hi"] is None or own["hi"] is None else max(ends["hi"], own["hi"]) - min(ends["lo"], own["lo"])
     gx, gy = box_gap("x0", "w"), box_gap("y0", "h")
+    rings = "polygon" in alone.columns
     left = scratch.Table(alone, "alone").df
     while most and left.limit(1).count():
         cell = lambda lo, size, more, r=reach: F.explode(F.sequence(F.floor((F.col(lo) - more) / r), F.floor((F.col(lo) + F.col(size) + more) / r)))
         a = left.withColumn("cx", cell("x0", "w", reach)).withColumn("cy", cell("y0", "h", reach)).alias("a")
         b = big.withColumn("cx", cell("x0", "w", 0)).withColumn("cy", cell("y0", "h", 0)).alias("b")
         c = F.col
-        apart = F.when(inset() > 0, F.lit(0)).otherwise(gx * gx + gy * gy)
+        apart = F.when(inset() > 0, F.lit(0)).otherwise(gx * gx + gy * gy)  # of boxes: rings are as far or farther, if not nested
         j = a.join(b, (c("a.image_id") == c("b.image_id")) & (c("a.cx") == c("b.cx")) & (c("a.cy") == c("b.cy")) & (apart <= reach * reach))
-        best = j.groupBy(c("a.image_id").alias("image_id"), c("a.zone_id").alias("zone_id")).agg(F.min_by("b.num", F.struct(apart, -c("b.area_px"), c("b.zone_id"))).alias("near_num"))
+        j = j.select(c("a.image_id").alias("image_id"), c("a.zone_id").alias("zone_id"), apart.alias("apart"), c("b.area_px").alias("area"), c("b.zone_id").alias("other"), c("b.num").alias("num"), *[c(f"{i}.polygon").alias(f"ring_{i}") for i in "ab" if rings])
+        if rings:
+            j = j.withColumn("apart", F.round(polygons.ring_distance("ring_a", "ring_b"), 9)).where(F.col("apart") <= reach)
+        best = j.groupBy("image_id", "zone_id").agg(F.min_by("num", F.struct("apart", -F.col("area"), "other")).alias("near_num"))
         best = scratch.Table(best, "nearest").df
         found = best if found is None else found.union(best)
         if reach > most:
@@ -120,12 +124,13 @@ def _nearest(alone: DataFrame, big: DataFrame) -> DataFrame:
 
 def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataFrame:
     """Zones too small for a label take the number of a labelled neighbour, the largest; without one, of the nearest
-    labelled zone of the image (then the larger, then the smaller id). image_id, zone_id, num, suppressed, method."""
+    labelled zone of the image (then the larger, then the smaller id), by rings if the zones have a polygon, else by
+    boxes. image_id, zone_id, num, suppressed, method."""
     z = zones.withColumn("small", S.label_too_small("area_px", "w", "h", F.lit(min_area)))
     big = z.where("NOT small").select("image_id", F.col("zone_id").alias("other"), "area_px", "num")
     by_edge = both_ways(edges).join(big, ["image_id", "other"]).groupBy("image_id", "zone_id").agg(F.max_by("num", F.struct("area_px", -F.col("other"))).alias("edge_num"))
     base = z.join(by_edge, ["image_id", "zone_id"], "left")
-    boxes = ["image_id", "zone_id", "x0", "y0", "w", "h", "area_px", "num"]
+    boxes = ["image_id", "zone_id", "x0", "y0", "w", "h", "area_px", "num", *[c for c in ("polygon",) if c in zones.columns]]
     near = _nearest(base.where("small AND edge_num IS NULL").select(*boxes), z.where("NOT small").select(*boxes))
     j = base.join(near, ["image_id", "zone_id"], "left")
     method = F.when(~F.col("small"), "own").when(F.col("edge_num").isNotNull(), "neighbour").when(F.col("near_num").isNotNull(), "nearest").otherwise("none")

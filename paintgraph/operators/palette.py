@@ -162,3 +162,16 @@ def numeric_order(keys: DataFrame) -> DataFrame:
 def manual_numbers(zones: DataFrame) -> DataFrame:
     """image_id, pos, number: the distinct numbers of zones that need a colour by hand, in numeric order."""
     return numeric_order(zones.where("requires_manual_color").select("image_id", S.paint_number("num", "zone_id").alias("number")).distinct())
+
+
+def with_colour(colors: str, number: Column, hex_color: Column) -> Column:
+    """A palette (map) with one colour changed or added."""
+    others = F.map_filter(colors, lambda k, _: k != number)
+    return F.map_concat(others, F.create_map(number, S.valid_hex(hex_color)))
+
+
+def map_defaults(wanted: Column, current: str, fallback: str) -> Column:
+    """A palette (map) for all wanted numbers and those of both palettes, in numeric order: current, else fallback, else gray."""
+    keys = F.array_distinct(F.concat(wanted, F.map_keys(current), F.map_keys(fallback)))
+    ordered = F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(S.sort_key(k).alias("s"), k.alias("k")))), lambda x: x["k"])
+    return F.map_from_entries(F.transform(ordered, lambda k: F.struct(k.alias("key"), F.coalesce(F.try_element_at(F.col(current), k), F.try_element_at(F.col(fallback), k), F.lit(S.GRAY)).alias("value"))))

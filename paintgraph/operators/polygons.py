@@ -58,6 +58,13 @@ def clearance(ring: str, x: Column, y: Column) -> Column:
     return F.when(inside(ring, x, y), F.array_min(F.transform(sides(ring), lambda s: to_side(x, y, s)))).otherwise(0.0)
 
 
+def ring_distance(first: str, second: str) -> Column:
+    """Distance of two filled rings: 0 where they overlap or one lies in the other."""
+    corner = lambda r, k: F.get(F.col(r), F.lit(0))[k].cast("double")
+    within = inside(first, corner(second, "x"), corner(second, "y")) | inside(second, corner(first, "x"), corner(first, "y"))
+    return F.when(within, 0.0).otherwise(boundary_distance(first, second))
+
+
 def perimeter(ring: str) -> Column:
     return F.aggregate(sides(ring), F.lit(0.0), lambda n, s: n + F.hypot(s["bx"] - s["ax"], s["by"] - s["ay"]))
 

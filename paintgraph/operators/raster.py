@@ -126,11 +126,13 @@ def crop(pixels: DataFrame, zones: DataFrame, margin: int = 3) -> DataFrame:
 
 
 def median3(pixels: DataFrame) -> DataFrame:
-    """Median of the 3 x 3 pixels that exist around each."""
+    """Median of the 3 x 3 pixels around each; beyond the page's edges their values go on. Pixels missing inside are left out."""
     shift = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    around = pixels.withColumn("s", shift).select("image_id", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "v")
-    m = around.groupBy("image_id", "x", "y").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    return pixels.join(m, ["image_id", "x", "y"]).select("image_id", "x", "y", F.col("m").cast("long").alias("v"))
+    ends = pixels.groupBy("image_id").agg(*[f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in "xy"])
+    held = lambda k: F.greatest(F.col(f"min_{k}"), F.least(F.col(f"max_{k}"), F.col(k) + F.col(f"s.d{k}")))
+    around = pixels.select("image_id", "x", "y", shift.alias("s")).join(ends, "image_id").select("image_id", F.col("x").alias("to_x"), F.col("y").alias("to_y"), held("x").alias("x"), held("y").alias("y"))
+    m = around.join(pixels, ["image_id", "x", "y"]).groupBy("image_id", "to_x", "to_y").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    return m.select("image_id", F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.floor("m").cast("long").alias("v"))
 
 
 def runs(pixels: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def adaptive_threshold(spark, d):
     return raster.adaptive_threshold(raster.gray_pixels(pixels(spark, d)), _BLOCK, 9)
 
 
-@query(f"WITH {_P}, {_V}, o AS (SELECT image_id, x+dx AS x, y+dy AS y, v FROM v, range(-1,2) a(dx), range(-1,2) b(dy)), m AS (SELECT image_id, x, y, median(v) AS m FROM o GROUP BY 1,2,3) SELECT v.image_id, v.x, v.y, CAST(floor(m) AS BIGINT) AS v FROM v JOIN m ON v.image_id=m.image_id AND v.x=m.x AND v.y=m.y")
+@query(f"WITH {_P}, {_V}, e AS (SELECT image_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v GROUP BY 1), o AS (SELECT v.image_id, v.x AS tx, v.y AS ty, greatest(x0, least(x1, v.x+dx)) AS x, greatest(y0, least(y1, v.y+dy)) AS y FROM v JOIN e USING (image_id), range(-1,2) a(dx), range(-1,2) b(dy)), m AS (SELECT o.image_id, tx, ty, median(v.v) AS m FROM o JOIN v ON o.image_id=v.image_id AND o.x=v.x AND o.y=v.y GROUP BY 1,2,3) SELECT image_id, tx AS x, ty AS y, CAST(floor(m) AS BIGINT) AS v FROM m")
 def median_blur(spark, d):
     return raster.median3(raster.gray_pixels(pixels(spark, d)))
 

@@ -228,3 +228,21 @@ def synthetic_images(spark, d):
     n = s.groupBy("i", "name").agg(F.count(F.lit(1)).alias("n"))
     i = pixels(spark, d).where("image_id <= 3").select("image_id").distinct()
     return i.join(F.broadcast(n)).select("image_id", "i", "name", "n")  # three rows are joined
+
+
+@query("SELECT c_custkey AS project_id, '1='||printf('#%02X0100', c_custkey%256)||',2='||printf('#%02XFF00', (c_custkey*3)%256) AS before, CASE WHEN c_custkey%2=0 THEN '1=#ABCDEF,2='||printf('#%02XFF00', (c_custkey*3)%256) ELSE '1='||printf('#%02X0100', c_custkey%256)||',2='||printf('#%02XFF00', (c_custkey*3)%256)||',3=#ABCDEF' END AS after FROM customer")
+def edited_colour(spark, d):
+    k = F.col("palette_id")
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    p = palettes(spark, d).select(k.alias("project_id"), F.create_map(F.lit("1"), S.rgb_hex(k % 256, F.lit(1), F.lit(0)), F.lit("2"), S.rgb_hex(k * 3 % 256, F.lit(255), F.lit(0))).alias("colors"))
+    number = F.when(F.col("project_id") % 2 == 0, "1").otherwise("3")
+    return p.select("project_id", shown(F.col("colors")).alias("before"), shown(palette.with_colour("colors", number, F.lit(" #abcdef "))).alias("after"))
+
+
+@query("SELECT c_custkey AS project_id, '1=#000001,2='||CASE WHEN c_custkey%3=0 THEN '#B8B8B8' ELSE '#000002' END||',10=#00000A,x=#B8B8B8' AS colors FROM customer")
+def palette_map(spark, d):
+    k = F.col("palette_id")
+    none = F.create_map().cast("map<string,string>")
+    p = palettes(spark, d).select(k.alias("project_id"), F.create_map(F.lit("1"), F.lit("#000001"), F.lit("10"), F.lit("#00000A")).alias("current"), F.when(k % 3 == 0, none).otherwise(F.create_map(F.lit("2"), F.lit("#000002"), F.lit("1"), F.lit("#FFFFFF"))).alias("fallback"))
+    done = palette.map_defaults(F.array(*[F.lit(x) for x in ("x", "2", "1")]), "current", "fallback")
+    return p.select("project_id", F.array_join(F.transform(F.map_entries(done), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("colors"))

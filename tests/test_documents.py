@@ -147,3 +147,24 @@ def test_kernels():
     assert raster.ellipse(1) == [1, 0] and raster.ellipse(2) == [2, 2, 0]
     w = raster.gaussian(35)
     assert len(w) == 18 and abs(w[0] + 2 * sum(w[1:]) - 1) < 1e-12
+
+
+def png(path, w, h, pixel):
+    import struct
+    import zlib
+
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = b"".join(b"\0" + b"".join(bytes(pixel(x, y)) for x in range(w)) for y in range(h))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+
+
+def test_picture_files_become_pixels(spark, tmp_path):
+    from paintgraph.sources import views
+
+    for name in ("a.png", "b.PNG"):
+        png(tmp_path / name, 3, 2, lambda x, y: (10 * x, 20 * y, 7))
+    (tmp_path / "c.txt").write_text("no picture")
+    images = views.image_files(spark, [str(tmp_path / n) for n in ("a.png", "b.PNG", "c.txt")])
+    assert images.count() == 2 and {(r.width, r.height, r.n_channels) for r in images.collect()} == {(3, 2, 3)}
+    got = {(r.x, r.y): (r.b, r.g, r.r) for r in views.image_pixels(images.where("image_id LIKE '%a.png'")).collect()}
+    assert got == {(x, y): (7, 20 * y, 10 * x) for x in range(3) for y in range(2)}
