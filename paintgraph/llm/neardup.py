@@ -227,11 +227,12 @@ def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     each = each.groupBy("m", "sum").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "m")
     rows = lab.join(shuffled(each), ["band", "h"]).withColumn("g", F.xxhash64("band", "h"))
     # sizes of one class differ by less than the threshold's ratio, so pairs above it are of one class or of neighbours
-    rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).otherwise(F.lit(0)).cast("int"))
+    rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / (1.0001 * F.log(F.lit(100.0 / percent))))).otherwise(F.lit(0)).cast("int"))
     rows = Table(rows, "open").df
-    blocks = Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks").df  # a large bucket's partition can be split
+    blocks = Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks").df
     near = lambda k: blocks.select("g", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"next{k}".replace("-", "_")))
-    r = rows.join(shuffled(blocks), ["g", "class"]).join(shuffled(near(1)), ["g", "class"], "left").join(shuffled(near(-1)), ["g", "class"], "left")
+    sizes = Table(blocks.join(near(1), ["g", "class"], "left").join(near(-1), ["g", "class"], "left"), "sizes").df
+    r = rows.join(shuffled(sizes), ["g", "class"])  # one join of written tables, so that a large bucket's partition can be split
     r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     c, own = F.col("class"), F.col("own")
     item = lambda c1, b1, c2, b2: F.xxhash64("g", c1, b1, c2, b2)
