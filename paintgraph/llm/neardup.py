@@ -218,21 +218,24 @@ def star_members(buckets: DataFrame, percent: int) -> DataFrame:
     return both.select("doc_id", "item", "side", F.lit(True).alias("across"), F.col("doc_id").alias("label"))
 
 
-def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> Table:
     """Members of the comparisons inside buckets that hold several components."""
     lab = buckets.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").select("band", "h", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    lab = Table(lab, "labelled").df
+    written = [Table(lab, "labelled")]
+    lab = written[-1].df
     each = lab.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
     # one bucket for each set of members
     each = each.groupBy("m", "sum").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "m")
     rows = lab.join(shuffled(each), ["band", "h"]).withColumn("g", F.xxhash64("band", "h"))
     # sizes of one class differ by less than the threshold's ratio, so pairs above it are of one class or of neighbours
     rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / (1.0001 * F.log(F.lit(100.0 / percent))))).otherwise(F.lit(0)).cast("int"))
-    rows = Table(rows, "open").df
-    blocks = Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks").df
+    written.append(Table(rows, "open"))
+    rows = written[-1].df
+    written.append(Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks"))
+    blocks = written[-1].df
     near = lambda k: blocks.select("g", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"next{k}".replace("-", "_")))
-    sizes = Table(blocks.join(near(1), ["g", "class"], "left").join(near(-1), ["g", "class"], "left"), "sizes").df
-    r = rows.join(shuffled(sizes), ["g", "class"])  # one join of written tables, so that a large bucket's partition can be split
+    written.append(Table(blocks.join(near(1), ["g", "class"], "left").join(near(-1), ["g", "class"], "left"), "sizes"))
+    r = rows.join(shuffled(written[-1].df), ["g", "class"])  # one join of written tables, so that a large bucket's partition can be split
     r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     c, own = F.col("class"), F.col("own")
     item = lambda c1, b1, c2, b2: F.xxhash64("g", c1, b1, c2, b2)
@@ -241,7 +244,10 @@ def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     same = F.transform(some("blocks"), lambda o: entry(item(c, F.least(own, o), c, F.greatest(own, o)), F.when(own <= o, 0).otherwise(1), own != o))
     above = F.transform(some("next1"), lambda o: entry(item(c, own, c + 1, o), F.lit(0), F.lit(True)))
     below = F.transform(some("next_1"), lambda o: entry(item(c - 1, o, c, own), F.lit(1), F.lit(True)))
-    return r.select("doc_id", "label", F.explode(F.concat(same, above, below)).alias("i")).select("doc_id", "i.item", "i.side", "i.across", "label")
+    done = Table(r.select("doc_id", "label", F.explode(F.concat(same, above, below)).alias("i")).select("doc_id", "i.item", "i.side", "i.across", "label"), "members")
+    for t in written:
+        t.free()
+    return done
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -259,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     near = Table(compared(docs, stars.df, words, percent), "links")
     stars.free()
     labels = components(near.df)
-    more = Table(open_members(buckets.df, labels.df, percent), "open")
+    more = open_members(buckets.df, labels.df, percent)
     buckets.free()
     rest = Table(compared(docs, more.df, words, percent), "links")
     for t in (more, labels):
