@@ -14,9 +14,12 @@ from . import numbering
 #: Name, hue shifts, saturation and value factors of the suggested palettes; the cycle of stand-in colours.
 SUGGESTED = [("Análoga", [-1 / 24, 0.0, 1 / 24], 0.9, 1.05), ("Complementaria", [0.0, 0.5], 1.0, 1.0), ("Triádica", [0.0, 1 / 3, 2 / 3], 0.95, 1.0)]
 STAND_INS = ["#d86f45", "#3f8f87", "#f2bd4b", "#8f6cc9", "#4d86c6", "#7fb069", "#d95d8c", "#52615a"]
+#: What is said of a palette of another size.
 FEWER = "La paleta tiene %d colores y este proyecto usa %d numeros. Se aplica igual; los numeros sin color conservan el color actual."
 MORE = "La paleta tiene %d colores y este proyecto usa %d numeros. Se aplica igual; los colores sobrantes no se usan."
+#: Most dominant colours, pixels that they take, saturation and value of stand-ins.
 CENTRES, LEAST_PIXELS, SEED_SV = 8, 50, (0.55, 0.82)
+#: Names and colours that are shown.
 PLAIN, WHITE, CURRENT = "Paleta editada", "#ffffff", "Paleta actual"
 
 

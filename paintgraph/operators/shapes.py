@@ -24,6 +24,8 @@ MASK_MIN, MASK_MIN_RATIO, MASK_MAX_RATIO, MASK_EPSILON = 350, 0.001, 0.92, 0.003
 CONTOUR_FLOOR, CONTOUR_SHARE = 0.0008, 0.35
 SUBZONES = ["lineart_slic_subzone", "lineart_curved_subzone"]
 UNMERGED = "lineart_slic_unmerged_small_fragment"
+#: Least area of a subzone and its share of the zone's minimum; simplification of superpixels (floor, share); snapping of fragments.
+SUBZONE_LEAST, SUBZONE_SHARE, PATCH_FLOOR, PATCH_SHARE, SNAP = 8, 0.15, 0.0014, 0.8, 2.0
 
 
 def _pairs(ring) -> list[tuple[float, float]]:
@@ -267,7 +269,7 @@ def subdivide(zones: DataFrame, min_area: float, target_factor: float, large_fac
     # few rows, each of much work
     pieces = pieces.repartition("image_id", "zone_id").mapInPandas(cut, f"image_id long, zone_id long, piece long, ring array<{POINT}>")
     new = pieces.select("image_id", "zone_id", "piece", "ring").withColumns(from_ring(F.col("ring")))
-    new = new.where((F.col("area_px") >= max(8, int(min_area * 0.15))) & (F.size("polygon") >= 3))
+    new = new.where((F.col("area_px") >= max(SUBZONE_LEAST, int(min_area * SUBZONE_SHARE))) & (F.size("polygon") >= 3))
     enough = F.count(F.lit(1)).over(Window.partitionBy("image_id", "zone_id")) > 1
     new = scratch.materialize(new.withColumn("enough", enough).where("enough"), "pieces")
     made = new.select("image_id", "zone_id", "piece", "area_px", "x0", "y0", "w", "h", F.lit(None).cast("long").alias("num"), F.transform("polygon", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("polygon"), F.lit(SUBZONES[1]).alias("source"), F.col("zone_id").cast("string").alias("parent"))
@@ -284,10 +286,10 @@ def noise(inside: DataFrame) -> DataFrame:
     cols = {f.name: f.dataType.simpleString() for f in inside.schema.fields}
 
     def field(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .rings import noise_field
+        from .rings import NOISE_SEED, noise_field
 
         x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
-        made = noise_field(int(y.max() - y.min()) + 7, int(x.max() - x.min()) + 7, int(pdf.zone_id.iloc[0]) * 7919)
+        made = noise_field(int(y.max() - y.min()) + 7, int(x.max() - x.min()) + 7, int(pdf.zone_id.iloc[0]) * NOISE_SEED)
         return pdf.assign(noise=made[y - y.min() + 3, x - x.min() + 3])
 
     return inside.groupBy("image_id", "zone_id").applyInPandas(field, ", ".join(f"{n} {t}" for n, t in cols.items()) + ", noise double")
@@ -317,11 +319,11 @@ def superpixels(pixels: DataFrame, zones: DataFrame, target: float, compactness:
     labelled = raster.run_components(raster.merged_runs(mask.select(*keys, "y", c("x").alias("x0"), c("x").alias("x1")), keys), keys)
     labelled = scratch.materialize(labelled, "labelled")
     biggest = labelled.groupBy(*keys, "component").agg(F.sum(c("x1") - c("x0") + 1).alias("n")).groupBy(*keys).agg(F.max_by("component", F.struct("n", -c("component"))).alias("component"))
-    z = contours(labelled.join(biggest, [*keys, "component"], "left_semi"), keys).withColumn("area_px", F.round(F.abs(S.shoelace("polygon")) / 2, 2)).where(c("area_px") >= max(8, int(min_area * 0.15)))
+    z = contours(labelled.join(biggest, [*keys, "component"], "left_semi"), keys).withColumn("area_px", F.round(F.abs(S.shoelace("polygon")) / 2, 2)).where(c("area_px") >= max(SUBZONE_LEAST, int(min_area * SUBZONE_SHARE)))
     side = lambda k: [f(F.transform("polygon", lambda p: p[k])) for f in (F.array_min, F.array_max)]
     (x0, x1), (y0, y1) = side("x"), side("y")
     z = z.withColumns({"x0": x0, "y0": y0, "w": x1 - x0 + 1, "h": y1 - y0 + 1})
-    z = polygons.simplified(z, max(0.0014, epsilon * 0.8)).where(F.size("polygon") >= 3)
+    z = polygons.simplified(z, max(PATCH_FLOOR, epsilon * PATCH_SHARE)).where(F.size("polygon") >= 3)
     enough = F.count(F.lit(1)).over(Window.partitionBy("image_id", "zone_id")) > 1
     return z.withColumn("enough", enough).where("enough").select("image_id", "zone_id", c("c").alias("piece"), "area_px", "x0", "y0", "w", "h", "polygon", F.lit(SUBZONES[0]).alias("source"))
 
@@ -372,8 +374,8 @@ def merge_fragments(zones: DataFrame, min_area: float, rounds: int = 3) -> DataF
             own = min(small, key=lambda r: r["area_px"])
             scored = [(r["area_px"], border_score(own["ring"], r["ring"]), r) for r in now if r is not own]
             for _, _, other in sorted((x for x in scored if x[1] > 0), key=lambda x: x[:2], reverse=True):
-                moved = snapped(other["ring"], own["ring"], 2.0)
-                found = united(snapped(own["ring"], moved, 2.0), moved)
+                moved = snapped(other["ring"], own["ring"], SNAP)
+                found = united(snapped(own["ring"], moved, SNAP), moved)
                 if len(found) == 1:
                     ring = found[0]
                     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
