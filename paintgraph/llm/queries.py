@@ -1,4 +1,4 @@
-"""The queries of the ten text operators, over whole tables with production parameters."""
+"""The queries of the operators of this subpackage, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -80,6 +80,27 @@ def op10_minhash_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    ship(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import resampling
+
+    ship(spark)
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quantize
+
+    ship(spark)
+    return quantize.digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     import corpus_pipeline
@@ -145,6 +166,43 @@ l AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.node = d.doc_id"""
 
 
+OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+m AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY 1, 2),
+crc AS (SELECT list(x ORDER BY i) AS r FROM (SELECT i, list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i) AS x FROM range(0, 256) t(i))),
+v AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM m UNION SELECT f FROM b)),
+y AS (SELECT f, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2*i+1:2*i+2] AS BIGINT)) AS bytes FROM v),
+k AS (SELECT f, xor(list_reduce(bytes, lambda a, c: xor(a >> 8, r[(xor(a, c) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, sum(n) AS n FROM m JOIN k USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN k USING (f) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000*ln((coalesce(t.n, 0)+1)::DOUBLE*((SELECT coalesce(sum(n), 0) FROM s)+10000)::DOUBLE/((s.n+1)::DOUBLE*((SELECT coalesce(sum(n), 0) FROM t)+10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+e AS (SELECT doc_id, CAST(sum(n*gain) AS BIGINT) AS weight FROM m JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000*ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)+0.5::DOUBLE)/4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN e USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.*, rank FROM z LEFT JOIN (SELECT doc_id, rank FROM o WHERE rank <= 10*n // 100) USING (doc_id)"""
+
+
+def _op13_sql() -> str:
+    """Six rounds of assignment and means over parts, written out one after another."""
+    from .quantize import ENTRIES, PARTS, ROUNDS, SCALE
+
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"a{r} AS (SELECT row, p, e, dist FROM (SELECT x.row, p, e, sum((x.v-c.v)*(x.v-c.v)) AS dist, row_number() OVER (PARTITION BY x.row, p ORDER BY sum((x.v-c.v)*(x.v-c.v)), e) AS r FROM x JOIN c{r} c USING (p, j) GROUP BY x.row, p, e) WHERE r = 1)")
+        if r < ROUNDS:
+            steps.append(f"m{r} AS (SELECT p, e, j, sum(v)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (row, p) GROUP BY 1, 2, 3)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT p, e, j, CASE WHEN n IS NULL THEN v ELSE (s - ((s % n) + n) % n) // n END AS v FROM c{r} LEFT JOIN m{r} USING (p, e, j))")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, (i-1) // d AS p, (i-1) % d AS j, CAST(floor({SCALE}*embedding[i]::DOUBLE) AS BIGINT) AS v FROM (SELECT row, embedding, len(embedding) // {PARTS} AS d, unnest(range(1, len(embedding)+1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT p, row-1 AS e, j, v FROM x WHERE row <= {ENTRIES}),
+{", ".join(steps)},
+codes AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{ROUNDS} GROUP BY 1),
+book AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM c{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (row), book"""
+
+
 def _op1_sql() -> str:
     """The counts, both histograms, the references of each language and the two distances."""
     from .quality import CLASSES, COMMON, MAX_CLASS, MAX_COMMON, MIN_WORDS, N_COMMON, NOISE
@@ -177,6 +235,6 @@ NOT base_failed AND NOT (n_words >= {MIN_WORDS} AND (cd > {MAX_CLASS} OR wd > {M
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others hold learned models, tokenizers or a driver-made slot map: tests/llm compare op2 and op4 with plain
+    """The others hold learned models, tokenizers or a driver-made slot map: tests/llm compare op2, op4 and op11 with plain
     Python, op6 and op7 by held-out rows and part by part, the pipeline with its stages written out."""
-    return {"op1_quality_divergence": _op1_sql(), "op3_suffix_array_dedup": OP3, "op5_suffix_automata_dedup": OP5, "op8_line_chunks": OP8, "op9_suffix_array_decontamination": OP9, "op10_minhash_sketches": OP10}
+    return {"op1_quality_divergence": _op1_sql(), "op3_suffix_array_dedup": OP3, "op5_suffix_automata_dedup": OP5, "op8_line_chunks": OP8, "op9_suffix_array_decontamination": OP9, "op10_minhash_sketches": OP10, "op12_importance_resampling": OP12, "op13_vector_codes": _op13_sql()}
