@@ -109,7 +109,9 @@ def _first(*rules: tuple[Column, Column | str]) -> Column:
 def merge_answers(zones: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers to merges (image_id, ids, keep): status 200 and the merged ring, or `requires_confirmation`, or status 400
     and the reason. Ids are a list; two different ones that exist are wanted, whose union must be one part."""
-    z = zones.select("image_id", "zone_id", "num", shapes.single("polygon").alias("ring"))
+    asked = requests.select("image_id", F.explode("ids").alias("zone_id")).distinct()  # rings of these alone are repaired
+    z = zones.join(asked, ["image_id", "zone_id"], "left_semi").select("image_id", "zone_id", "num", shapes.single("polygon").alias("ring"))
+    z = scratch.materialize(z, "asked")
     r = requests.withColumns({"id1": F.get("ids", F.lit(0)), "id2": F.get("ids", F.lit(1)), "two": F.coalesce((F.size("ids") == 2) & (F.size(F.array_distinct("ids")) == 2), F.lit(False))})
     for i in ("1", "2"):
         r = r.join(z.withColumnsRenamed({"zone_id": f"id{i}", "num": f"num{i}", "ring": f"ring{i}"}).withColumn(f"has{i}", F.lit(True)), ["image_id", f"id{i}"], "left")
@@ -149,7 +151,8 @@ def merged_rings(zones: DataFrame, answers: DataFrame) -> DataFrame:
 def split_answers(zones: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers to splits (image_id, zone_id, line: array of points): status 200 and two rings, the larger first, or 400
     and the reason. The line goes on at both ends by three times the zone's longer side."""
-    z = zones.select("image_id", "zone_id", shapes.single("polygon").alias("own"))
+    asked = requests.select("image_id", "zone_id").distinct()
+    z = zones.join(asked, ["image_id", "zone_id"], "left_semi").select("image_id", "zone_id", shapes.single("polygon").alias("own"))
     r = requests.join(z.withColumn("has", F.lit(True)), ["image_id", "zone_id"], "left")
     span = lambda k: F.array_max(F.transform("own", lambda p: p[k])) - F.array_min(F.transform("own", lambda p: p[k]))
     r = r.withColumn("long", polygons.extended_line("line", 3.0 * F.greatest(span("x"), span("y"), F.lit(1.0))))

@@ -53,9 +53,12 @@ def adjacency(zones: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 
 
 def ring_adjacency(zones: DataFrame, tolerance: int = TOLERANCE, ring: str = "polygon") -> DataFrame:
-    """image_id, src, dst of general rings: boxes meet by grid cells, then the distance of the boundaries decides."""
-    near = candidates(zones, tolerance).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col(f"a.{ring}").alias("p"), F.col(f"b.{ring}").alias("q"))
-    return near.where(polygons.boundary_distance("p", "q") <= tolerance).select("image_id", "src", "dst")
+    """image_id, src, dst of general rings: boxes meet by grid cells, then the distance of the boundaries decides. Pairs are
+    dealt out anew, for few rows are much work."""
+    gx, gy = box_gap("x0", "w"), box_gap("y0", "h")
+    near = candidates(zones, tolerance).where(gx * gx + gy * gy <= tolerance * tolerance).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col(f"a.{ring}").alias("p"), F.col(f"b.{ring}").alias("q"))
+    parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows aren't put together
+    return near.repartition(parts, "image_id", "src", "dst").where(polygons.boundary_distance("p", "q") <= tolerance).select("image_id", "src", "dst")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
 
@@ -27,20 +28,22 @@ def to_side(x: Column, y: Column, s: Column) -> Column:
     return F.hypot(x - s["ax"] - along * dx, y - s["ay"] - along * dy)
 
 
-def _turn(s: Column, x: Column, y: Column) -> Column:
-    return (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+@F.pandas_udf(DoubleType())
+def _gaps(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    import numpy as np
 
+    from .rings import boundary_gaps
 
-def between_sides(s: Column, t: Column) -> Column:
-    """Distance of two segments; 0 where they cross."""
-    cross = (_turn(s, t["ax"], t["ay"]) * _turn(s, t["bx"], t["by"]) < 0) & (_turn(t, s["ax"], s["ay"]) * _turn(t, s["bx"], s["by"]) < 0)
-    ends = [to_side(s["ax"], s["ay"], t), to_side(s["bx"], s["by"], t), to_side(t["ax"], t["ay"], s), to_side(t["bx"], t["by"], s)]
-    return F.when(cross, 0.0).otherwise(F.least(*ends))
+    joined = lambda xs, ys: [np.stack([x, y], 1) if x is not None and len(x) else () for x, y in zip(xs, ys, strict=True)]
+    gaps = boundary_gaps(joined(ax, ay), joined(bx, by))
+    return pd.Series(gaps).astype(object).where(~np.isnan(gaps), None)
 
 
 def boundary_distance(first: str, second: str) -> Column:
-    """Distance of two boundaries: a ring deep inside another is as far from it as from its sides. Null for an empty ring."""
-    return F.array_min(F.flatten(F.transform(sides(first), lambda s: F.transform(sides(second), lambda t: between_sides(s, t)))))
+    """Distance of two boundaries: a ring deep inside another is as far from it as from its sides. Null for an empty ring.
+    Pairs of a batch are measured together, in blocks."""
+    of = lambda r, k: F.transform(F.col(r), lambda p: p[k].cast("double"))
+    return _gaps(of(first, "x"), of(first, "y"), of(second, "x"), of(second, "y"))
 
 
 def inside(ring: str, x: Column, y: Column) -> Column:

@@ -150,14 +150,25 @@ def merged_runs(r: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return n.groupBy(*keys, "y", "_n").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_n")
 
 
+#: Width of the cells by which runs of neighbouring rows meet; runs are named by their row and first column, ROW apart.
+CELL, ROW = 256, 1 << 32
+
+
 def run_components(r: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """8-connected components of runs, apart for each value of the keys (image_id): keys, y, x0, x1, component, which is
-    the smallest of its nodes y * 100000 + x0. Runs, not pixels, are the graph's nodes."""
+    the smallest of its nodes y * 2^32 + x0. Runs, not pixels, are the graph's nodes; places from 2^31 on raise an error.
+
+    Runs of neighbouring rows meet by cells of columns, so a row of many runs isn't held against all of the next.
+    """
     keys = keys or ["image_id"]
-    nodes = r.withColumn("node", (F.col("y") * 100_000 + F.col("x0")).cast("long"))
-    a, b = nodes.alias("a"), nodes.alias("b")
     c = F.col
-    on = (c("b.y") == c("a.y") + 1) & (c("a.x0") <= c("b.x1") + 1) & (c("b.x0") <= c("a.x1") + 1)
+    held = lambda k: F.when(F.abs(c(k)) < ROW // 2, c(k).cast("long")).otherwise(F.raise_error(F.concat(F.lit(f"{k} is beyond 2^31: "), c(k).cast("string"))))
+    nodes = r.withColumn("node", held("y") * ROW + held("x0"))
+    cell = lambda low, high: F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
+    own = nodes.select(*keys, "y", "x0", "x1", "node")
+    a, b = own.withColumn("cell", cell(c("x0") - 1, c("x1") + 1)).alias("a"), own.withColumn("cell", cell(c("x0"), c("x1"))).alias("b")
+    on = (c("b.y") == c("a.y") + 1) & (c("a.cell") == c("b.cell")) & (c("a.x0") <= c("b.x1") + 1) & (c("b.x0") <= c("a.x1") + 1)
+    on &= c("a.cell") == F.floor(F.greatest(c("a.x0") - 1, c("b.x0")) / CELL)  # a pair counts in the cell where it begins
     for k in keys:
         on &= c(f"a.{k}") == c(f"b.{k}")
     edges = a.join(b, on).select(*[c(f"a.{k}").alias(k) for k in keys], c("a.node").alias("u"), c("b.node").alias("v"))

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from .. import scratch
 from ..functions import scalars as S
+from . import contours as borders
 from . import palette, polygons, raster
+from .contours import contours
 
 POINT = "struct<x:double,y:double>"
 _RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
@@ -103,28 +105,16 @@ def filled_runs(zones: DataFrame, ring: str = "polygon") -> DataFrame:
     return z.groupBy("image_id", "zone_id", "y", "n").agg(F.min("i.a").alias("x0"), F.max("i.b").alias("x1")).drop("n")
 
 
-def contours(labelled: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, polygon: the outer border of each 8-connected component (runs y, x0, x1), corners where it turns.
-
-    A group is one component of one image.
-    """
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .rings import traced
-
-        ring = traced(list(zip(pdf.y, pdf.x0, pdf.x1, strict=True)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "polygon": [[{"x": int(x), "y": int(y)} for x, y in ring]]})
-
-    schema = ", ".join(f"{k} long" for k in keys) + ", polygon array<struct<x:bigint,y:bigint>>"
-    return labelled.select(*[F.col(k).cast("long").alias(k) for k in keys], "y", "x0", "x1").groupBy(*keys).applyInPandas(trace, schema)
-
-
 def lineart_zones(labelled: DataFrame, min_area: float, max_area: float, epsilon: float) -> DataFrame:
     """Zones of the components of the paper between lines: gates by pixels and by the contour's area, simplified rings,
     ids in reading order. labelled: image_id, y, x0, x1, component."""
     stats = raster.component_stats(labelled).where(F.col("area").between(min_area, max_area))
     kept = labelled.join(stats.select("image_id", "component"), ["image_id", "component"], "left_semi")
-    z = contours(kept, ["image_id", "component"]).withColumn("area_px", F.round(F.abs(S.shoelace("polygon")) / 2, 2)).where(F.col("area_px") >= min_area)
+    keys = ["image_id", "component"]
+    firsts, moves = borders.moves(kept, keys)
+    wide = scratch.materialize(borders.measures(firsts, moves, keys).where(F.col("area") >= min_area), "contours")  # rings of these alone are gathered
+    z = borders.rings(firsts.join(wide, keys, "left_semi"), moves.join(wide.hint("merge"), keys, "left_semi"), keys)
+    z = z.join(wide.select(*keys, F.round("area", 2).alias("area_px")), keys)
     z = polygons.simplified(z, max(CONTOUR_FLOOR, epsilon * CONTOUR_SHARE)).where(F.size("polygon") >= 3)
     z = z.join(stats.select("image_id", "component", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h"), ["image_id", "component"])
     order = Window.partitionBy("image_id").orderBy("y0", "x0", F.desc("area_px"), "component")
@@ -236,6 +226,65 @@ def from_ring(ring: Column) -> dict[str, Column]:
     return {"polygon": whole, "area_px": F.round(ring_area(ring), 2), "x0": F.floor(low("x")).cast("long"), "y0": F.floor(low("y")).cast("long"), "w": up(high("x") - low("x")), "h": up(high("y") - low("y"))}
 
 
+# --- polygons with holes: arrays of rings, the outer one first
+
+
+_POLYGONS = T.ArrayType(_RINGS)
+
+
+def _polygon(rings) -> list:
+    return [_pairs(r) for r in rings] if rings is not None else []
+
+
+def _polygons(found) -> list:
+    return [[_points(r) for r in p] for p in found]
+
+
+@F.pandas_udf(_POLYGONS)
+def _repaired(polygon: pd.Series) -> pd.Series:
+    from . import overlay
+
+    return pd.Series([_polygons(overlay.valid(_polygon(p))) for p in polygon])
+
+
+@F.pandas_udf(_POLYGONS)
+def _merged(first: pd.Series, second: pd.Series) -> pd.Series:
+    from . import overlay
+
+    return pd.Series([_polygons(overlay.union(_polygon(a), _polygon(b))) for a, b in zip(first, second, strict=True)])
+
+
+@F.pandas_udf(_POLYGONS)
+def _split(polygon: pd.Series, line: pd.Series) -> pd.Series:
+    from . import overlay
+
+    return pd.Series([_polygons(overlay.cut(_polygon(p), _pairs(l))) for p, l in zip(polygon, line, strict=True)])
+
+
+def _rings_of(polygon: str) -> Column:
+    return F.transform(F.coalesce(F.col(polygon), F.array()), lambda r: F.transform(r, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+
+
+def repaired(polygon: str) -> Column:
+    """What the rings of a polygon enclose by the even-odd rule, as polygons with holes above one square pixel, largest first."""
+    return _repaired(_rings_of(polygon))
+
+
+def merged(first: str, second: str) -> Column:
+    """Parts of the union of two polygons with holes."""
+    return _merged(_rings_of(first), _rings_of(second))
+
+
+def split(polygon: str, line: str) -> Column:
+    """Pieces of a polygon with holes that a line leaves."""
+    return _split(_rings_of(polygon), _doubles(line))
+
+
+def polygon_area(polygon: Column) -> Column:
+    """Area of the outer ring without its holes."""
+    return F.when(F.size(polygon) > 0, F.aggregate(F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0))), ring_area(F.get(polygon, F.lit(0))), lambda a, r: a - ring_area(r))).otherwise(0.0)
+
+
 # --- subdivision and fragments
 
 
@@ -311,7 +360,7 @@ def superpixels(pixels: DataFrame, zones: DataFrame, target: float, compactness:
     s = inside.join(size, ["image_id", "zone_id"]).withColumn("key", F.concat_ws("-", "image_id", "zone_id"))
     place = lambda k: F.round(c(k) * compactness / c("step"), 6).alias(k)
     feature = F.round((c("v") / 255.0 + c("noise")) * 50, 6).alias("z")
-    s = s.select(c("key").alias("image_id"), (c("y") * 100_000 + c("x")).alias("id"), place("x"), place("y"), feature, F.lit(1).cast("long").alias("weight"), "parts", c("image_id").alias("image"), "zone_id", c("x").alias("px"), c("y").alias("py"))
+    s = s.select(c("key").alias("image_id"), (c("y") * raster.ROW + c("x")).alias("id"), place("x"), place("y"), feature, F.lit(1).cast("long").alias("weight"), "parts", c("image_id").alias("image"), "zone_id", c("x").alias("px"), c("y").alias("py"))
     found, _ = palette.lloyd_by_image(s, "parts", rounds)
     keys = ["image_id", "zone_id", "c"]
     mask = found.select(c("image").alias("image_id"), "zone_id", c("c").cast("long").alias("c"), c("px").alias("x"), c("py").alias("y"))

@@ -51,7 +51,9 @@ _NEXT = "e AS MATERIALIZED (SELECT a.image_id, a.node AS u, b.node AS v FROM r a
 
 @query(f"WITH RECURSIVE {_P}, {_RUNS}, {_NEXT}, c AS (SELECT image_id, node, min(root) AS component FROM w GROUP BY 1, 2) SELECT image_id, component, min(x0) AS x, min(y) AS y, max(x1)-min(x0)+1 AS w, max(y)-min(y)+1 AS h, CAST(sum(x1-x0+1) AS BIGINT) AS area FROM r JOIN c USING (image_id, node) GROUP BY 1, 2")
 def run_components(spark, d):
-    return raster.component_stats(raster.run_components(raster.runs(pixels(spark, d))))
+    s = raster.component_stats(raster.run_components(raster.runs(pixels(spark, d))))
+    number = F.floor(F.col("component") / raster.ROW) * 100_000 + F.col("component") % raster.ROW  # pages are 64 wide
+    return s.withColumn("component", number)
 
 
 @query(f"WITH {_P}, {_V} SELECT image_id, x, y, CAST(CASE WHEN x IN (0,63) OR y IN (0,63) THEN 255 ELSE v END AS BIGINT) AS v FROM v")

@@ -91,25 +91,6 @@ def test_borders():
         assert math.isclose(R.near_border(a, b, 5.0), step[far < 5].sum(), rel_tol=0.02, abs_tol=0.1)
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_traced_border_encloses_its_pixels(seed):
-    r = random.Random(seed)
-    cells = {(0, 0)}
-    while len(cells) < 60:  # one 8-connected blob
-        y, x = r.choice(sorted(cells))
-        cells.add((y + r.choice((-1, 0, 1)), x + r.choice((-1, 0, 1))))
-    ring = R.traced([(y, x, x) for y, x in sorted(cells)])
-    assert set((y, x) for x, y in ring) <= cells and ring[0][::-1] == min(cells)
-    assert (min(p[0] for p in ring), max(p[0] for p in ring)) == (min(c[1] for c in cells), max(c[1] for c in cells))
-    sides = R.sides_of(ring)
-    on = lambda x, y: any(abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) < 1e-9 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by) for ax, ay, bx, by in sides)
-    assert all(on(x, y) or R.contains(ring, x, y) for y, x in cells)
-
-
-def test_single_pixel_and_line():
-    assert R.traced([(4, 7, 7)]) == [(7, 4)] and R.traced([(0, 0, 5)]) == [(0, 0), (5, 0)]
-
-
 def test_subdivision_is_repeatable_and_whole():
     ring = [(0, 0), (160, 0), (160, 90), (0, 90)]
     a, b = R.subdivided(ring, 5, 3000, 300, 64), R.subdivided(ring, 5, 3000, 300, 64)
@@ -122,3 +103,131 @@ def test_noise_is_repeatable_and_smooth():
     assert (a == R.noise_field(60, 80, 7919)).all() and (a.min(), a.max()) == (0.0, 1.0) and a.shape == (60, 80)
     assert np.abs(np.diff(a, axis=1)).mean() < 0.05 and not np.allclose(a, R.noise_field(60, 80, 7920))
     assert R.noise_field(3, 3, 1).shape == (3, 3)
+
+
+
+SQUARE_WITH_HOLE = [[(0, 0), (30, 0), (30, 30), (0, 30)], [(10, 10), (20, 10), (20, 20), (10, 20)]]
+
+
+def in_polygon(polygon, x, y):
+    return sum(R.contains(r, x, y) for r in polygon) % 2 == 1
+
+
+def test_holes_survive_repair_union_and_cuts():
+    from paintgraph.operators import overlay as O
+
+    (p,) = O.valid(SQUARE_WITH_HOLE)
+    assert len(p) == 2 and O.polygon_area(p) == 800
+    (u,) = O.union(SQUARE_WITH_HOLE, [[(25, 5), (40, 5), (40, 8), (25, 8)]])
+    assert len(u) == 2 and O.polygon_area(u) == 830
+    (u,) = O.union(SQUARE_WITH_HOLE, [[(12, 12), (18, 12), (18, 18), (12, 18)]])[:1]
+    assert O.polygon_area(u) == 800  # an island in the hole is a part of its own
+    assert len(O.union(SQUARE_WITH_HOLE, [[(12, 12), (18, 12), (18, 18), (12, 18)]])) == 2
+    (u,) = O.union(SQUARE_WITH_HOLE, [[(5, 5), (25, 5), (25, 15), (5, 15)]])
+    assert O.polygon_area(u) == 850 and len(u) == 2
+    (u,) = O.union(SQUARE_WITH_HOLE, [[(10, 10), (20, 10), (20, 20), (10, 20)]])
+    assert len(u) == 1 and O.polygon_area(u) == 900
+    pieces = O.cut(SQUARE_WITH_HOLE, [(5, -1), (5, 31)])
+    assert [O.polygon_area(x) for x in pieces] == [650, 150] and [len(x) for x in pieces] == [2, 1]
+    assert [O.polygon_area(x) for x in O.cut(SQUARE_WITH_HOLE, [(-1, 15), (31, 15)])] == [400, 400]
+    deep = [*SQUARE_WITH_HOLE, [(12, 12), (18, 12), (18, 18), (12, 18)], [(14, 14), (16, 14), (16, 16), (14, 16)]]
+    assert [(O.polygon_area(x), len(x)) for x in O.valid(deep)] == [(800, 2), (32, 2)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_overlays_agree_with_points(seed):
+    from paintgraph.operators import overlay as O
+
+    r = random.Random(seed)
+    shape = lambda: [[(60 + x, 60 + y) for x, y in ((d * math.cos(a), d * math.sin(a)) for a, d in ((2 * math.pi * i / n, r.uniform(15, 55)) for i in range(n)))] for n in (r.randint(4, 30), r.randint(3, 9))]
+    a, b = shape(), shape()
+    found, own = O.union(a, b, 0.0), O.valid(a, 0.0)
+    pieces = [x for p in own for x in O.cut(p, [(0, r.uniform(30, 90)), (60, r.uniform(30, 90)), (130, r.uniform(30, 90))], 0.0)]
+    assert math.isclose(sum(map(O.polygon_area, pieces)), sum(map(O.polygon_area, own)), rel_tol=1e-6)
+    for _ in range(300):
+        x, y = r.uniform(0, 120), r.uniform(0, 120)
+        inside = in_polygon(a, x, y)
+        assert any(in_polygon(p, x, y) for p in found) == (inside or in_polygon(b, x, y))
+        assert sum(in_polygon(p, x, y) for p in own) == sum(in_polygon(p, x, y) for p in pieces) == inside
+
+
+def test_rings_of_many_sides_take_bounded_memory():
+    import tracemalloc
+
+    from paintgraph.operators import overlay as O
+
+    wave = lambda n, x, k: [(x + (400 + 20 * math.sin(k * a)) * math.cos(a), 500 + (400 + 20 * math.sin(k * a)) * math.sin(a)) for a in (math.tau * i / n for i in range(n))]
+    a, b = wave(20_000, 500, 60), wave(20_000, 620, 50)
+    tracemalloc.start()
+    parts = O.union([a], [b])
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 200e6 and max(R.area(a), R.area(b)) < O.polygon_area(parts[0]) < R.area(a) + R.area(b)
+
+
+def test_snapping_moves_corners_and_sides():
+    right = [(11, 3), (20, 3), (20, 7), (11, 7)]
+    assert R.snapped(SQUARE, right, 2.0) == [(0, 0), (10, 0), (11, 3), (11, 7), (10, 10), (0, 10)]  # its side takes the other's corners
+    assert R.snapped(SQUARE, right, 0.5) == [tuple(map(float, p)) for p in SQUARE]
+    assert R.snapped(SQUARE, [(10.5, 0.5), (11, 9), (20, 4)], 1.5)[1:3] == [(10.5, 0.5), (11, 9)]
+    for _ in range(30):
+        a, b, tol = star(12), star(9, 40.0, 60.0), rng.uniform(1, 9)
+        got = R.snapped(a, b, tol)
+        moved = []
+        for p in a:  # plain form: nearest corner, then nearest side for the others
+            d, q = min((math.dist(p, q), i) for i, q in enumerate(b))
+            moved.append(tuple(b[q]) if d < tol else p)
+        moved = [p for i, p in enumerate(moved) if i == 0 or p != moved[i - 1]]
+        moved = moved[:-1] if len(moved) > 1 and moved[0] == moved[-1] else moved
+        put = {}
+        for q in b:
+            if q in moved:
+                continue
+            best = None
+            for k, (p, n) in enumerate(zip(moved, [*moved[1:], moved[0]], strict=True)):
+                d2 = math.dist(p, n) ** 2
+                t = ((q[0] - p[0]) * (n[0] - p[0]) + (q[1] - p[1]) * (n[1] - p[1])) / max(d2, 1e-12)
+                off = math.dist(q, (p[0] + t * (n[0] - p[0]), p[1] + t * (n[1] - p[1])))
+                if 0 < t < 1 and off < tol and (best is None or off < best[0]):
+                    best = (off, k, t)
+            if best:
+                put.setdefault(best[1], []).append((best[2], q))
+        assert got == [x for k, p in enumerate(moved) for x in (p, *[q for _, q in sorted(put.get(k, ()))])]
+
+
+def plain_distances(mask):
+    off = np.argwhere(~mask)
+    return {tuple(p): np.hypot(*(off - p).T).min() for p in np.argwhere(mask)}
+
+
+@pytest.mark.parametrize("density", [0.3, 0.9, 0.995])
+def test_distances_in_slabs(density):
+    mask = np.array([[rng.random() < density for _ in range(61)] for _ in range(45)])
+    mask[3, 5] = False
+    got = np.concatenate([d for _, d in R.squared_distances(mask, 7)])
+    assert all(math.isclose(math.sqrt(got[p]), d) for p, d in plain_distances(mask).items()) and (got[~mask] == 0).all()
+    y, x, d = R.farthest(mask)
+    assert math.isclose(d, max(plain_distances(mask).values())) and math.isclose(math.sqrt(got[y, x]), d)
+
+
+def test_a_large_mask_takes_bounded_memory():
+    import tracemalloc
+
+    y, x = np.mgrid[-2500:2500, -2500:2500]
+    mask = (x * x + y * y < 2400**2) & (x * x + y * y > 200**2)
+    del x, y
+    tracemalloc.start()
+    _, _, d = R.farthest(mask)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(d - 1100) < 1.5 and used < 300e6
+
+
+def test_gaps_of_boundaries():
+    a = [star(n, 20.0, 30 + 9 * i, 40) for i, n in enumerate((3, 5, 5, 9, 40))]
+    b = [star(n, 15.0, 60, 40 + 8 * i) for i, n in enumerate((4, 7, 7, 3, 55))]
+    pts = lambda r: np.concatenate([np.linspace(p, q, 300) for p, q in zip(r, [*r[1:], r[0]], strict=True)])
+    for g, p, q in zip(R.boundary_gaps(a, b), a, b, strict=True):
+        near = min(np.hypot(*(pts(q) - x).T).min() for x in pts(p))
+        assert near - 0.35 <= g <= near + 1e-9
+    assert np.isnan(R.boundary_gaps([[]], [SQUARE])[0]) and R.boundary_gaps([SQUARE], [[(2, 2), (4, 2), (4, 4)]])[0] == 2
