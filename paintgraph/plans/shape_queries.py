@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import edits, graph, layout, palette, raster, render, shapes
+from ..operators import contours, edits, graph, layout, lineart, palette, raster, render, shapes
 from ..sources.views import PIXELS, ZONES, pixels, zones
-from .pixel_queries import ZONE_ROUNDS, _lloyd_sql
+from .pixel_queries import _NEXT, ZONE_ROUNDS, _lloyd_sql, _window
 from .zone_queries import _E, _PLACED, _ROWN, LABEL_MIN, N
 from .zone_queries import SQL as _ZONE_SQL
 
@@ -77,6 +77,48 @@ def pole_distance(spark, d):
     return shapes.with_pole(_rings(spark, d), "polygon", "p").select("image_id", "zone_id", F.col("p.d").alias("distance"))
 
 
+def _bent(spark, d):
+    """Zones without the lower right quarter of their box."""
+    at = lambda x, y: F.struct((F.col("x0") + x).alias("x"), (F.col("y0") + y).alias("y"))
+    w, h, zero = F.col("w"), F.col("h"), F.lit(0).cast("long")
+    half = lambda c: F.floor(c / 2)
+    return zones(spark, d).withColumn("polygon", F.array(at(zero, zero), at(w, zero), at(w, half(h)), at(half(w), half(h)), at(half(w), h), at(zero, h)))
+
+
+@query(
+    f"WITH {_Z}, c AS (SELECT image_id, zone_id, w, x, CASE WHEN x<0 OR x>w THEN -1 WHEN x<=w//2 THEN h ELSE h//2 END AS b FROM z, range(-1, 60) r(x) WHERE x<=w+1), d AS (SELECT image_id, zone_id, x, y, CASE WHEN y>b THEN 0 ELSE least(y+1, b-y+1) END AS d FROM c, range(0, 60) r(y) WHERE y<=40+8), "
+    "n AS (SELECT a.image_id, a.zone_id, a.x, a.y, min((a.x-b.x)*(a.x-b.x)+b.d*b.d) AS q FROM d a JOIN d b ON a.image_id=b.image_id AND a.zone_id=b.zone_id AND a.y=b.y WHERE a.d>0 GROUP BY 1, 2, 3, 4) SELECT image_id, zone_id, sqrt(max(q)) AS distance FROM n GROUP BY 1, 2"
+)
+def bent_pole_distance(spark, d):
+    """Distance of the poles of bent rings, to the nearest pixel outside in any direction."""
+    return shapes.with_pole(_bent(spark, d), "polygon", "p").select("image_id", "zone_id", F.col("p.d").alias("distance"))
+
+
+def _holed(spark, d):
+    """Zones as polygons with a hole of a third of each side, and a bar through the middle of the hole that reaches out to the right."""
+    def box(x, y, w, h):
+        at = lambda i, j: F.struct((x + i).cast("double").alias("x"), (y + j).cast("double").alias("y"))
+        zero = F.lit(0)
+        return F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h))
+
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    hw, hh = F.floor(w / 3), F.floor(h / 3)
+    z = zones(spark, d).withColumn("holed", F.array(box(x, y, w, h), box(x + hw, y + hh, hw, hh)))
+    return z.withColumn("bar", F.array(box(x + hw, y + hh + 1, w, F.lit(1)))).withColumn("line", F.array(*[F.struct((x + F.floor(hw / 2)).cast("double").alias("x"), (y + j).cast("double").alias("y")) for j in (F.lit(-1), h + 1)]))
+
+
+@query(
+    f"WITH {_Z}, a AS (SELECT *, w//3 AS hw, h//3 AS hh FROM z) SELECT image_id, zone_id, CAST(w*h-hw*hh AS DOUBLE) AS area, 1 AS parts, 1 AS holes, CAST(w*h-hw*hh+hw+hw AS DOUBLE) AS union_area, 1 AS union_parts, CASE WHEN hh>2 THEN 2 ELSE 1 END AS union_holes, "
+    "CASE WHEN hw//2>0 THEN 2 ELSE 1 END AS pieces, CAST(w*h-hw*hh-(hw//2)*h AS DOUBLE) AS largest_piece, 1 AS largest_holes FROM a"
+)
+def holed_overlays(spark, d):
+    """Repair, union and cuts of polygons with holes: areas without the holes, and how many holes are left."""
+    z = _holed(spark, d).withColumns({"r": shapes.repaired("holed"), "u": shapes.merged("holed", "bar"), "c": shapes.split("holed", "line")})
+    first = lambda c: F.get(c, F.lit(0))
+    area = lambda c: F.round(shapes.polygon_area(first(c)), 6)
+    return z.select("image_id", "zone_id", area("r").alias("area"), F.size("r").alias("parts"), (F.size(first("r")) - 1).alias("holes"), area("u").alias("union_area"), F.size("u").alias("union_parts"), (F.size(first("u")) - 1).alias("union_holes"), F.size("c").alias("pieces"), area("c").alias("largest_piece"), (F.size(first("c")) - 1).alias("largest_holes"))
+
+
 @query(f"WITH {_Z}, {_PLACED} SELECT image_id, zone_id, method, clearance_px FROM p WHERE method='representative_point'")
 def ring_labels(spark, d):
     """Labels that fit at the interior point; the others go to the pole, whose pixel distances have no short SQL."""
@@ -150,6 +192,88 @@ def lineart_all_zones(spark, d):
     return z.select("image_id", "zone_id", "area_px", "x0", "y0", "w", "h", S.svg_path("polygon").alias("path"))
 
 
+_RUNS_OF = "q AS (SELECT image_id, y, x, x-row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM {}), r AS MATERIALIZED (SELECT image_id, y, min(x) AS x0, max(x) AS x1, y*100000+min(x) AS node FROM q GROUP BY image_id, y, g)"
+#: Sides of pixels (x, y) of components, with the corners they run between; what follows each; the walk round each component.
+_WALK = (
+    "h AS (SELECT image_id, component, x, y, unnest([0, 1, 2, 3]) AS h FROM px), f AS MATERIALIZED (SELECT h.*, (h.y*100000+h.x)*4+h.h AS id, h.x+CAST(h.h IN (2, 3) AS INT) AS vx, h.y+CAST(h.h IN (1, 2) AS INT) AS vy, h.x+CAST(h.h IN (1, 2) AS INT) AS wx, h.y+CAST(h.h IN (0, 1) AS INT) AS wy FROM h ANTI JOIN px n ON n.image_id=h.image_id AND n.x=h.x+[-1, 0, 1, 0][h.h+1] AND n.y=h.y+[0, 1, 0, -1][h.h+1]), "
+    "s AS MATERIALIZED (SELECT a.image_id, a.id, b.id AS nxt FROM f a JOIN f b ON a.image_id=b.image_id AND a.component=b.component AND a.wx=b.vx AND a.wy=b.vy QUALIFY row_number() OVER (PARTITION BY a.image_id, a.id ORDER BY b.h<>(a.h+3)%4)=1), "
+    "k(image_id, component, id, pos, head) AS (SELECT image_id, component, min(id), 0, min(id) FROM f GROUP BY 1, 2 UNION ALL SELECT k.image_id, k.component, s.nxt, pos+1, head FROM k JOIN s USING (image_id, id) WHERE s.nxt<>head), "
+    "a0 AS (SELECT k.image_id, k.component, pos, f.x, f.y FROM k JOIN f USING (image_id, id)), a1 AS (SELECT *, coalesce(lag(x) OVER w, last_value(x) OVER v) AS px, coalesce(lag(y) OVER w, last_value(y) OVER v) AS py FROM a0 WINDOW w AS (PARTITION BY image_id, component ORDER BY pos), v AS (PARTITION BY image_id, component ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+    "a2 AS (SELECT *, x-px AS dx, y-py AS dy FROM a1 WHERE x<>px OR y<>py), a3 AS (SELECT *, coalesce(lag(dx) OVER w, last_value(dx) OVER v) AS ox, coalesce(lag(dy) OVER w, last_value(dy) OVER v) AS oy FROM a2 WINDOW w AS (PARTITION BY image_id, component ORDER BY pos), v AS (PARTITION BY image_id, component ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), "
+    "a4 AS (SELECT image_id, component, abs(sum(px*y-x*py))/2.0 AS area, count(*) FILTER (dx<>ox OR dy<>oy) AS corners FROM a3 GROUP BY 1, 2), m AS (SELECT image_id, component, coalesce(area, 0.0) AS area, coalesce(corners, 1) AS corners FROM (SELECT DISTINCT image_id, component FROM px) LEFT JOIN a4 USING (image_id, component))"
+)
+
+
+def _named(component):
+    """Components as row * 100000 + column of their first pixel, on pages that are not so wide."""
+    return (F.floor(component / raster.ROW) * 100_000 + component % raster.ROW).alias("component")
+
+
+@query(f"WITH RECURSIVE {_P}, {_RUNS_OF.format('p')}, {_NEXT}, c AS (SELECT image_id, node, min(root) AS component FROM w GROUP BY 1, 2), px AS MATERIALIZED (SELECT image_id, c.component, x0+i AS x, y FROM (SELECT *, unnest(range(0, x1-x0+1)) AS i FROM r) JOIN c USING (image_id, node)), {_WALK} SELECT * FROM m")
+def contour_measures(spark, d):
+    """Area and corners of the outer contour of every component of whole pages."""
+    labelled = raster.run_components(raster.runs(pixels(spark, d)))
+    keys = ["image_id", "component"]
+    m = contours.measures(*contours.moves(labelled, keys), keys)
+    return m.select("image_id", _named(F.col("component")), F.col("area").cast("double").alias("area"), "corners")
+
+
+def _drawn(spark, d):
+    """Whole pages of `pixels` as drawings: squares of four pixels that hold a dark one are black."""
+    cell = pixels(spark, d).where("b < 110").selectExpr("image_id", "x div 4 AS cx", "y div 4 AS cy").distinct()
+    at = cell.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return at.selectExpr("image_id", "cx * 4 + i AS x", "cy * 4 + j AS y", "0L AS v")
+
+
+#: The same pages, their median, lines, components and contours; the threshold's mean is a weighted sum over rows, then columns.
+def _lineart_sql(select: str) -> str:
+    w = raster.gaussian(S.BLOCK_SIZE)
+    weights = "[" + ", ".join(f"{x!r}::DOUBLE" for x in w) + "]"
+    r = len(w) - 1
+
+    def blur(source: str, value: str, name: str, out: str, along: str, across: str) -> str:
+        return f"{name} AS MATERIALIZED (SELECT a.image_id, a.{across}, t.g AS {along}, sum(a.{value}::DOUBLE*({weights})[abs(t.g-t.o)+1]) AS {out} FROM (SELECT g, o, greatest(0, least(63, o)) AS at FROM range(0, 64) p(g), range(-{r}, {64 + r}) q(o) WHERE abs(g-o)<={r}) t JOIN {source} a ON a.{along}=t.at GROUP BY ALL)"
+
+    def cross(step: str, source: str, name: str) -> str:
+        return f"{name}0 AS (SELECT *, {step}(v) {_window('y', 'x', 1)} AS m1 FROM {source}), {name} AS (SELECT image_id, x, y, {'greatest' if step == 'max' else 'least'}({step}(v) {_window('x', 'y', 1)}, m1) AS v FROM {name}0)"
+
+    return (
+        f"WITH RECURSIVE {_P}, dk AS (SELECT DISTINCT image_id, x//4 AS cx, y//4 AS cy FROM p WHERE b<110), pg AS (SELECT i.image_id, x, y, CASE WHEN dk.cx IS NULL THEN 255 ELSE 0 END AS v FROM (SELECT DISTINCT image_id FROM dk) i, range(0, 64) t(x), range(0, 64) u(y) LEFT JOIN dk ON dk.image_id=i.image_id AND dk.cx=t.x//4 AND dk.cy=u.y//4), "
+        f"md AS MATERIALIZED (SELECT image_id, x, y, CASE WHEN sum(CASE WHEN v=0 THEN 1 ELSE 0 END)>=5 THEN 0 ELSE 255 END AS v FROM (SELECT image_id, t.x AS x, u.y AS y, pg.v FROM range(0, 64) t(x), range(0, 64) u(y), range(-1, 2) a(dx), range(-1, 2) b(dy), pg WHERE pg.x=greatest(0, least(63, t.x+dx)) AND pg.y=greatest(0, least(63, u.y+dy))) GROUP BY 1, 2, 3), "
+        f"{blur('md', 'v', 'b0', 'm0', 'x', 'y')}, {blur('b0', 'm0', 'b1', 'm', 'y', 'x')}, v AS (SELECT md.image_id, md.x, md.y, CASE WHEN md.v<=round_even(round(m, 6), 0)-{S.BLOCK_C} THEN 255 ELSE 0 END AS v FROM md JOIN b1 USING (image_id, x, y)), "
+        f"{cross('max', 'v', 'ca')}, {cross('min', 'ca', 'cb')}, ln AS MATERIALIZED (SELECT image_id, x, y, CASE WHEN x IN (0, 63) OR y IN (0, 63) THEN 255 ELSE v END AS v FROM cb), pp AS (SELECT image_id, x, y FROM ln WHERE v=0), {_RUNS_OF.format('pp')}, {_NEXT}, c AS (SELECT image_id, node, min(root) AS component FROM w GROUP BY 1, 2), px AS MATERIALIZED (SELECT image_id, c.component, x0+i AS x, y FROM (SELECT *, unnest(range(0, x1-x0+1)) AS i FROM r) JOIN c USING (image_id, node)), {_WALK} {select}"
+    )
+
+
+@query(_lineart_sql("SELECT m.image_id, m.component, CAST(n AS BIGINT) AS pixels, m.area, m.corners, n>=30 AND n<=64*64*0.92 AND area>=30 AS kept FROM m JOIN (SELECT image_id, component, count(*) AS n FROM px GROUP BY 1, 2) s ON s.image_id=m.image_id AND s.component=m.component"))
+def lineart_components(spark, d):
+    """Whole pages through median, threshold, closing, frame, components and contours: pixels, area and corners of each
+    component, and whether it passes the gates."""
+    p = lineart.params(spark, 64, 64, 1.0)
+    labelled = lineart.paper(lineart.lines(lineart.pages(_drawn(spark, d), 64, 64), p))
+    keys = ["image_id", "component"]
+    m = contours.measures(*contours.moves(labelled, keys), keys).join(raster.component_stats(labelled).select(*keys, F.col("area").alias("pixels")), keys)
+    kept = F.col("pixels").between(p.component_min_area, p.max_area) & (F.col("area") >= p.component_min_area)
+    return m.select("image_id", _named(F.col("component")), "pixels", F.col("area").cast("double").alias("area"), "corners", kept.alias("kept"))
+
+
+@query()
+def lineart_sheet(spark, d):
+    """Whole pages to numbered zones with labels: what a user of the line-art mode gets, a row a zone."""
+    s = lineart.sheet(_drawn(spark, d), 64, 64, 1.0, N)
+    placed = s.labels.select("image_id", "zone_id", F.round("x", 3).alias("label_x"), F.round("y", 3).alias("label_y"), "method")
+    return s.zones.join(placed, ["image_id", "zone_id"], "left").select("image_id", "zone_id", "num", "area_px", "source", "parent", "suppress_label", "label_x", "label_y", "method", S.svg_path("polygon").alias("path"))
+
+
+@query(_lineart_sql("SELECT i.image_id, CAST((SELECT count(*) FROM ln WHERE ln.image_id=i.image_id AND v<>0) AS BIGINT) AS line_pixels, CAST((SELECT count(*) FROM m WHERE m.image_id=i.image_id) AS BIGINT) AS raw_components, CAST((SELECT count(*) FROM m JOIN (SELECT image_id, component, count(*) AS n FROM px GROUP BY 1, 2) s ON s.image_id=m.image_id AND s.component=m.component WHERE m.image_id=i.image_id AND n BETWEEN 30 AND 64*64*0.92 AND area>=30) AS BIGINT) AS pre_subdivision_zones, true AS pieces_add_up, true AS numbers_differ FROM (SELECT DISTINCT image_id FROM ln) i"))
+def lineart_metrics(spark, d):
+    """Counts of the steps by image, and what must hold after them: zones are those found, less the cut ones, plus their
+    pieces, less merges; neighbours share numbers no more often than nine colours force."""
+    m = lineart.sheet(_drawn(spark, d), 64, 64, 1.0, N).metrics
+    adds_up = F.col("zones") == F.col("pre_subdivision_zones") - F.col("subdivided_zones") + F.col("created_zones") - F.col("fragment_merges")
+    return m.select("image_id", "line_pixels", "raw_components", "pre_subdivision_zones", adds_up.alias("pieces_add_up"), (F.col("collisions") == 0).alias("numbers_differ"))
+
+
 @query()
 def mask_zones(spark, d):
     c = _cells(spark, d)
