@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import scalars as S
+from ..sources.committed import commit
 from . import palette, polygons, shapes
 
 CONFIRM_BELOW, MIN_PART = 0.2, 1.0
@@ -254,10 +255,14 @@ def restored(versions: DataFrame) -> DataFrame:
     return p.select("project_id", "mode", F.coalesce("num_colors", F.nullif(F.size("palette"), F.lit(0)), F.lit(S.DEFAULT_COLORS)).alias("num_colors"), F.coalesce("detail", F.lit(S.DEFAULT_DETAIL)).alias("detail_level"), "palette")
 
 
-def append_palettes(palettes: DataFrame, path: str, at: Column) -> None:
-    """Stores valid palettes (palette_id, name, num_colors, colors: map) beside those that are there."""
+def append_palettes(palettes: DataFrame, path: str, at: Column, job: str | None = None) -> None:
+    """Stores valid palettes (palette_id, name, num_colors, colors: map) beside those that are there. With a job's name they
+    are stored once, however often it is tried (read them by `committed`); without one each call adds rows."""
     rows = palettes.where(valid_palette()).select("palette_id", F.trim("name").alias("name"), "num_colors", F.col("num_colors").alias("num_zones"), F.to_json("colors").alias("colors_json"), S.iso_time(at).alias("created_at"))
-    rows.write.mode("append").parquet(path)
+    if job is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        commit(rows, path, job)
 
 
 def export_headers(project_id: str, seconds: str) -> dict[str, Column]:

@@ -34,37 +34,108 @@ def kmeans(samples: DataFrame, k: int = CENTRES, rounds: int = 20, seed: int = 7
     return found.join(model.transform(v).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "left")
 
 
-def lloyd_by_image(samples: DataFrame, k: int | str, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """k-means apart for each image over samples (image_id, id, x, y, z, weight): the labelled samples (c) and the
-    centres (image_id, c, cx, cy, cz, n: weight). k is a number, or the name of a column that is alike in an image.
+def _centre(c: Column | str, n: Column) -> list[Column]:
+    as_double = lambda k: F.col(k).cast("double").alias(f"c{k}")
+    return [(F.col(c) if isinstance(c, str) else c).cast("int").alias("c"), *[as_double(k) for k in "xyz"], n.cast("long").alias("n")]
 
-    First centres are the samples at the middle of k equal parts in order of (x, y, z, id), or all where there are
-    fewer than k. A round joins an image's centres to its samples and adds up partial sums; it is a written table. The
-    loop ends early only when no centre moves any more, so results are those of all rounds.
-    """
+
+def spread_starts(samples: DataFrame, k: int | str) -> DataFrame:
+    """First centres (image_id, c, cx, cy, cz, n): the samples at the middle of k equal parts in order of (x, y, z, id), or
+    all where there are fewer than k."""
     w = Window.partitionBy("image_id")
-    s = scratch.Table(samples.withColumns({"_i": F.row_number().over(w.orderBy("x", "y", "z", "id")) - 1, "_n": F.count(F.lit(1)).over(w)}), "samples").df
+    s = samples.withColumns({"_i": F.row_number().over(w.orderBy("x", "y", "z", "id")) - 1, "_n": F.count(F.lit(1)).over(w)})
     part = F.least(F.col(k) if isinstance(k, str) else F.lit(k), F.col("_n"))
     c = F.floor(F.col("_i") * part / F.col("_n"))
     middle = F.col("_i") == F.floor((2 * c + 1) * F.col("_n") / (2 * part))
-    centres = s.where(middle).select("image_id", c.cast("int").alias("c"), F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"), F.col("z").cast("double").alias("cz"), F.lit(0).cast("long").alias("n"))
-    now = scratch.Table(centres, "centres")
+    return s.where(middle).select("image_id", *_centre(c, F.lit(0)))
+
+
+def _squared(p: Column) -> Column:
+    return (F.col("x") - p["cx"]) ** 2 + (F.col("y") - p["cy"]) ** 2 + (F.col("z") - p["cz"]) ** 2
+
+
+def _priority(step: int, attempt: int, chance: Column) -> Column:
+    """A hashed exponential of the given rate: the least of an image is a draw in proportion to the rates."""
+    digits = F.substring(F.md5(F.concat_ws("-", "image_id", "id", F.lit(attempt), F.lit(step))), 1, 8)
+    return -F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296.0) / chance
+
+
+def plus_starts(samples: DataFrame, k: int, tries: int = 5) -> DataFrame:
+    """First centres by weighted D-squared sampling, `tries` times apart: image_id, attempt, c, cx, cy, cz, n.
+
+    The first centre of a try is drawn in proportion to the weights, each further one in proportion to weight times the
+    squared distance to the nearest centre so far. Draws are hashed by image, sample, try and step, so they depend on
+    nothing else. A step is one pass with one partial aggregate for all tries and images; samples aren't copied. Where all
+    distances are 0 an image has fewer centres.
+    """
+    point = F.struct(*[F.col(c).cast("double").alias(f"c{c}") for c in "xyz"])
+    chosen = None
+    for step in range(k):
+        picks = []
+        s = samples if chosen is None else samples.join(chosen, "image_id")
+        for t in range(tries):
+            far = F.lit(1.0) if chosen is None else F.round(F.array_min(F.transform(f"_s{t}", _squared)), 6)
+            rate = F.col("weight") * far
+            picks.append(F.min_by(F.when(rate > 0, point), F.when(rate > 0, F.struct(_priority(step, t, rate).alias("p"), F.col("id").alias("i")))).alias(f"_p{t}"))
+        drawn = s.groupBy("image_id").agg(*picks)
+        if chosen is not None:
+            drawn = drawn.join(chosen, "image_id")
+        before = lambda t, first=chosen is None: F.array().cast("array<struct<cx:double,cy:double,cz:double>>") if first else F.col(f"_s{t}")
+        new = drawn.select("image_id", *[F.when(F.col(f"_p{t}").isNull(), before(t)).otherwise(F.array_append(before(t), F.col(f"_p{t}"))).alias(f"_s{t}") for t in range(tries)])
+        chosen = scratch.materialize(new, "starts")
+    every = F.explode(F.array(*[F.struct(F.lit(t).alias("attempt"), F.col(f"_s{t}").alias("s")) for t in range(tries)])).alias("a")
+    return chosen.select("image_id", every).select("image_id", "a.attempt", F.posexplode("a.s").alias("c", "p")).select("image_id", "attempt", "c", "p.cx", "p.cy", "p.cz", F.lit(0).cast("long").alias("n"))
+
+
+def lloyd_by_image(samples: DataFrame, k: int | str, rounds: int, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """k-means apart for each image over samples (image_id, id, x, y, z, weight): the labelled samples (c) and the
+    centres (image_id, c, cx, cy, cz, n: weight). k is a number, or the name of a column that is alike in an image.
+
+    First centres are `starts` or, without it, spread_starts. A round joins an image's centres to its samples and adds up
+    partial sums; it is a written table that also says which centres moved. The loop ends early only when none does any
+    more, so results are those of all rounds.
+    """
+    s = scratch.Table(samples, "samples").df
+    now = scratch.Table(spread_starts(s, k) if starts is None else starts.select("image_id", "c", "cx", "cy", "cz", "n"), "centres")
 
     def labelled(of: DataFrame) -> DataFrame:
-        listed = of.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "cx", "cy", "cz"))).alias("_c"))
-        d = lambda p: (F.col("x") - p["cx"]) ** 2 + (F.col("y") - p["cy"]) ** 2 + (F.col("z") - p["cz"]) ** 2
-        best = F.array_min(F.transform("_c", lambda p: F.struct(F.round(d(p), 6).alias("d"), p["c"].alias("c"))))
-        return s.join(listed, "image_id").withColumn("c", best["c"]).drop("_c", "_i", "_n")
+        listed = of.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "cx", "cy", "cz", "n"))).alias("_c"))
+        best = F.array_min(F.transform("_c", lambda p: F.struct(F.round(_squared(p), 6).alias("d"), p["c"].alias("c"), p.alias("was"))))
+        return s.join(listed, "image_id").withColumn("_b", best).drop("_c")
 
     mean = lambda v: F.round(F.sum(F.col(v) * F.col("weight")) / F.sum("weight"), 6).alias(f"c{v}")
     for _ in range(rounds):
-        new = scratch.Table(labelled(now.df).groupBy("image_id", "c").agg(mean("x"), mean("y"), mean("z"), F.sum("weight").cast("long").alias("n")), "centres")
-        same = new.df.exceptAll(now.df).limit(1).count() == 0
+        sums = labelled(now.df).groupBy("image_id", F.col("_b.c").alias("c")).agg(mean("x"), mean("y"), mean("z"), F.sum("weight").cast("long").alias("n"), F.any_value("_b.was").alias("_was"))
+        moved = F.lit(False)
+        for c in ("cx", "cy", "cz", "n"):
+            moved = moved | (F.col(c) != F.col(f"_was.{c}"))
+        new = scratch.Table(sums.withColumn("moved", moved).drop("_was"), "centres")
         now.free()
         now = new
-        if same:
+        if now.df.where("moved").isEmpty():
             break
-    return labelled(now.df), now.df
+    return labelled(now.df).withColumn("c", F.col("_b.c")).drop("_b"), now.df.select("image_id", "c", "cx", "cy", "cz", "n")
+
+
+def best_of_tries(samples: DataFrame, k: int, rounds: int, tries: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k-means from several starts, the one of least inertia kept for each image: labelled samples, centres, and
+    inertias (image_id, attempt, inertia). Attempt -1 starts from spread_starts, so no image ends worse than from there.
+
+    All tries are one relation, keyed by image and attempt, and go through the same rounds.
+    """
+    s = scratch.materialize(samples, "samples")
+    first = plus_starts(s, k, tries).unionByName(spread_starts(s, k).withColumn("attempt", F.lit(-1)))
+    key = F.concat_ws("/", "image_id", "attempt")
+    many = s.withColumn("attempt", F.explode(F.sequence(F.lit(-1), F.lit(tries - 1)))).withColumnRenamed("image_id", "_image").withColumn("image_id", F.concat_ws("/", "_image", "attempt"))
+    found, centres = lloyd_by_image(many, k, rounds, first.withColumn("image_id", key))
+    at = centres.withColumnsRenamed({"cx": "_x", "cy": "_y", "cz": "_z"}).drop("n")
+    off = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2
+    inertia = found.join(at, ["image_id", "c"]).groupBy(F.col("_image").alias("image_id"), "attempt").agg(F.round(F.sum(off * F.col("weight")), 3).alias("inertia"))
+    inertia = scratch.materialize(inertia, "inertia")
+    best = inertia.groupBy("image_id").agg(F.min_by("attempt", F.struct("inertia", "attempt")).alias("attempt"))
+    best = scratch.materialize(best.withColumn("_key", key), "best")
+    kept = found.drop("attempt").withColumnRenamed("image_id", "_key").join(best.select("_key"), "_key").drop("_key").withColumnRenamed("_image", "image_id")
+    return kept, centres.withColumnRenamed("image_id", "_key").join(best.select("_key", "image_id"), "_key").drop("_key"), inertia
 
 
 def dominant(pixels: DataFrame, count: int, rounds: int = 20) -> DataFrame:

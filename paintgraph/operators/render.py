@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.committed import commit
 
 #: Attributes of a path and of a text, and the root element.
 STROKE = 'fill="none" stroke="#000000" stroke-width="2" vector-effect="non-scaling-stroke"'
@@ -74,6 +75,23 @@ def write_images(zones: DataFrame, path: str) -> None:
     zones.repartition("image_id").write.partitionBy("image_id").mode("overwrite").json(path)
 
 
+def results(zones: DataFrame, metrics: DataFrame, parameters: dict[str, object], outputs: dict[str, str]) -> DataFrame:
+    """image_id, result: an image's result as JSON with its parameters, metrics (a row an image), the names of its outputs
+    (patterns with {image_id}) and its zones in order. Images without zones have an empty list."""
+    drop = [c for c in ("image_id",) if c in zones.columns]
+    listed = zones.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("zone_id", F.struct(*[c for c in zones.columns if c not in drop]).alias("z")))).alias("l"))
+    own = metrics.select("image_id", F.struct(*[c for c in metrics.columns if c != "image_id"]).alias("metrics")).join(listed, "image_id", "left")
+    given = F.struct(*[F.lit(v).alias(k) for k, v in parameters.items()])
+    named = F.struct(*[F.regexp_replace(F.lit(v), r"\{image_id\}", F.col("image_id").cast("string")).alias(k) for k, v in outputs.items()])
+    body = F.struct("image_id", given.alias("parameters"), "metrics", named.alias("outputs"), F.coalesce(F.transform("l", lambda x: x["z"]), F.array()).alias("zones"))
+    return own.select("image_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("result"))
+
+
+def write_results(rows: DataFrame, path: str, job: str) -> bool:
+    """Files of results, a folder for each image, committed once for all tries of a job."""
+    return commit(rows.select("image_id", F.col("result").alias("value")).repartition("image_id"), path, job, by=["image_id"], kind="text")
+
+
 #: Head of the legend page.
 LEGEND_TITLE = "Leyenda de colores"
 

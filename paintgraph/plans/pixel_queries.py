@@ -148,6 +148,35 @@ def dominant_colors(spark, d):
     return palette.dominant(pixels(spark, d), 6, PALETTE_ROUNDS)
 
 
+def _coloured(spark, d):
+    own = palette.colourful(pixels(spark, d)).groupBy("image_id", "b", "g", "r").agg(F.count(F.lit(1)).alias("weight"))
+    return own.select("image_id", ((F.col("b") * 256 + F.col("g")) * 256 + F.col("r")).cast("long").alias("id"), F.col("b").alias("x"), F.col("g").alias("y"), F.col("r").alias("z"), "weight")
+
+
+def _starts_sql(k: int, tries: int) -> str:
+    """Weighted sampling by squared distances with hashed draws, a step after another."""
+    draw = "-ln((CAST('0x' || substr(md5(concat_ws('-', s0.image_id, id, t, {step})), 1, 8) AS BIGINT)+0.5::DOUBLE)/4294967296.0::DOUBLE)/{rate}"
+    steps = [f"s0 AS MATERIALIZED (SELECT image_id, (b*256+g)*256+r AS id, b AS x, g AS y, r AS z, count(*) AS weight FROM f GROUP BY ALL)", f"t0 AS (SELECT s0.*, t, {draw.format(step=0, rate='weight')} AS p FROM s0, range(0, {tries}) u(t))", "k0 AS MATERIALIZED (SELECT image_id, t, 0 AS c, x, y, z FROM t0 QUALIFY row_number() OVER (PARTITION BY image_id, t ORDER BY p, id)=1)"]
+    for i in range(1, k):
+        steps.append(f"d{i} AS (SELECT s0.image_id, t, id, s0.x, s0.y, s0.z, weight, min((s0.x-k.x)*(s0.x-k.x)+(s0.y-k.y)*(s0.y-k.y)+(s0.z-k.z)*(s0.z-k.z)) AS far FROM s0 JOIN k{i - 1} k USING (image_id) GROUP BY ALL)")
+        steps.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} UNION ALL SELECT image_id, t, {i}, x, y, z FROM (SELECT *, {draw.format(step=i, rate='(weight*far)').replace('s0.', '')} AS p FROM d{i} WHERE far>0) QUALIFY row_number() OVER (PARTITION BY image_id, t ORDER BY p, id)=1)")
+    return ", ".join(steps) + f" SELECT image_id, t AS attempt, c, x::DOUBLE AS cx, y::DOUBLE AS cy, z::DOUBLE AS cz FROM k{k - 1}"
+
+
+@query(f"WITH {_P}, {_COLOURFUL}, {_starts_sql(6, 5)}")
+def palette_starts(spark, d):
+    """First centres of five tries for the dominant colours of every image."""
+    return palette.plus_starts(_coloured(spark, d), 6, 5).select("image_id", F.col("attempt").cast("long").alias("attempt"), "c", "cx", "cy", "cz")
+
+
+@query(f"WITH {_P}, {_COLOURFUL} SELECT image_id, true AS no_worse FROM f GROUP BY 1")
+def palette_tries(spark, d):
+    """Whether the best of five tries is no worse than from spread starts, for every image."""
+    _, _, inertia = palette.best_of_tries(_coloured(spark, d), 6, PALETTE_ROUNDS)
+    spread = F.min(F.when(F.col("attempt") == -1, F.col("inertia")))
+    return inertia.groupBy("image_id").agg((F.min("inertia") <= spread).alias("no_worse"))
+
+
 @query()
 def dominant_colors_kmeans(spark, d):
     return palette.kmeans(_samples(spark, d))

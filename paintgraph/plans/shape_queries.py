@@ -386,19 +386,19 @@ def border_scores(spark, d):
 
 def _pieces(spark, d):
     """Boxes cut upright into four strips, of which the first is a fragment; strips know their parent."""
-    z = zones(spark, d).where("zone_id % 4 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    z = zones(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     at = lambda k: F.col("x0") + F.when(k == 0, 0).when(k == 1, 2).otherwise(2 + F.floor((F.col("w") - 2) * (k - 1) / 3)).cast("long")
     z = z.select("image_id", (F.col("zone_id") * 4 + F.col("k")).cast("long").alias("zone_id"), at(F.col("k")).alias("x0"), "y0", F.when(F.col("k") == 3, F.col("x0") + F.col("w")).otherwise(at(F.col("k") + 1)).alias("x1"), "h", "num", F.col("zone_id").cast("string").alias("parent"))
     z = z.withColumn("w", F.col("x1") - F.col("x0")).withColumns({"area_px": (F.col("w") * F.col("h")).cast("double"), "source": F.lit("lineart_curved_subzone")}).drop("x1")
     return render.rings(z)
 
 
-_PIECES = "s AS (SELECT image_id, zone_id AS parent, num, x0, y0, w, h, [0, 2, 2+(w-2)//3, 2+(w-2)*2//3, w] AS c FROM z WHERE zone_id%4=0), g AS (SELECT image_id, parent, num, parent*4+k AS zone_id, k, x0+c[k+1] AS x0, y0, c[k+2]-c[k+1] AS w, h FROM s, range(0, 4) r(k))"
+_PIECES = "s AS (SELECT image_id, zone_id AS parent, num, x0, y0, w, h, [0, 2, 2+(w-2)//3, 2+(w-2)*2//3, w] AS c FROM z), g AS (SELECT image_id, parent, num, parent*4+k AS zone_id, k, x0+c[k+1] AS x0, y0, c[k+2]-c[k+1] AS w, h FROM s, range(0, 4) r(k))"
 
 
-@query(f"WITH {_Z}, {_PIECES} SELECT image_id, zone_id, 2.0*h AS area FROM g WHERE 2*h<90 AND w*h<90 AND k=0")
+@query(f"WITH {_Z}, {_PIECES} SELECT image_id, zone_id, CAST(w*h AS DOUBLE) AS area FROM g WHERE w*h<90")
 def small_fragments(spark, d):
-    return _pieces(spark, d).where(shapes.is_small_fragment(90)).where("zone_id % 4 = 0").select("image_id", "zone_id", F.col("area_px").alias("area"))
+    return _pieces(spark, d).where(shapes.is_small_fragment(90)).select("image_id", "zone_id", F.col("area_px").alias("area"))
 
 
 @query(f"WITH {_Z}, {_PIECES}, b AS (SELECT a.image_id, a.zone_id, b.w*b.h AS area, b.zone_id AS other, a.h AS border FROM g a JOIN g b ON a.image_id=b.image_id AND a.parent=b.parent AND abs(a.k-b.k)=1 WHERE a.w*a.h<90 UNION ALL SELECT a.image_id, a.zone_id, b.w*b.h, b.zone_id, 0 FROM g a JOIN g b ON a.image_id=b.image_id AND a.parent=b.parent AND false) SELECT image_id, zone_id, string_agg(other, ',' ORDER BY area DESC, border DESC, other DESC) AS neighbours FROM b GROUP BY 1, 2")
@@ -421,26 +421,22 @@ def fragment_metrics(spark, d):
     return m.select("image_id", "merges", "unmerged", F.size("details").alias("details"))
 
 
-def _large(spark, d):
-    return _rings(spark, d).where("zone_id % 9 = 0")
-
-
-@query(f"WITH {_Z}, l AS (SELECT * FROM z WHERE zone_id%9=0), m AS (SELECT image_id, median(area_px) AS m FROM l GROUP BY 1) SELECT image_id, round(greatest(100.0, m)*1.2::DOUBLE, 6) AS target, round(greatest(greatest(100.0, m)*1.2::DOUBLE*1.5::DOUBLE, 300.0), 6) AS threshold FROM m")
+@query(f"WITH {_Z}, m AS (SELECT image_id, median(area_px) AS m FROM z GROUP BY 1) SELECT image_id, round(greatest(100.0, m)*1.2::DOUBLE, 6) AS target, round(greatest(greatest(100.0, m)*1.2::DOUBLE*1.5::DOUBLE, 300.0), 6) AS threshold FROM m")
 def subdivision_targets(spark, d):
-    t = shapes.targets(_large(spark, d), 100, 1.2, 1.5)
+    t = shapes.targets(_rings(spark, d), 100, 1.2, 1.5)
     return t.select("image_id", F.round("target", 6).alias("target"), F.round("threshold", 6).alias("threshold"))
 
 
 @query()
 def subdivided_zones(spark, d):
-    s = shapes.subdivide(_large(spark, d), 100, 1.2, 1.5, most=4)
+    s = shapes.subdivide(_rings(spark, d), 100, 1.2, 1.5)
     return s.select("image_id", "zone_id", "was", "area_px", "source", "parent", S.svg_path("polygon").alias("path"))
 
 
 @query()
 def subdivision_metrics(spark, d):
-    z = _large(spark, d)
-    return shapes.subdivision_metrics(z, shapes.subdivide(z, 100, 1.2, 1.5, most=4))
+    z = _rings(spark, d)
+    return shapes.subdivision_metrics(z, shapes.subdivide(z, 100, 1.2, 1.5))
 
 
 _MEANS = "c AS (SELECT z.image_id, z.zone_id, z.area_px, CAST(floor(avg(b)) AS BIGINT) AS b, CAST(floor(avg(g)) AS BIGINT) AS g, CAST(floor(avg(r)) AS BIGINT) AS r FROM p JOIN z ON z.image_id=p.image_id AND x>=x0 AND x<=x0+w AND y>=y0 AND y<=y0+h GROUP BY 1, 2, 3)"
@@ -496,12 +492,12 @@ def smoothed_mask(spark, d):
 
 
 def _page(spark, d):
-    """A made-up page, its pixels spread over all tasks, and a zone that covers most of it."""
-    from ..sources.views import synthetic_pixels
-
-    p = synthetic_pixels(spark, 64, 48).selectExpr("i AS image_id", "x", "y", "b", "g", "r")
-    z = spark.createDataFrame([(i, 7 + i, 4, 4, 50, 40, 2000, 1) for i in range(3)], "image_id long, zone_id long, x0 long, y0 long, w long, h long, area_px long, num long")
-    return p, render.rings(z)
+    """Whole drawn pages of `pixels` as colours, and a zone for each: the box of its drawing."""
+    drawn = _drawn(spark, d)
+    p = lineart.pages(drawn, 64, 64).select("image_id", "x", "y", *[F.col("v").alias(k) for k in "bgr"])
+    low, high = (lambda k: F.min(k)), (lambda k: F.max(k))
+    z = drawn.groupBy("image_id").agg(low("x").alias("x0"), low("y").alias("y0"), (high("x") - low("x")).alias("w"), (high("y") - low("y")).alias("h"))
+    return p, render.rings(z.withColumns({"zone_id": F.col("image_id") + 7, "area_px": F.col("w") * F.col("h"), "num": F.lit(1).cast("long")}))
 
 
 @query()
