@@ -102,10 +102,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {name: f for name, f in globals().items() if name.startswith("op")}
-    import corpus_pipeline
-
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
