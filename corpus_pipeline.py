@@ -11,30 +11,35 @@ from paintgraph.ship import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null and empty texts fail them and go; repeated rows are judged alike, each for itself."""
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks and runs of two lines or more go, but for the first; n_chars follows the text."""
+    """Repeated chunks and runs of two lines or more go, but for the first. A document that loses its last word by it goes
+    whole; one that had no words before, null texts among them, stays as it is. The column n_chars is written anew with the text's
+    length. Of repeated rows the first keeps its lines."""
     ship(spark)
     return lines.dedup_documents(docs, runs=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more. Null texts and texts
+    without words stay; rows of one doc_id stay or go together; rows without a doc_id stay."""
     ship(spark)
     return neardup.dedup_documents(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Documents that hold a window of the benchmark go. Null and empty texts hold none and stay; repeated rows are judged
+    alike; with an empty benchmark all stay."""
     ship(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text (binary, little-endian 32-bit), and whether they decode to its bytes."""
+    """Ids of each text (binary, little-endian 32-bit), and a digest of the bytes they decode to. Null and empty texts have
+    no ids; repeated rows are encoded each for itself."""
     import public_tokenizers
 
     ship(spark)
