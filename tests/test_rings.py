@@ -231,3 +231,36 @@ def test_gaps_of_boundaries():
         near = min(np.hypot(*(pts(q) - x).T).min() for x in pts(p))
         assert near - 0.35 <= g <= near + 1e-9
     assert np.isnan(R.boundary_gaps([[]], [SQUARE])[0]) and R.boundary_gaps([SQUARE], [[(2, 2), (4, 2), (4, 4)]])[0] == 2
+
+
+def line_pixels(a, b):
+    """An integer line, step by step with an error term, from the left end."""
+    (x, y), (ex, ey) = sorted((a, b), key=lambda p: p[0]) if a[0] != b[0] else (a, b)
+    dx, dy, up = ex - x, abs(ey - y), 1 if ey > y else -1
+    steep, out = dy > dx, []
+    long, short = (dy, dx) if steep else (dx, dy)
+    err = long - 2 * short
+    for _ in range(long + 1):
+        out.append((x, y))
+        over = err < 0
+        err += 2 * (long if over else 0) - 2 * short
+        x, y = x + (over if steep else 1), y + (up if steep or over else 0)
+    return out
+
+
+def test_filling_draws_the_sides(spark):
+    from paintgraph.operators import shapes
+
+    r = random.Random(8)
+    rings = [[(r.randint(0, 40), r.randint(0, 40)) for _ in range(r.choice((3, 4, 5, 8)))] for _ in range(40)]
+    rings += [[(0, 0), (7, 0), (7, 3), (0, 3)], [(5, 5)], [(1, 1), (9, 4)], [(0, 0), (10, 5), (0, 5)], [(3, 3), (3, 9), (3, 5)]]
+    z = spark.createDataFrame([(1, i, [{"x": x, "y": y} for x, y in ring]) for i, ring in enumerate(rings)] + [(1, 99, [])], "image_id long, zone_id long, polygon array<struct<x:bigint,y:bigint>>")
+    got = {i: set() for i in range(len(rings))}
+    for q in shapes.filled_runs(z).collect():
+        assert not got[q.zone_id] & {(x, q.y) for x in range(q.x0 - 1, q.x1 + 2)}
+        got[q.zone_id] |= {(x, q.y) for x in range(q.x0, q.x1 + 1)}
+    for i, ring in enumerate(rings):
+        want = {p for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) for p in line_pixels(a, b)}
+        want |= {(x, y) for x in range(41) for y in range(41) if R.contains(ring, x, y)}
+        mask, x0, y0 = R.filled(ring)
+        assert got[i] == want == {(int(x) + x0, int(y) + y0) for y, x in np.argwhere(mask)}, ring
