@@ -18,7 +18,7 @@ from . import contours as borders
 from . import palette, polygons, raster
 from .contours import contours
 
-POINT = "struct<x:double,y:double>"
+POINT, FILL_ROWS = "struct<x:double,y:double>", 1 << 20
 _RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 _PLACE = T.StructType([T.StructField(k, T.DoubleType()) for k in ("x", "y", "d")])
 #: Gates of masks (pixels, share of the page), the smallest ratio and share of simplification of line art.
@@ -85,44 +85,39 @@ def with_pole(zones: DataFrame, ring: str, name: str) -> DataFrame:
 # --- pixels
 
 
-def drawn_span(ax: Column, ay: Column, bx: Column, by: Column, y: Column) -> Column:
-    """The pixels (a to b) of row y on an integer line from (ax, ay) to (bx, by), drawn from its left end with one pixel a step
-    of its longer way; a place halfway between two pixels goes to the one nearer the left end. a > b where there is none."""
-    left = ax <= bx
-    x0, y0, x1, y1 = F.when(left, ax).otherwise(bx), F.when(left, ay).otherwise(by), F.when(left, bx).otherwise(ax), F.when(left, by).otherwise(ay)
-    dx, dy, m = x1 - x0, F.abs(y1 - y0), F.abs(y - y0)
-    half = lambda top: F.floor((2 * m + top) * dx / (2 * dy))
-    steep = x0 + F.ceil((2 * m * dx - dy) / (2 * dy))
-    first, last = F.greatest(half(-1) + 1, F.lit(0)), F.least(half(1), dx)
-    on = y.between(F.least(y0, y1), F.greatest(y0, y1))
-    return F.when(~on, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).when(dy == 0, F.struct(x0.alias("a"), x1.alias("b"))).when(dy > dx, F.struct(steep.alias("a"), steep.alias("b"))).otherwise(F.struct((x0 + first).alias("a"), (x0 + last).alias("b")))
-
-
 def filled_runs(zones: DataFrame, ring: str = "polygon") -> DataFrame:
     """image_id, zone_id, y, x0, x1: the pixels of filled rings as unbroken runs: those whose centres lie inside, and those
     on the sides, drawn as lines between whole pixels.
 
-    Each side gives a row for each row of pixels that it passes, so the work is that of the border, not sides x rows; a
-    zone's row is one group, bounded by the sides that pass it.
+    Rings are filled where they lie, many of a batch in one pass and without a shuffle; the work is that of their borders'
+    rows, and a pass takes about FILL_ROWS of them.
     """
-    c = F.col
-    z = zones.where(F.size(ring) > 0).select("image_id", "zone_id", F.explode(polygons.sides(ring)).alias("s")).select("image_id", "zone_id", "s.*")
-    whole = {k: F.rint(c(k)).cast("long") for k in ("ax", "ay", "bx", "by")}
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    rows = F.explode(F.sequence(F.least(F.ceil(low), F.rint(low).cast("long")), F.greatest(F.floor(high), F.rint(high).cast("long"))))
-    z = z.select("*", rows.alias("y"))
-    y = c("y").cast("double")
-    at = F.when((c("ay") > y) != (c("by") > y), (c("bx") - c("ax")) * (y - c("ay")) / (c("by") - c("ay")) + c("ax"))
-    z = z.groupBy("image_id", "zone_id", "y").agg(F.array_sort(F.collect_list(at)).alias("c"), F.collect_list(drawn_span(*whole.values(), c("y"))).alias("d"))
-    span = lambda i: F.struct(F.ceil(F.get("c", 2 * i) - 1e-9).alias("a"), F.floor(F.get("c", 2 * i + 1) + 1e-9).alias("b"))
-    inner = F.when(F.size("c") >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), span)).otherwise(F.array())
-    z = z.select("image_id", "zone_id", "y", F.explode(F.concat(inner, "d")).alias("i")).where("i.a <= i.b")
-    # gaps and islands: a run begins where no earlier one of the row reaches
-    w = Window.partitionBy("image_id", "zone_id", "y").orderBy("i.a", "i.b")
-    reach = F.max("i.b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    z = z.withColumn("new", F.when(c("i.a") <= reach + 1, 0).otherwise(1))
-    z = z.withColumn("n", F.sum("new").over(w))
-    return z.groupBy("image_id", "zone_id", "y", "n").agg(F.min("i.a").alias("x0"), F.max("i.b").alias("x1")).drop("n")
+    of = lambda k: F.transform(ring, lambda p: p[k].cast("double")).alias(k)
+    z = zones.where(F.size(ring) > 0).select("image_id", "zone_id", of("x"), of("y"))
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from .rings import filled_spans
+
+        for batch in batches:
+            ends = np.concatenate(([0], np.cumsum(batch.column(2).value_lengths().to_numpy())))
+            p = np.stack([batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
+            after = np.arange(1, len(p) + 1)
+            after[ends[1:] - 1] = ends[:-1]
+            s = np.hstack([p, p[after]])
+            passed = np.concatenate(([0], np.cumsum(np.abs(s[:, 3] - s[:, 1]) + 2)))[ends]  # rows of the rings before
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(passed, passed[at] + FILL_ROWS, side="right")) - 1)
+                owner = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
+                own, y, x0, x1 = filled_spans(s[ends[at] : ends[to]], owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(y), pa.array(x0), pa.array(x1)], names=["image_id", "zone_id", "y", "x0", "x1"])
+                at = to
+
+    kinds = [f"{k} {zones.schema[k].dataType.simpleString()}" for k in ("image_id", "zone_id")]
+    return z.mapInArrow(fill, ", ".join([*kinds, "y long", "x0 long", "x1 long"]))
 
 
 def lineart_zones(labelled: DataFrame, min_area: float, max_area: float, epsilon: float) -> DataFrame:
