@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         path = f"{DATA}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     return c
@@ -25,7 +25,7 @@ def rows(pdf):
     return cols, sorted((tuple(plain(v) for v in r) for r in pdf[cols].astype(object).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("n", [1, 3, 5, 8, 9, 10])
+@pytest.mark.parametrize("n", [1, 3, 5, 8, 9, 10, 12, 13])
 def test_same_rows_as_sql(spark, duck, n):
     from paintgraph.llm import queries
 
