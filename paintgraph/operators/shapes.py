@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import scratch
 from ..functions import scalars as S
 from . import contours as borders
-from . import palette, polygons, raster
+from . import patches, polygons, raster
 from .contours import contours
 
 POINT, FILL_ROWS = "struct<x:double,y:double>", 1 << 20
@@ -360,25 +360,23 @@ def noise(inside: DataFrame) -> DataFrame:
 
 
 def superpixels(pixels: DataFrame, zones: DataFrame, target: float, compactness: float, min_area: float, epsilon: float, most: int = S.MAX_SEGMENTS, rounds: int = 10) -> DataFrame:
-    """Large zones (all of `zones`) as patches of like place, gray and noise: image_id, zone_id, piece, area_px, box, polygon.
+    """Large zones (all of `zones`) as patches of like place, gray, noise and blurred gray: image_id, zone_id, piece, area_px, box, polygon.
 
-    The other way to subdivide. Clusters are k-means over place and feature, apart for each zone; of each cluster the
-    largest connected part is smoothed, cut to the zone and traced. Zones with fewer than two patches give none.
+    The other way to subdivide. Pixels gather round centres no more than two steps away (`patches`), by place, gray, noise
+    and blurred gray; small pieces join a neighbour. Patches are smoothed and cut to the zone, and the largest part of each
+    is traced. Zones with fewer than two patches give none.
     """
-    runs = filled_runs(zones)
     c = F.col
-    on = (c("r.image_id") == c("p.image_id")) & (c("r.y") == c("p.y")) & c("p.x").between(c("r.x0"), c("r.x1"))
-    inside = pixels.alias("p").join(runs.alias("r"), on).select("r.image_id", "r.zone_id", "p.x", "p.y", S.gray("p.b", "p.g", "p.r").alias("v"))
+    gray = pixels.select("image_id", "x", "y", (S.gray("b", "g", "r") / 255.0).alias("v"))
+    hinted = patches.edge_hint(raster.crop(gray, zones, patches.MARGIN))
+    on = (c("r.image_id") == c("p.image_id")) & (c("r.zone_id") == c("p.zone_id")) & (c("r.y") == c("p.y")) & c("p.x").between(c("r.x0"), c("r.x1"))
+    inside = hinted.alias("p").join(filled_runs(zones).alias("r"), on).select("p.*")
     inside = scratch.materialize(noise(inside), "inside")
-    parts = F.greatest(F.lit(2), F.least(F.rint(c("area_px") / max(target, 1.0)).cast("int"), F.lit(most)))
-    size = zones.select("image_id", "zone_id", parts.alias("parts"), F.sqrt(c("area_px") / parts).alias("step"))
-    s = inside.join(size, ["image_id", "zone_id"]).withColumn("key", F.concat_ws("-", "image_id", "zone_id"))
-    place = lambda k: F.round(c(k) * compactness / c("step"), 6).alias(k)
-    feature = F.round((c("v") / 255.0 + c("noise")) * 50, 6).alias("z")
-    s = s.select(c("key").alias("image_id"), (c("y") * raster.ROW + c("x")).alias("id"), place("x"), place("y"), feature, F.lit(1).cast("long").alias("weight"), "parts", c("image_id").alias("image"), "zone_id", c("x").alias("px"), c("y").alias("py"))
-    found, _ = palette.lloyd_by_image(s, "parts", rounds)
+    parts = patches.steps(zones, target, most)
+    feature = F.array(*[F.round(k, 6) for k in ("v", "noise", "edge")])
+    points = scratch.materialize(inside.join(parts, ["image_id", "zone_id"]).select("image_id", "zone_id", "x", "y", "step", feature.alias("f")), "points")
     keys = ["image_id", "zone_id", "c"]
-    mask = found.select(c("image").alias("image_id"), "zone_id", c("c").cast("long").alias("c"), c("px").alias("x"), c("py").alias("y"))
+    mask = patches.gathered(points, parts, compactness, rounds).withColumnRenamed("patch", "c")
     mask = scratch.materialize(raster.smoothed(mask, inside, keys), "patches")
     labelled = raster.run_components(raster.merged_runs(mask.select(*keys, "y", c("x").alias("x0"), c("x").alias("x1")), keys), keys)
     labelled = scratch.materialize(labelled, "labelled")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import contours, edits, graph, layout, lineart, palette, raster, render, shapes
+from ..operators import contours, edits, graph, layout, lineart, palette, patches, raster, render, shapes
 from ..sources.views import PIXELS, ZONES, pixels, zones
 from .pixel_queries import _NEXT, ZONE_ROUNDS, _lloyd_sql, _window
 from .zone_queries import _E, _PLACED, _ROWN, LABEL_MIN, N
@@ -512,3 +512,30 @@ def zone_noise(spark, d):
     p, z = _page(spark, d)
     n = shapes.noise(raster.crop(p, z, 0).select("image_id", "zone_id", "x", "y"))
     return n.groupBy("image_id", "zone_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.min("noise"), 6).alias("low"), F.round(F.max("noise"), 6).alias("high"))
+
+
+PATCH_AREA, PATCH_COMPACT = 300.0, 7.0
+_PATCH_POINTS = f"""pt AS (SELECT z.image_id, z.zone_id, p.x, p.y, round(b/255.0, 6) AS f1, round(g/255.0, 6) AS f2, round(r/255.0, 6) AS f3,
+ greatest(2, least(CAST(round_even(z.area_px/{PATCH_AREA}, 0) AS INT), {S.MAX_SEGMENTS})) AS parts, sqrt(z.area_px/greatest(2, least(CAST(round_even(z.area_px/{PATCH_AREA}, 0) AS INT), {S.MAX_SEGMENTS}))) AS step
+ FROM p JOIN z ON z.image_id=p.image_id AND x>=x0 AND x<=x0+w AND y>=y0 AND y<=y0+h),
+ cl AS (SELECT *, floor((x-min(x) OVER q)/step) AS cx, floor((y-min(y) OVER q)/step) AS cy FROM pt WINDOW q AS (PARTITION BY image_id, zone_id)),
+ st AS (SELECT image_id, zone_id, cy, cx, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(f1), 6) AS f1, round(avg(f2), 6) AS f2, round(avg(f3), 6) AS f3, any_value(step) AS step, any_value(parts) AS parts FROM cl GROUP BY 1, 2, 3, 4),
+ ce AS (SELECT *, row_number() OVER (PARTITION BY image_id, zone_id ORDER BY n DESC, cy, cx)-1 AS c FROM st QUALIFY c<parts),
+ ch AS (SELECT pt.image_id, pt.zone_id, pt.x, pt.y, pt.f1, pt.f2, pt.f3, arg_min(ce.c, (round(((pt.x-ce.x)*(pt.x-ce.x)+(pt.y-ce.y)*(pt.y-ce.y))/(pt.step*pt.step)+((pt.f1-ce.f1)*(pt.f1-ce.f1)+(pt.f2-ce.f2)*(pt.f2-ce.f2)+(pt.f3-ce.f3)*(pt.f3-ce.f3))/{PATCH_COMPACT**2}, 6), ce.c)) AS c
+ FROM pt JOIN ce ON ce.image_id=pt.image_id AND ce.zone_id=pt.zone_id AND abs(pt.x-ce.x)<=2*pt.step AND abs(pt.y-ce.y)<=2*pt.step GROUP BY ALL)"""
+
+
+def _patch_points(spark, d):
+    """Pixels of `zones` with their three channels as features."""
+    z = _rings(spark, d)
+    parts = patches.steps(z, PATCH_AREA, S.MAX_SEGMENTS)
+    p = raster.crop(pixels(spark, d), z.withColumns({"w": F.col("w") + 1, "h": F.col("h") + 1}), 0).join(parts, ["image_id", "zone_id"])
+    return p.select("image_id", "zone_id", "x", "y", "step", F.array(*[F.round(F.col(k) / 255.0, 6) for k in "bgr"]).alias("f")), parts
+
+
+@query(f"WITH {_Z}, {_P}, {_PATCH_POINTS} SELECT image_id, zone_id, CAST(c AS BIGINT) AS c, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM ch GROUP BY 1, 2, 3")
+def superpixel_round(spark, d):
+    """One round of assignment: what each centre of each zone gets."""
+    p, parts = _patch_points(spark, d)
+    chosen = patches.assigned(p, patches.starts(p, parts, 3), PATCH_COMPACT).where("c IS NOT NULL")
+    return chosen.groupBy("image_id", "zone_id", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
