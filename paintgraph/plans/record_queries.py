@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import edits, graph, layout, numbering, palette, render
-from ..sources import views
+from ..sources import pictures, views
 from ..sources.views import PIXELS, ZONES, palettes, pixels, projects, read, zones
 from .zone_queries import _E, _PLACED, LABEL_MIN
 
@@ -246,3 +246,10 @@ def palette_map(spark, d):
     p = palettes(spark, d).select(k.alias("project_id"), F.create_map(F.lit("1"), F.lit("#000001"), F.lit("10"), F.lit("#00000A")).alias("current"), F.when(k % 3 == 0, none).otherwise(F.create_map(F.lit("2"), F.lit("#000002"), F.lit("1"), F.lit("#FFFFFF"))).alias("fallback"))
     done = palette.map_defaults(F.array(*[F.lit(x) for x in ("x", "2", "1")]), "current", "fallback")
     return p.select("project_id", F.array_join(F.transform(F.map_entries(done), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("colors"))
+
+
+@query(f"WITH p AS {PIXELS}, e AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM p GROUP BY 1), g AS (SELECT image_id, x, y FROM e, range(0, 64) i(x), range(0, 64) j(y) WHERE x<=mx AND y<=my) SELECT g.image_id, g.y, g.x, CAST(coalesce(b, 0) AS BIGINT) AS b, CAST(coalesce(p.g, 0) AS BIGINT) AS g, CAST(coalesce(r, 0) AS BIGINT) AS r, CAST(CASE WHEN b IS NULL THEN 0 ELSE 255 END AS BIGINT) AS a FROM g LEFT JOIN p ON p.image_id=g.image_id AND p.x=g.x AND p.y=g.y")
+def picture_pixels(spark, d):
+    """Pixels to PNG pictures, to base64 requests, and back to pixels; places without a pixel are transparent."""
+    sent = views.encode_base64(pictures.encoded(pixels(spark, d))).select("image_id", F.concat(F.lit("data:image/png;base64,"), "image_base64").alias("image_base64"))
+    return pictures.decoded(views.decode_base64(sent).select("image_id", "content"))
