@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import edits, graph, layout, numbering, raster, render
-from ..sources.views import PIXELS, ZONES, pixels, zones
+from ..operators import colouring, edits, graph, layout, numbering, raster, render
+from ..sources.views import PIXELS, ZONES, pixels, projects, zones
 
 N = 12
 LABEL_MIN = 450.0
@@ -125,6 +125,23 @@ def graph_numbers_valid(spark, d):
     return g.join(c, "image_id", "left").select("image_id", "zones", "numbered", "outside", F.coalesce("collisions", F.lit(0)).cast("long").alias("collisions"))
 
 
+@query()
+def graph_numbers_rounds(spark, d):
+    z = zones(spark, d)
+    return colouring.numbers(z, graph.adjacency(z), N)
+
+
+@query(f"WITH {_Z} SELECT image_id, count(*) AS zones, count(*) AS numbered, 0::BIGINT AS outside, 0::BIGINT AS collisions FROM z GROUP BY 1")
+def graph_rounds_valid(spark, d):
+    """Of the numbering in rounds: every zone has a number from 1 to n, and with n this large no two neighbours share one."""
+    z = zones(spark, d)
+    e = graph.adjacency(z)
+    n = colouring.numbers(z, e, N)
+    c = graph.collisions(n, e).select("image_id", "collisions")
+    g = z.join(n.select("image_id", "zone_id", F.col("num").alias("new")), ["image_id", "zone_id"], "left").groupBy("image_id").agg(F.count(F.lit(1)).alias("zones"), F.count("new").alias("numbered"), F.count_if((F.col("new") < 1) | (F.col("new") > N)).alias("outside"))
+    return g.join(c, "image_id", "left").select("image_id", "zones", "numbered", "outside", F.coalesce("collisions", F.lit(0)).cast("long").alias("collisions"))
+
+
 @query(f"WITH {_Z}, m AS (SELECT image_id, median(area_px) AS median_area FROM z GROUP BY 1) SELECT image_id, zone_id, area_px, median_area FROM z JOIN m USING (image_id) WHERE area_px>=2.0*median_area")
 def large_zone_threshold(spark, d):
     return numbering.large_zones(zones(spark, d), 2.0)
@@ -252,9 +269,12 @@ def legend_layout(spark, d):
     return layout.legend(zones(spark, d).select("image_id", "num").distinct(), *layout.PAGES["A4"])
 
 
-@query("SELECT * FROM (VALUES ('A4','portrait',595.2755905511812::DOUBLE,841.8897637795277::DOUBLE),('A4','landscape',841.8897637795277,595.2755905511812),('Letter','portrait',612.0,792.0),('Letter','landscape',792.0,612.0)) t(paper, orientation, width, height)")
+@query("SELECT e.user_id AS project_id, e.event_id AS version, paper, orientation, width, height FROM events e JOIN (VALUES ('A4','portrait',595.2755905511812::DOUBLE,841.8897637795277::DOUBLE),('A4','landscape',841.8897637795277,595.2755905511812),('Letter','portrait',612.0,792.0),('Letter','landscape',792.0,612.0)) t(paper, orientation, width, height) ON paper=CASE WHEN event_id%37%2=0 THEN 'A4' ELSE 'Letter' END AND orientation=CASE WHEN event_id%37%3=0 THEN 'landscape' ELSE 'portrait' END")
 def page_size(spark, d):
-    return layout.page_sizes(spark)
+    """The page of every version of every project, by its paper and orientation."""
+    k = F.col("num_colors")
+    p = projects(spark, d).select("project_id", "version", F.when(k % 2 == 0, "A4").otherwise("Letter").alias("paper"), F.when(k % 3 == 0, "landscape").otherwise("portrait").alias("orientation"))
+    return p.join(F.broadcast(layout.page_sizes(spark)), ["paper", "orientation"]).select("project_id", "version", "paper", "orientation", "width", "height")  # four rows are broadcast
 
 
 @query(f"WITH {_Z} SELECT image_id, zone_id, round((595.2755905511812-640*((595.2755905511812-72)/640))/2+x0*((595.2755905511812-72)/640), 6) AS px, round((841.8897637795277-480*((595.2755905511812-72)/640))/2+(480-y0)*((595.2755905511812-72)/640), 6) AS py FROM z")
