@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges of one node that may meet in one task, while the graph has under the square of it.
+SHARE = 1 << 17
 #: Folders not freed yet, with a way to delete them.
 _left: dict = {}
 
@@ -71,25 +73,52 @@ def _clear() -> None:
             return
 
 
-def components(edges: DataFrame, keep: list[str] | None = None) -> Table:
+def met(edges: DataFrame, least: DataFrame, keep: list[str], share: int | None) -> DataFrame:
+    """keep, u, v and m: each edge with the m of its u. least: keep, u, m, n (edges of u).
+
+    With a share, nodes of more than `share` edges are broadcast, so no task gets the edges of a hub; the others
+    meet by a shuffle. Edges of a node are at most `share` in it.
+    """
+    on = [*keep, "u"]
+    if share is None:
+        return edges.join(least.select(*on, "m"), on)
+    hubs = F.broadcast(least.where(F.col("n") > share).select(*on, "m"))
+    rest = edges.join(hubs.select(*on), on, "left_anti").join(least.where(F.col("n") <= share).select(*on, "m").hint("merge"), on)
+    return edges.join(hubs, on).unionByName(rest)
+
+
+def components(edges: DataFrame, keep: list[str] | None = None, share: int = SHARE) -> Table:
     """Connected components of edges (u, v), apart for each value of the columns `keep`: node, label (smallest node).
 
     Large-star and small-star steps: each node's larger neighbours go to its smallest neighbour, then its smaller
     ones do, which about halves the distance to the smallest node of the component, so a chain of n nodes takes
     about log2(n) rounds. A round is one job and one table of at most as many edges as there were. Only a count and a
-    checksum come to the driver. Hubs are minima of partial minima; their joins are shuffled ones that Spark can split.
+    checksum come to the driver. Minima of hubs are minima of partial minima. A node can be a hub only if there are more
+    than `share` edges; then nodes of over max(share, edges / share) edges are broadcast, at most 2 * share
+    of them whatever the size of the graph, and a round is four jobs.
     """
     keep = list(keep or [])
     pair = lambda a, b: [*keep, a.alias("u"), b.alias("v")]
     u, v, m = F.col("u"), F.col("v"), F.col("m")
 
-    def step(e: DataFrame) -> DataFrame:
+    def step(e: DataFrame, size: int) -> DataFrame:
+        held, most = [], max(share, size // share) if size > share else None
+
+        def keeping(df: DataFrame, name: str) -> DataFrame:  # read by several joins of a round with hubs
+            if most is None:
+                return df
+            held.append(Table(df, name))
+            return held[-1].df
+
         both = e.select(*pair(u, v)).union(e.select(*pair(v, u)))
-        least = both.groupBy(*keep, "u").agg(F.least(F.min("v"), u).alias("m"))
-        large = both.where(v > u).join(least, [*keep, "u"]).select(*pair(v, m)).distinct()
-        low = large.groupBy(*keep, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*keep, "u"]).where(v != m).select(*pair(v, m)).union(low.select(*pair(u, m)))
-        return small.where(u != v).distinct()
+        least = keeping(both.groupBy(*keep, "u").agg(F.least(F.min("v"), u).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = keeping(met(both.where(v > u), least, keep, most).select(*pair(v, m)).distinct(), "large")
+        low = keeping(large.groupBy(*keep, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = met(large, low, keep, most).where(v != m).select(*pair(v, m)).union(low.select(*pair(u, m)))
+        new = Table(small.where(u != v).distinct(), "edges")
+        for t in held:
+            t.free()
+        return new
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keep, "u", "v"))).first())
@@ -97,7 +126,7 @@ def components(edges: DataFrame, keep: list[str] | None = None) -> Table:
     now = Table(edges.where(u != v).select(*pair(F.greatest("u", "v"), F.least("u", "v"))).distinct(), "edges")
     seen = sign(now.df)
     while seen[0]:
-        new = Table(step(now.df), "edges")
+        new = step(now.df, seen[0])
         now.free()
         now, was, seen = new, seen, sign(new.df)
         if seen == was:
