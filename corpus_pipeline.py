@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paintgraph.llm import bpe, decontaminate, lines, neardup, quality
-from paintgraph.llm.common import materialize, table
+from paintgraph.llm.common import table
+from paintgraph.scratch import Table
 from paintgraph.ship import ship
 
 
@@ -55,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table is freed once the next one is written; the last is read by the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        written = Table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.free()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ Candidates are compared on full sets in two steps. First each bucket's smallest
 whose number is linear in the bucket: groups of near copies are mostly one component after it. Then the buckets that
 still hold more than one component, each set of members once, have their pairs of different components compared:
 buckets beyond BLOCK members by classes of like set size (a pair above the threshold lies in one class or in two
-neighbouring ones) and in pairs of blocks, so no task holds a large bucket. Components of the confirmed links are the
+neighbouring ones) and in pairs of blocks, bounded by members and by shingles, so no task holds a large bucket. Components of the confirmed links are the
 result.
 
 Bands: BANDS of ROWS coordinates; two sets at similarity 0.85 share none with probability 2.4e-7, at 0.8 3.3e-5.
@@ -25,13 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Table, components
 from .common import fmix, materialize, shuffled, slices, unused, word_hashes
 
 ROWS, BANDS, BLOCK = 5, 26, 256
+#: Shingles that a share or block of members holds on average at most, for sets of long texts are large (8 bytes each).
+BLOCK_SHINGLES = 1 << 22
 T = ROWS * BANDS
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x27D4EB2F165667C5, 0x94D049BB133111EB], np.uint64)
@@ -201,15 +203,20 @@ def compared(docs: DataFrame, members: DataFrame, words: int, percent: int) -> D
     return item.repartition("item").sortWithinPartitions("item", "side", "doc_id").mapInArrow(compare, f"u {kind}, v {kind}")
 
 
+def shares() -> Column:
+    """Parts of a group of members, by their number and by the sum of their set sizes n."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def alike(a: str, b: str, percent: int):
     """Set sizes that allow the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def star_members(buckets: DataFrame, percent: int) -> DataFrame:
-    """Members of comparisons with a bucket's first document: shares of at most BLOCK others, each with it on the other side."""
-    edges = buckets.where("doc_id <> first.doc_id").where(alike("n", "first.n", percent)).select(F.col("first.doc_id").alias("u"), "doc_id").distinct()
-    size = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    """Members of comparisons with a bucket's first document: shares of about BLOCK others (fewer where sets are large), each with it on the other side."""
+    edges = buckets.where("doc_id <> first.doc_id").where(alike("n", "first.n", percent)).select(F.col("first.doc_id").alias("u"), "doc_id", "n").distinct()
+    size = edges.groupBy("u").agg(shares().alias("shares"))
     many = edges.join(shuffled(size), "u").withColumn("share", F.pmod(F.xxhash64("doc_id"), "shares"))
     key = F.xxhash64("u", "share", F.lit("star"))
     others = many.select("doc_id", key.alias("item"), F.lit(1).alias("side"), "u")
@@ -222,14 +229,15 @@ def open_members(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFra
     """Members of the comparisons inside buckets that hold several components."""
     lab = buckets.join(shuffled(labels.select(F.col("node").alias("doc_id"), "label")), "doc_id", "left").select("band", "h", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     lab = Table(lab, "labelled").df
-    each = lab.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
-    # one bucket for each set of members
-    each = each.groupBy("m", "sum").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "m")
+    total = lambda seed: F.sum(F.xxhash64("doc_id", F.lit(seed)).cast("decimal(38,0)"))
+    each = lab.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), total(1).alias("sum1"), total(2).alias("sum2"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2")
+    # one bucket for each set of members, told by two sums of 64-bit hashes
+    each = each.groupBy("m", "sum1", "sum2").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "m")
     rows = lab.join(shuffled(each), ["band", "h"]).withColumn("g", F.xxhash64("band", "h"))
     # sizes of one class differ by less than the threshold's ratio, so pairs above it are of one class or of neighbours
     rows = rows.withColumn("class", F.when(F.col("m") > BLOCK, F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))).otherwise(F.lit(0)).cast("int"))
     rows = Table(rows, "open").df
-    blocks = Table(rows.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks").df  # a large bucket's partition can be split
+    blocks = Table(rows.groupBy("g", "class").agg(shares().alias("blocks")), "blocks").df  # a large bucket's partition can be split
     near = lambda k: blocks.select("g", (F.col("class") - k).alias("class"), F.col("blocks").alias(f"next{k}".replace("-", "_")))
     r = rows.join(shuffled(blocks), ["g", "class"]).join(shuffled(near(1)), ["g", "class"], "left").join(shuffled(near(-1)), ["g", "class"], "left")
     r = r.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))

@@ -246,11 +246,12 @@ def test_decontamination(spark, docs, nothing, table, block):
     assert D.digests(nothing, b).count() == 0 and D.digests(docs, b.limit(0)).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize("block", [1500, 2])
-def test_near_duplicates(docs, nothing, table, block, monkeypatch):
+@pytest.mark.parametrize("block,shingles", [(1500, 1 << 22), (2, 1 << 22), (1500, 100)])
+def test_near_duplicates(docs, nothing, table, block, shingles, monkeypatch):
     from paintgraph.llm import neardup
 
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     sets = {}
     for i, x, *_ in table:
         w = (x or "").encode().lower().split()
