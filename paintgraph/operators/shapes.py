@@ -70,16 +70,47 @@ def fits(ring: str, x: Column, y: Column, radius: Column) -> Column:
     return polygons.clearance(ring, x, y) >= radius
 
 
+def _flat(xs: pd.Series, ys: pd.Series):
+    """Corners (n, 2) of all rings one after another, and how many each has."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in xs], np.int64)
+    return np.stack([np.concatenate([*k, np.zeros(0)]).astype(float) for k in (xs, ys)], 1), sizes
+
+
+def _xy(ring: str) -> list[Column]:
+    """Places of a ring's corners along both axes, which batches hold without an object for each corner."""
+    of = lambda k: F.transform(F.coalesce(F.col(ring), F.array()), lambda p: p[k].cast("double"))
+    return [of("x"), of("y")]
+
+
 @F.pandas_udf(_PLACE)
-def _pole(found: pd.Series) -> pd.DataFrame:
-    from .rings import pole
+def _pole(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    from .rings import poles
+
+    return pd.DataFrame(poles(*_flat(xs, ys)), columns=["x", "y", "d"])
+
+
+def pole(ring: str) -> Column:
+    """The pole of inaccessibility: x, y, and the distance d to the nearest pixel outside. Rings of a batch are measured together."""
+    return _pole(*_xy(ring))
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in ("x", "y", "own", "px", "py", "pole")]))
+def _label_places(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    from .rings import label_places
+
+    return pd.DataFrame(label_places(*_flat(xs, ys)), columns=["x", "y", "own", "px", "py", "pole"])
+
 
-    return pd.DataFrame([pole(_pairs(r)) for r in found], columns=["x", "y", "d"])
+def label_places(ring: str) -> Column:
+    """Interior point x, y with its clearance `own`, and the pole px, py with its distance `pole`, of all rings of a batch."""
+    return _label_places(*_xy(ring))
 
 
 def with_pole(zones: DataFrame, ring: str, name: str) -> DataFrame:
-    """Adds the pole of inaccessibility as `name`: x, y, and the distance d to the nearest pixel outside."""
-    return zones.withColumn(name, _pole(_doubles(ring)))
+    """Adds the pole of inaccessibility as `name`. Zones are dealt out first: the pole is much work for few bytes."""
+    return scratch.dealt(zones, "image_id", "zone_id").withColumn(name, pole(ring))
 
 
 # --- pixels

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paintgraph.operators import rings as R
 
@@ -264,3 +265,26 @@ def test_filling_draws_the_sides(spark):
         want |= {(x, y) for x in range(41) for y in range(41) if R.contains(ring, x, y)}
         mask, x0, y0 = R.filled(ring)
         assert got[i] == want == {(int(x) + x0, int(y) + y0) for y, x in np.argwhere(mask)}, ring
+
+
+def test_poles_and_label_places_of_many_rings():
+    g = np.random.default_rng(5)
+    many = [g.uniform(-20, 60, 2) + g.normal(0, g.uniform(0, 30), (int(g.integers(0, 11)), 2)) for _ in range(400)]
+    many += [np.round(r) for r in many[:200]] + [g.normal(0, 300, (7, 2)), np.array(BENT, float), np.zeros((0, 2))]
+    places = R.label_places(np.concatenate(many), np.array([len(r) for r in many]))
+    for r, (x, y, own, *found) in zip(many, places, strict=True):
+        assert tuple(found) == R.pole(r)
+        if len(np.unique(r[:, 1])) > 1:
+            assert (x, y) == R.inner_point(r) and (own > 0 or len(r) < 3 or not R.contains(r, x, y))
+    assert R.poles(np.zeros((0, 2)), np.zeros(0, np.int64)).shape == (0, 3)
+
+
+def test_poles_are_dealt_out(spark):
+    from paintgraph.operators import layout, shapes
+
+    box = "array(struct(0D AS x, 0D AS y), struct(30D AS x, 0D AS y), struct(30D AS x, 20D AS y), struct(0D AS x, 20D AS y))"
+    z = spark.range(0, 400, 1, 1).selectExpr("id div 200 AS image_id", "id AS zone_id", "0L AS x0", "0L AS y0", "30L AS w", "20L AS h", "600L AS area_px", "7 AS num", f"{box} AS polygon")
+    for found in (shapes.with_pole(z, "polygon", "p"), layout.ring_placements(z)):
+        tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
+        assert found.count() == 400 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.p.d for r in shapes.with_pole(z, "polygon", "p").collect()} == {11.0}
