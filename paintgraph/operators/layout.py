@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
-from . import polygons, shapes
+from . import shapes
 
 #: Points of a page, margins, rows and swatches of the legend.
 PAGES = {"A4": (595.2755905511812, 841.8897637795277), "Letter": (612.0, 792.0)}
@@ -40,10 +41,8 @@ def ring_placements(zones: DataFrame, ring: str = "polygon") -> DataFrame:
     """Labels of general rings: at the interior point if the text fits there, else at the pole of inaccessibility.
 
     Zones are dealt out first: the pole is much work for few bytes."""
-    p = shapes.interior_point(ring)
-    z = zones.repartition("image_id", "zone_id").withColumn("_p", p).withColumns({"_x": F.col("_p.x"), "_y": F.col("_p.y")})
-    z = shapes.with_pole(z.withColumn("_own", polygons.clearance(ring, F.col("_x"), F.col("_y"))), ring, "_pl")
-    return labelled(z.withColumns({"_px": F.col("_pl.x"), "_py": F.col("_pl.y"), "_pole": F.col("_pl.d")}))
+    z = scratch.dealt(zones, "image_id", "zone_id").withColumn("_p", shapes.label_places(ring))
+    return labelled(z.withColumns({f"_{k}": F.col(f"_p.{k}") for k in ("x", "y", "own", "px", "py", "pole")}))
 
 
 def labelled(z: DataFrame) -> DataFrame:
