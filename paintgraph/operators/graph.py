@@ -12,14 +12,17 @@ from . import polygons
 TOLERANCE, CELL = 10, 64
 
 
-def candidates(zones: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+def candidates(zones: DataFrame, tolerance: int = TOLERANCE, deal: bool = False) -> DataFrame:
     """Pairs src < dst of one image whose boxes, widened by the tolerance, overlap.
 
     Zones meet by grid cells, so a crowded image spreads over many tasks; a pair counts only in the cell where the
-    overlap of its widened boxes begins, which makes a distinct unnecessary.
+    overlap of its widened boxes begins, which makes a distinct unnecessary. With `deal`, for pairs that are much work
+    each, cells are dealt out to as many tasks as shuffles have, however few bytes they hold.
     """
     span = lambda lo, size: F.sequence(F.floor((F.col(lo) - tolerance) / CELL), F.floor((F.col(lo) + F.col(size) + tolerance) / CELL))
     cells = zones.withColumn("cx", F.explode(span("x0", "w"))).withColumn("cy", F.explode(span("y0", "h")))
+    if deal:
+        cells = scratch.dealt(cells, "image_id", "cx", "cy")
     a, b = cells.alias("a"), cells.alias("b")
     c = F.col
     near = lambda lo, size: (c(f"a.{lo}") <= c(f"b.{lo}") + c(f"b.{size}") + tolerance) & (c(f"b.{lo}") <= c(f"a.{lo}") + c(f"a.{size}") + tolerance)

@@ -224,13 +224,6 @@ def _cut(found: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([[_points(p) for p in cut_by(_pairs(r), _pairs(l))] if r is not None and len(r) > 2 else [] for r, l in zip(found, lines, strict=True)])
 
 
-@F.pandas_udf(T.DoubleType())
-def _score(first: pd.Series, second: pd.Series, tolerance: pd.Series) -> pd.Series:
-    from .rings import border_score
-
-    return pd.Series([border_score(_pairs(a), _pairs(b), t) for a, b, t in zip(first, second, tolerance, strict=True)], dtype=float)
-
-
 def parts(ring: str) -> Column:
     """What a ring encloses, as simple rings above one square pixel, largest first; a simple ring is its own part."""
     return _valid(_doubles(ring))
@@ -256,7 +249,14 @@ def cut_parts(ring: str, line: str) -> Column:
 
 
 def border_score(first: str, second: str, tolerance: float = 1.5) -> Column:
-    return _score(_doubles(first), _doubles(second), F.lit(float(tolerance)))
+    """Length of the shared border of two rings, or of the stretch that runs within the tolerance. Pairs of a batch go together."""
+    @F.pandas_udf(T.DoubleType())
+    def score(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        from .rings import border_scores
+
+        return pd.Series(border_scores(*_flat(ax, ay), *_flat(bx, by), float(tolerance)), dtype=float)
+
+    return score(*_xy(first), *_xy(second))
 
 
 def ring_area(ring: Column) -> Column:

@@ -380,7 +380,7 @@ def valid_parts(spark, d):
 
 @query()
 def border_scores(spark, d):
-    near = graph.candidates(_rings(spark, d), 2).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col("a.polygon").alias("p"), F.col("b.polygon").alias("q"))
+    near = graph.candidates(_rings(spark, d), 2, deal=True).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col("a.polygon").alias("p"), F.col("b.polygon").alias("q"))
     return near.select("image_id", "src", "dst", F.round(shapes.border_score("p", "q"), 4).alias("score"))
 
 

@@ -288,3 +288,22 @@ def test_poles_are_dealt_out(spark):
         tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
         assert found.count() == 400 and tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {r.p.d for r in shapes.with_pole(z, "polygon", "p").collect()} == {11.0}
+
+
+def test_border_scores_of_many_pairs(spark):
+    from paintgraph.operators import graph
+
+    g = np.random.default_rng(6)
+
+    def box():
+        x, y, w, h = g.integers((0, 0, 4, 4), (20, 20, 16, 16))
+        return np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+
+    pairs = [(box(), box()) for _ in range(300)] + [(g.normal(0, 9, (int(n), 2)), g.normal(0, 9, (int(m), 2))) for n, m in g.integers(0, 9, (200, 2))] + [(g.normal(0, 50, (90, 2)), g.normal(0, 50, (90, 2)))]
+    a, b = zip(*pairs, strict=True)
+    got = R.border_scores(np.concatenate(a), np.array([len(r) for r in a]), np.concatenate(b), np.array([len(r) for r in b]))
+    assert np.allclose(got, [R.border_score(p, q) for p, q in pairs], rtol=0, atol=1e-9) and (got > 0).sum() > 50
+    z = spark.range(0, 300, 1, 1).selectExpr("1L AS image_id", "id AS zone_id", "id % 20 * 40 AS x0", "id div 20 * 40 AS y0", "40L AS w", "30L AS h")
+    tasks = lambda deal: graph.candidates(z, deal=deal).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks(True) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert graph.candidates(z, deal=True).count() == graph.candidates(z).count()
