@@ -20,6 +20,16 @@ def sides_of(ring, closed: bool = True) -> np.ndarray:
     return np.hstack([p, np.roll(p, -1, 0)])[: len(p) if closed else max(0, len(p) - 1)]
 
 
+def sides_of_many(p: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sides (m, 4) of many rings (corners one after another) and the ring of each."""
+    if not len(p):
+        return np.zeros((0, 4)), np.zeros(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    after = np.arange(1, len(p) + 1)
+    after[ends[1:][sizes > 0] - 1] = ends[:-1][sizes > 0]
+    return np.hstack([p, p[after]]), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def area2(ring) -> float:
     """Twice the signed area."""
     p = np.asarray(ring, float).reshape(-1, 2)
@@ -300,6 +310,292 @@ def overlaid(polygons: list, keep, lines: tuple = (), merge: bool = True) -> lis
     return sorted(out, key=polygon_area, reverse=True)
 
 
+def inner_points(s: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places x and y of the inner points of n groups of sides (m, 4), in order of their groups; NaN for groups without two heights."""
+    x, y = np.full(n, np.nan), np.full(n, np.nan)
+    order = np.lexsort((s[:, 1], owner))
+    own, high = owner[order], s[order, 1]
+    new = np.r_[True, (own[1:] != own[:-1]) | (high[1:] != high[:-1])][: len(own)]
+    own, high = own[new], high[new]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    count = np.diff(np.r_[first, len(own)])
+    first, count = first[count > 1], count[count > 1]
+    if not len(first):
+        return x, y
+    group = own[first]
+    middle = np.full(n, np.nan)
+    middle[group] = (high[first] + high[first + count - 1]) / 2
+    k = first + np.clip(np.bincount(own, high < middle[own], minlength=n)[group].astype(np.int64), 1, count - 1)
+    y[group] = (high[k - 1] + high[k]) / 2
+    cross = (s[:, 1] > y[owner]) != (s[:, 3] > y[owner])
+    t, own = s[cross], owner[cross]
+    at = (t[:, 2] - t[:, 0]) * (y[own] - t[:, 1]) / (t[:, 3] - t[:, 1]) + t[:, 0]
+    order = np.lexsort((at, own))
+    at, own = at[order], own[order][::2]
+    widest = np.lexsort((at[::2] - at[1::2], own))
+    widest = widest[np.flatnonzero(np.diff(own[widest], prepend=-1))]
+    x[own[widest]] = (at[2 * widest] + at[2 * widest + 1]) / 2
+    return x, y
+
+
+#: Segments of a job up to which it is worked out together with others.
+FEW = 192
+
+
+def overlaid_many(p: np.ndarray, sizes: np.ndarray, job: np.ndarray, part: np.ndarray, n: int, keep, merge: bool = True) -> list[list[tuple]]:
+    """`overlaid` of n jobs at once: for each its polygons, as their area and a list of rings (corners, 2). Rings come one after another, by
+    job and in it by `part`: the number of their polygon, then lines as the last ones, whose part is -1. All jobs have as
+    many polygons.
+
+    Nodes, faces and borders of all jobs are one table each. A job of over FEW segments, or one whose border meets itself
+    in a node, goes alone.
+    """
+    sizes, job, part = (np.asarray(x, np.int64) for x in (sizes, job, part))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    drop = (part >= 0) & (sizes < 3)
+    sides, ring = sides_of_many(p, sizes)
+    last = np.zeros(len(sides), bool)
+    last[ends[1:][sizes > 0] - 1] = True
+    good = ~drop[ring] & ~(last & (part[ring] < 0))
+    sides, ring = sides[good], ring[good]
+    alone = np.bincount(job[ring], minlength=n) > FEW
+    out: list[list] = [[] for _ in range(n)]
+    low, most = 0, np.concatenate(([0], np.cumsum(np.where(alone, 0, np.bincount(job[ring], minlength=n) ** 2))))
+    first = np.searchsorted(job[ring], np.arange(n + 1))
+    while low < n:
+        to = max(low + 1, int(np.searchsorted(most, most[low] + 2 * BLOCK, side="right")) - 1)
+        own = np.arange(first[low], first[to])
+        own = own[~alone[job[ring[own]]]]
+        if len(own):
+            _overlaid(sides[own], job[ring[own]] - low, part[ring[own]], to - low, keep, merge, alone[low:to], out, low)
+        low = to
+    parts = int(part.max()) + 1 if len(part) else 0
+    start = np.searchsorted(job, np.arange(n + 1))
+    for k in np.flatnonzero(alone).tolist():
+        own = range(start[k], start[k + 1])
+        of = lambda i: [p[ends[r] : ends[r + 1]] for r in own if part[r] == i]  # noqa: E731, B023
+        out[k] = [(polygon_area(q), [np.array(r) for r in q]) for q in overlaid([of(i) for i in range(parts)], keep, tuple(of(-1)), merge)]
+    return out
+
+
+def _cut_many(s: np.ndarray, job: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`cut_segments` of many small jobs: nodes, their jobs, edges. Nodes are in order of job, x, y."""
+    s = np.round(s, DIGITS)
+    some = (s[:, :2] != s[:, 2:]).any(1)
+    s, job = s[some], job[some]
+    n = np.arange(len(s))
+    d = s[:, 2:] - s[:, :2]
+    long = np.hypot(*d.T)
+    owner, place, points = [n, n], [np.zeros(len(s)), np.ones(len(s))], [s[:, :2], s[:, 2:]]
+
+    def add(i, t, p):
+        owner.append(i)
+        place.append(t)
+        points.append(p)
+
+    after = np.searchsorted(job, job, side="right") - n - 1
+    i = np.repeat(n, after)
+    j = i + 1 + ranges(after)
+    lo, hi = np.minimum(s[:, :2], s[:, 2:]) - 1e-5, np.maximum(s[:, :2], s[:, 2:]) + 1e-5
+    near = ((lo[i] <= hi[j]) & (lo[j] <= hi[i])).all(1)
+    i, j = i[near], j[near]
+    den = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+    e = s[j, :2] - s[i, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (e[:, 0] * d[j, 1] - e[:, 1] * d[j, 0]) / den, (e[:, 0] * d[i, 1] - e[:, 1] * d[i, 0]) / den
+    crosses = (np.abs(den) > 1e-12) & (np.minimum(t, u) > 1e-9) & (np.maximum(t, u) < 1 - 1e-9)
+    ci, cj, t, u = i[crosses], j[crosses], t[crosses], u[crosses]
+    node = np.round(s[ci, :2] + t[:, None] * d[ci], DIGITS)
+    add(ci, t, node)
+    add(cj, u, node)
+    for a, b in ((i, j), (j, i)):
+        for k in (0, 2):
+            q = s[b, k : k + 2] - s[a, :2]
+            off = q[:, 0] * d[a, 1] - q[:, 1] * d[a, 0]
+            at = (q * d[a]).sum(1) / long[a] ** 2
+            on = (np.abs(off) <= 1e-6 * long[a]) & (at > 0) & (at < 1)
+            add(a[on], at[on], s[b[on], k : k + 2])
+    owner, place, points = np.concatenate(owner), np.concatenate(place), np.concatenate(points)
+    order = np.lexsort((place, owner))
+    owner, points = owner[order], points[order] + 0.0
+    by = np.lexsort((points[:, 1], points[:, 0], job[owner]))
+    sorted_, of = points[by], job[owner[by]]
+    new = np.r_[True, (sorted_[1:] != sorted_[:-1]).any(1) | (of[1:] != of[:-1])][: len(by)]
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    total = int(new.sum())
+    pairs = np.sort(np.stack([number[:-1], number[1:]], 1)[(owner[:-1] == owner[1:]) & (number[:-1] != number[1:])], axis=1)
+    pairs = np.unique(pairs[:, 0] * total + pairs[:, 1])
+    edges = np.stack([pairs // max(total, 1), pairs % max(total, 1)], 1)
+    while len(edges):  # loose ends go, a node of each a time
+        loose = (np.bincount(edges.reshape(-1), minlength=total) == 1)[edges].any(1)
+        if not loose.any():
+            break
+        edges = edges[~loose]
+    return sorted_[new], of[new], edges
+
+
+def _traced(follow: np.ndarray, order) -> tuple[np.ndarray, np.ndarray]:
+    """Cycles of a permutation, each from its first member in the given order: members one after another, where each begins."""
+    seen, line, begins, after = bytearray(len(follow)), [], [], follow.tolist()
+    for h in order:
+        if not seen[h]:
+            begins.append(len(line))
+            while not seen[h]:
+                seen[h] = 1
+                line.append(h)
+                h = after[h]
+    return np.array(line, np.int64), np.array(begins, np.int64)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the nodes that hang together over links a-b, for each of n nodes."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _doubled(xy: np.ndarray, to: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(xy[:, 0] * to[:, 1] - to[:, 0] * xy[:, 1], begins) if len(begins) else np.zeros(0)
+
+
+def _overlaid(sides, job, part, n, keep, merge, alone, out, base) -> None:
+    nodes, node_job, edges = _cut_many(sides, job)
+    if not len(edges):
+        return
+    m = len(edges)
+    start, end = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    twin = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+    way = nodes[end] - nodes[start]
+    order = np.lexsort((np.arctan2(way[:, 1], way[:, 0]), start))
+    first, last = np.searchsorted(start[order], start[order], side="left"), np.searchsorted(start[order], start[order], side="right") - 1
+    rank = np.empty(2 * m, np.int64)
+    rank[order] = np.arange(2 * m)
+    back = rank[twin]
+    line, begins = _traced(order[np.where(back == first[back], last[back], back - 1)], range(2 * m))
+    counts = np.diff(np.r_[begins, len(line)])
+    walk = np.repeat(np.arange(len(begins)), counts)
+    size, walk_job = _doubled(nodes[start[line]], nodes[end[line]], begins), node_job[start[line[begins]]]
+    face = np.full(len(begins), -1)  # of each walk; parts that lie loose in a face belong to it
+    outer = np.flatnonzero(size > 1e-9)
+    outer = outer[np.argsort(walk_job[outer], kind="stable")]
+    face[outer] = np.arange(len(outer))
+    face_job = walk_job[outer]
+    loose = np.flatnonzero(size < -1e-9)
+    loose = loose[np.bincount(walk_job[loose], minlength=n)[walk_job[loose]] > 1]
+    if len(loose):
+        xy = nodes[start[line]]
+        by = np.lexsort((xy[:, 0], xy[:, 1], walk))
+        tops = xy[by[begins]] - [1e-7, 0]
+        box = np.hstack([np.minimum.reduceat(xy, begins), np.maximum.reduceat(xy, begins)])
+        faces_of = np.searchsorted(face_job, np.arange(n + 1))
+        many = np.diff(faces_of)[walk_job[loose]]
+        w, f = np.repeat(loose, many), np.repeat(faces_of[walk_job[loose]], many) + ranges(many)
+        x, y = tops[w].T
+        about = (box[outer[f], 0] <= x) & (box[outer[f], 2] >= x) & (box[outer[f], 1] <= y) & (box[outer[f], 3] >= y)
+        w, f = w[about], f[about]
+        long = counts[outer[f]]
+        k, at = np.repeat(np.arange(len(w)), long), line[np.repeat(begins[outer[f]], long) + ranges(long)]
+        inside = _odd(np.hstack([nodes[start[at]], nodes[end[at]]]), tops[w[k]], k, len(w))
+        w, f = w[inside], f[inside]
+        by = np.lexsort((size[outer[f]], w))
+        by = by[np.flatnonzero(np.diff(w[by], prepend=-1))]
+        face[w[by]] = f[by]
+    half = np.full(2 * m, -1)  # the face of each half of an edge
+    half[line] = face[walk]
+    held = line[half[line] >= 0]
+    by = np.argsort(half[held], kind="stable")
+    points = np.stack(inner_points(np.hstack([nodes[start[held[by]]], nodes[end[held[by]]]]), half[held[by]], len(outer)), 1)
+    truth = []
+    for k in range(int(part.max()) + 1):
+        s, of = sides[part == k], job[part == k]
+        bounds = np.searchsorted(of, np.arange(n + 1))
+        many = np.diff(bounds)[face_job]
+        f = np.repeat(np.arange(len(outer)), many)
+        truth.append(_odd(s[np.repeat(bounds[face_job], many) + ranges(many)], points[f], f, len(outer)))
+    wanted = np.asarray(keep(np.array(truth)), bool)
+    if merge:
+        inner = (half >= 0) & (half[twin] >= 0)
+        kept = half >= 0
+        kept[kept] = wanted[half[kept]]
+        inner = kept & kept[twin]
+        group = _joined(half[inner], half[twin[inner]], len(outer))
+        position = np.empty(2 * m, np.int64)
+        position[held[by]] = np.arange(len(held))
+        rim = np.flatnonzero(kept & ~kept[twin])
+        if not len(rim):
+            return
+        whose = group[half[rim]]
+        by = np.lexsort((start[rim], whose))
+        rim, whose = rim[by], whose[by]
+        key = whose * len(nodes) + start[rim]
+        twice = np.flatnonzero(key[1:] == key[:-1])
+        alone[face_job[whose[twice]]] = True  # borders that meet themselves go the long way
+        line, begins = _traced(np.minimum(np.searchsorted(key, whose * len(nodes) + end[rim]), len(rim) - 1), range(len(rim)))
+        walk_group, xy = whose[line[begins]], nodes[start[rim[line]]]
+        size = _doubled(xy, nodes[end[rim[line]]], begins)
+        shells = np.bincount(walk_group, size > 0, minlength=len(outer))
+        alone[face_job[np.unique(walk_group)[shells[np.unique(walk_group)] != 1]]] = True
+        seat = np.full(len(outer), 2 * m)
+        np.minimum.at(seat, whose, position[rim])
+        by = np.lexsort((np.arange(len(begins)), size <= 0, seat[walk_group], face_job[walk_group]))
+        by = by[size[by] != 0]
+        polygon, ring_job = walk_group[by], face_job[walk_group[by]]
+        rings = _tidied(xy, begins, len(line), by)
+    else:
+        chosen = np.flatnonzero(face >= 0)
+        chosen = chosen[wanted[face[chosen]]]
+        by = chosen[np.lexsort((chosen, size[chosen] <= 0, face[chosen]))]
+        polygon, ring_job = face[by], face_job[face[by]]
+        rings = _tidied(nodes[start[line]], begins, len(line), by)
+    p, sizes = rings
+    if not len(sizes):
+        return
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    sides_, _ = sides_of_many(p, sizes)
+    areas = np.abs(_doubled(sides_[:, :2], sides_[:, 2:], ends[:-1])) / 2
+    new = np.flatnonzero(np.diff(polygon, prepend=-1))
+    found: dict[int, list] = {}
+    cuts, areas, jobs = ends.tolist(), areas.tolist(), ring_job.tolist()
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(polygon)], strict=True):
+        found.setdefault(jobs[a], []).append((areas[a] - sum(areas[a + 1 : b]), [p[cuts[r] : cuts[r + 1]] for r in range(a, b)]))
+    for k, polygons in found.items():
+        if not alone[k]:
+            out[base + k] = sorted(polygons, key=lambda x: x[0], reverse=True)
+
+
+def _odd(s: np.ndarray, points: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Whether the point beside each side lies in what the sides of its owner enclose, by the even-odd rule; blocks bound the work."""
+    odd = np.zeros(n, np.int64)
+    for at in range(0, len(s), 4 * BLOCK):
+        t, (x, y), own = s[at : at + 4 * BLOCK], points[at : at + 4 * BLOCK].T, owner[at : at + 4 * BLOCK]
+        apart = (t[:, 1] > y) != (t[:, 3] > y)
+        t, x, y, own = t[apart], x[apart], y[apart], own[apart]
+        odd += np.bincount(own[x < (t[:, 2] - t[:, 0]) * (y - t[:, 1]) / (t[:, 3] - t[:, 1]) + t[:, 0]], minlength=n)
+    return odd % 2 == 1
+
+
+def _tidied(xy: np.ndarray, begins: np.ndarray, total: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`tidy` of chosen rings: their corners one after another, and how many each has."""
+    counts = np.diff(np.r_[begins, total])[chosen]
+    p = xy[np.repeat(begins[chosen], counts) + ranges(counts)]
+    ring, ends = np.repeat(np.arange(len(chosen)), counts), np.cumsum(counts)
+    before, after = np.arange(len(p)) - 1, np.arange(len(p)) + 1
+    before[ends - counts], after[ends - 1] = ends - 1, ends - counts
+    a, b = p - p[before], p[after] - p
+    stays = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 1e-9
+    stays |= (np.bincount(ring, stays, minlength=len(chosen)) <= 2)[ring]
+    return p[stays], np.bincount(ring[stays], minlength=len(chosen))
+
+
 def valid(polygon, least: float = 1.0) -> list:
     """What rings enclose by the even-odd rule, as polygons with holes above `least`, largest first."""
     return [p for p in overlaid([polygon], lambda m: m[0]) if polygon_area(p) > least]
@@ -315,7 +611,47 @@ def cut(polygon, line, least: float = 1.0) -> list:
     return [p for p in overlaid([polygon], lambda m: m[0], (line,), merge=False) if polygon_area(p) > least]
 
 
+def in_order(groups: list[tuple]) -> tuple:
+    """Rings of several groups (corners, sizes, jobs, number of the part) as one, by job, then by part: what overlaid_many takes."""
+    p, sizes, job = (np.concatenate([g[k] for g in groups]) for k in range(3))
+    part = np.repeat([g[3] for g in groups], [len(g[1]) for g in groups])
+    order = np.lexsort((np.arange(len(job)), part < 0, job))
+    begins = np.cumsum(sizes) - sizes
+    return p[np.repeat(begins[order], sizes[order]) + ranges(sizes[order])], sizes[order], job[order], part[order]
+
+
+def valid_many(p, sizes, job, n: int, least: float = 1.0) -> list:
+    """`valid` of n polygons, whose rings come one after another with their polygon's number in `job`."""
+    found = overlaid_many(p, sizes, job, np.zeros(len(sizes), np.int64), n, lambda m: m[0])
+    return [[q for a, q in f if a > least] for f in found]
+
+
+def union_many(first: tuple, second: tuple, n: int, least: float = 1.0) -> list:
+    """`union` of n pairs of polygons (corners, sizes, jobs)."""
+    found = overlaid_many(*in_order([(*first, 0), (*second, 1)]), n, lambda m: m.any(0))
+    return [[q for a, q in f if a > least] for f in found]
+
+
+def cut_many(polygon: tuple, line: tuple, n: int, least: float = 1.0) -> list:
+    """`cut` of n polygons by a line each (corners, sizes, jobs). Segments of a line beyond its polygon's box cut nothing and are left out."""
+    (p, sizes, job), (q, long, of) = polygon, line
+    low, high = np.full((n, 2), np.inf), np.full((n, 2), -np.inf)
+    np.minimum.at(low, np.repeat(job, sizes), p)
+    np.maximum.at(high, np.repeat(job, sizes), p)
+    ends = np.cumsum(long)
+    last = np.zeros(len(q), bool)
+    last[ends[long > 0] - 1] = True
+    i, own = np.flatnonzero(~last), np.repeat(of, long)[~last]
+    near = ((np.maximum(q[i], q[i + 1]) >= low[own] - 1e-3) & (np.minimum(q[i], q[i + 1]) <= high[own] + 1e-3)).all(1)
+    i, own = i[near], own[near]
+    pieces = (np.stack([q[i], q[i + 1]], 1).reshape(-1, 2), np.full(len(i), 2), own, -1)
+    found = overlaid_many(*in_order([(p, sizes, job, 0), pieces]), n, lambda m: m[0], merge=False)
+    return [[r for a, r in f if a > least] for f in found]
+
+
 def outlines(parts: list, least: float = 1.0) -> list[list[tuple]]:
     """Outer rings of parts, largest first, without parts that lie in another's hole."""
     rings = sorted((p[0] for p in parts if abs(area2(p[0])) / 2 > least), key=lambda r: -abs(area2(r)))
+    if all(len(p) < 2 for p in parts):
+        return rings
     return [r for i, r in enumerate(rings) if not any(inside_all([o], np.array([inner_point([r])]))[0] for o in rings[:i])] if len(rings) > 1 else rings

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,32 +197,75 @@ def mask_zones(masks: DataFrame, width: int, height: int, min_area: float = MASK
 # --- repair, union, cuts
 
 
-@F.pandas_udf(_RINGS)
-def _valid(found: pd.Series) -> pd.Series:
-    from .rings import valid_parts
+def _corners(rings) -> tuple:
+    """Corners (n, 2) of an Arrow column of rings one after another, how many each has, and the ring's row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(rings), 0), np.int64)
+    values = rings.flatten()
+    return np.stack([np.asarray(pc.struct_field(values, k), float) for k in "xy"], 1), sizes, np.arange(len(sizes))
+
+
+def _polygon_corners(polygons) -> tuple:
+    """Of a column of polygons: corners, sizes of rings, and the row of each ring."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    many = np.asarray(pc.fill_null(pc.list_value_length(polygons), 0), np.int64)
+    p, sizes, _ = _corners(polygons.flatten())
+    return p, sizes, np.repeat(np.arange(len(many)), many)
+
+
+def _as_arrow(found: list, depth: int):
+    """An Arrow column of lists of rings (depth 1) or of lists of lists of them (depth 2)."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = []
+    for _ in range(depth):
+        offsets.append(np.cumsum([0, *map(len, found)]))
+        found = [x for f in found for x in f]
+    offsets.append(np.cumsum([0, *map(len, found)]))
+    p = np.concatenate([np.zeros((0, 2)), *[np.asarray(r, float).reshape(-1, 2) for r in found]])
+    out = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(p[:, k])) for k in (0, 1)], ["x", "y"])
+    for ends in reversed(offsets):
+        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), out)
+    return out
 
-    return pd.Series([[_points(p) for p in valid_parts(_pairs(r))] for r in found])
+
+@F.arrow_udf(_RINGS)
+def _valid(found: pa.Array) -> pa.Array:
+    from .rings import valid_parts_of_many
+
+    return _as_arrow(valid_parts_of_many(*_corners(found)[:2]), 1)
+
+
+@F.arrow_udf(_RINGS)
+def _united(first: pa.Array, second: pa.Array) -> pa.Array:
+    from .rings import united_of_many
+
+    return _as_arrow(united_of_many(*_corners(first)[:2], *_corners(second)[:2]), 1)
 
 
 @F.pandas_udf(_RINGS)
-def _united(first: pd.Series, second: pd.Series, tolerance: pd.Series) -> pd.Series:
+def _united_near(first: pd.Series, second: pd.Series, tolerance: pd.Series) -> pd.Series:
     from .rings import snapped, united
 
     def one(a, b, t):
         a, b = _pairs(a), _pairs(b)
-        if t > 0:
-            b = snapped(b, a, t)
-            a = snapped(a, b, t)
+        b = snapped(b, a, t)
+        a = snapped(a, b, t)
         return [_points(p) for p in united(a, b)] if len(a) > 2 and len(b) > 2 else []
 
     return pd.Series([one(a, b, t) for a, b, t in zip(first, second, tolerance, strict=True)])
 
 
-@F.pandas_udf(_RINGS)
-def _cut(found: pd.Series, lines: pd.Series) -> pd.Series:
-    from .rings import cut_by
+@F.arrow_udf(_RINGS)
+def _cut(found: pa.Array, lines: pa.Array) -> pa.Array:
+    from .rings import cut_of_many
 
-    return pd.Series([[_points(p) for p in cut_by(_pairs(r), _pairs(l))] if r is not None and len(r) > 2 else [] for r, l in zip(found, lines, strict=True)])
+    return _as_arrow(cut_of_many(*_corners(found)[:2], *_corners(lines)[:2]), 1)
 
 
 def parts(ring: str) -> Column:
@@ -241,7 +285,7 @@ def largest(ring: str) -> Column:
 
 def union_parts(first: str, second: str, tolerance: float = 0.0) -> Column:
     """Parts of the union; corners within the tolerance are snapped together before."""
-    return _united(_doubles(first), _doubles(second), F.lit(float(tolerance)))
+    return _united_near(_doubles(first), _doubles(second), F.lit(float(tolerance))) if tolerance > 0 else _united(_doubles(first), _doubles(second))
 
 
 def cut_parts(ring: str, line: str) -> Column:
@@ -278,33 +322,25 @@ def from_ring(ring: Column) -> dict[str, Column]:
 _POLYGONS = T.ArrayType(_RINGS)
 
 
-def _polygon(rings) -> list:
-    return [_pairs(r) for r in rings] if rings is not None else []
-
-
-def _polygons(found) -> list:
-    return [[_points(r) for r in p] for p in found]
-
-
-@F.pandas_udf(_POLYGONS)
-def _repaired(polygon: pd.Series) -> pd.Series:
+@F.arrow_udf(_POLYGONS)
+def _repaired(polygon: pa.Array) -> pa.Array:
     from . import overlay
 
-    return pd.Series([_polygons(overlay.valid(_polygon(p))) for p in polygon])
+    return _as_arrow(overlay.valid_many(*_polygon_corners(polygon), len(polygon)), 2)
 
 
-@F.pandas_udf(_POLYGONS)
-def _merged(first: pd.Series, second: pd.Series) -> pd.Series:
+@F.arrow_udf(_POLYGONS)
+def _merged(first: pa.Array, second: pa.Array) -> pa.Array:
     from . import overlay
 
-    return pd.Series([_polygons(overlay.union(_polygon(a), _polygon(b))) for a, b in zip(first, second, strict=True)])
+    return _as_arrow(overlay.union_many(_polygon_corners(first), _polygon_corners(second), len(first)), 2)
 
 
-@F.pandas_udf(_POLYGONS)
-def _split(polygon: pd.Series, line: pd.Series) -> pd.Series:
+@F.arrow_udf(_POLYGONS)
+def _split(polygon: pa.Array, line: pa.Array) -> pa.Array:
     from . import overlay
 
-    return pd.Series([_polygons(overlay.cut(_polygon(p), _pairs(l))) for p, l in zip(polygon, line, strict=True)])
+    return _as_arrow(overlay.cut_many(_polygon_corners(polygon), _corners(line), len(polygon)), 2)
 
 
 def _rings_of(polygon: str) -> Column:
@@ -360,9 +396,8 @@ def subdivide(zones: DataFrame, min_area: float, target_factor: float, large_fac
                 out += [(image, zone, i, _points(p)) for i, p in enumerate(found)] if len(found) > 1 else []
             yield pd.DataFrame(out, columns=["image_id", "zone_id", "piece", "ring"])
 
-    pieces = own.where(large).select("image_id", "zone_id", largest("polygon").alias("polygon"), "target").where(F.col("polygon").isNotNull())
-    # few rows, each of much work
-    pieces = pieces.repartition("image_id", "zone_id").mapInPandas(cut, f"image_id long, zone_id long, piece long, ring array<{POINT}>")
+    pieces = scratch.dealt(own.where(large), "image_id", "zone_id").select("image_id", "zone_id", largest("polygon").alias("polygon"), "target").where(F.col("polygon").isNotNull())
+    pieces = pieces.mapInPandas(cut, f"image_id long, zone_id long, piece long, ring array<{POINT}>")
     new = pieces.select("image_id", "zone_id", "piece", "ring").withColumns(from_ring(F.col("ring")))
     new = new.where((F.col("area_px") >= max(SUBZONE_LEAST, int(min_area * SUBZONE_SHARE))) & (F.size("polygon") >= 3))
     enough = F.count(F.lit(1)).over(Window.partitionBy("image_id", "zone_id")) > 1

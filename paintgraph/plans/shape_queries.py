@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import scalars as S
 from ..operators import contours, edits, graph, layout, lineart, palette, patches, raster, render, shapes
 from ..sources.views import PIXELS, ZONES, pixels, zones
@@ -113,7 +114,7 @@ def _holed(spark, d):
 )
 def holed_overlays(spark, d):
     """Repair, union and cuts of polygons with holes: areas without the holes, and how many holes are left."""
-    z = _holed(spark, d).withColumns({"r": shapes.repaired("holed"), "u": shapes.merged("holed", "bar"), "c": shapes.split("holed", "line")})
+    z = scratch.dealt(_holed(spark, d), "image_id", "zone_id").withColumns({"r": shapes.repaired("holed"), "u": shapes.merged("holed", "bar"), "c": shapes.split("holed", "line")})
     first = lambda c: F.get(c, F.lit(0))
     area = lambda c: F.round(shapes.polygon_area(first(c)), 6)
     return z.select("image_id", "zone_id", area("r").alias("area"), F.size("r").alias("parts"), (F.size(first("r")) - 1).alias("holes"), area("u").alias("union_area"), F.size("u").alias("union_parts"), (F.size(first("u")) - 1).alias("union_holes"), F.size("c").alias("pieces"), area("c").alias("largest_piece"), (F.size(first("c")) - 1).alias("largest_holes"))
@@ -374,7 +375,7 @@ def split_rings(spark, d):
 def valid_parts(spark, d):
     """Rings that cross themselves like a bow tie fall into two triangles."""
     r = F.col("polygon")
-    tie = _rings(spark, d).withColumn("polygon", F.array(*[F.get(r, F.lit(i)) for i in (0, 2, 1, 3)]))
+    tie = scratch.dealt(_rings(spark, d), "image_id", "zone_id").withColumn("polygon", F.array(*[F.get(r, F.lit(i)) for i in (0, 2, 1, 3)]))
     return tie.withColumn("p", shapes.parts("polygon")).select("image_id", "zone_id", F.size("p").alias("parts"), F.round(shapes.ring_area(F.get("p", F.lit(0))), 6).alias("largest"))
 
 

@@ -307,3 +307,39 @@ def test_border_scores_of_many_pairs(spark):
     tasks = lambda deal: graph.candidates(z, deal=deal).select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks(True) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert graph.candidates(z, deal=True).count() == graph.candidates(z).count()
+
+
+def test_overlays_of_many_jobs_equal_single_ones():
+    from paintgraph.operators import overlay as O
+
+    g = np.random.default_rng(8)
+    rect = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+    boxes = lambda n: [rect(*g.integers(0, 6, 2), *g.integers(1, 5, 2)) for _ in range(n)]
+    first = [boxes(int(n)) for n in g.integers(0, 4, 60)] + [[g.normal(0, 20, (int(n), 2))] for n in g.integers(0, 9, 60)] + [[rect(0, 0, 9, 9), rect(3, 3, 3, 3)], [np.array(star(120))]]
+    second = [boxes(int(n)) for n in g.integers(1, 3, 60)] + [[g.normal(5, 20, (7, 2))] for _ in range(60)] + [[rect(3, 4, 9, 1)], [np.array(star(120))]]
+    lines = [np.array([(-3.0, y), (2.5, 3.1), (30.0, y + 2)]) for y in g.uniform(0, 6, len(first))]
+    flat = lambda rings: (np.concatenate([np.zeros((0, 2)), *[r for q in rings for r in q]]), np.array([len(r) for q in rings for r in q], np.int64), np.repeat(np.arange(len(rings)), [len(q) for q in rings]))
+    plain = lambda found: [[[tuple(map(tuple, np.asarray(r).tolist())) for r in p] for p in f] for f in found]
+    n, a, b, c = len(first), flat(first), flat(second), flat([[line] for line in lines])
+    assert plain(O.valid_many(*a, n)) == plain([O.valid(p) for p in first])
+    assert plain(O.union_many(a, b, n)) == plain([O.union(p, q) for p, q in zip(first, second, strict=True)])
+    assert plain(O.cut_many(a, c, n)) == plain([O.cut(p, line) for p, line in zip(first, lines, strict=True)])
+    assert O.valid_many(np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros(0, np.int64), 2) == [[], []]
+
+
+def test_cut_zones_are_dealt_out(spark):
+    from paintgraph.operators import shapes
+
+    box = "array(struct(0L AS x, 0L AS y), struct(w AS x, 0L AS y), struct(w AS x, 40L AS y), struct(0L AS x, 40L AS y))"
+    z = spark.range(0, 60, 1, 1).selectExpr("1L AS image_id", "id AS zone_id", "0L AS x0", "0L AS y0", "if(id % 3 = 0, 90L, 10L) AS w", "40L AS h").selectExpr("*", "w * h AS area_px", f"{box} AS polygon")
+    cut = shapes.subdivide(z, 100, 1.2, 1.5)
+    assert cut.where("source IS NOT NULL").select("was").distinct().count() == 20 and abs(cut.agg({"area_px": "sum"}).first()[0] - z.agg({"area_px": "sum"}).first()[0]) < 100
+
+
+def test_holed_polygons_of_a_batch(spark):
+    from paintgraph.operators import shapes
+
+    ring = lambda x, w: f"array(struct({x}D AS x, {x}D AS y), struct({x + w}D AS x, {x}D AS y), struct({x + w}D AS x, {x + w}D AS y), struct({x}D AS x, {x + w}D AS y))"
+    z = spark.range(0, 9, 1, 2).selectExpr("id", f"if(id % 3 = 0, NULL, array({ring(0, 12)}, {ring(4, 4)})) AS p", f"array({ring(10, 12)}) AS q", "array(struct(6D AS x, -1D AS y), struct(6D AS x, 99D AS y)) AS l")
+    rows = z.select("id", shapes.polygon_area(F.get(shapes.repaired("p"), F.lit(0))).alias("a"), F.size(shapes.repaired("p")).alias("n"), F.size(shapes.merged("p", "q")).alias("u"), F.size(shapes.split("p", "l")).alias("c")).collect()
+    assert sorted((r.id % 3 == 0, r.a, r.n, r.u, r.c) for r in rows) == sorted([(True, 0.0, 0, 1, 0)] * 3 + [(False, 128.0, 1, 1, 2)] * 6)
