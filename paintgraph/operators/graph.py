@@ -55,17 +55,30 @@ def adjacency(zones: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     return near.select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"))
 
 
-def ring_adjacency(zones: DataFrame, tolerance: int = TOLERANCE, ring: str = "polygon") -> DataFrame:
-    """image_id, src, dst of general rings: boxes meet by grid cells, then the distance of the boundaries decides. Pairs are
-    dealt out anew, for few rows are much work."""
+def ring_pairs(zones: DataFrame, tolerance: int = TOLERANCE, ring: str = "polygon", *also: str) -> tuple[DataFrame, Column]:
+    """Candidates a and b of general rings, with zone_id and the columns `also`, and the distance of their boundaries. Places
+    of corners are made once a zone; cells are dealt out, for few bytes are much work."""
+    x, y = polygons.places(ring)
+    z = zones.select("image_id", "zone_id", "x0", "y0", "w", "h", *also, x.alias("_xs"), y.alias("_ys"))
+    of = lambda i: [F.col(f"{i}._xs"), F.col(f"{i}._ys")]
+    return candidates(z, tolerance, deal=True), polygons.gap(of("a"), of("b"))
+
+
+def _near_boxes(pairs: DataFrame, tolerance: int) -> DataFrame:
     gx, gy = box_gap("x0", "w"), box_gap("y0", "h")
-    near = candidates(zones, tolerance).where(gx * gx + gy * gy <= tolerance * tolerance).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col(f"a.{ring}").alias("p"), F.col(f"b.{ring}").alias("q"))
-    parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows aren't put together
-    return near.repartition(parts, "image_id", "src", "dst").where(polygons.boundary_distance("p", "q") <= tolerance).select("image_id", "src", "dst")
+    return pairs.where(gx * gx + gy * gy <= tolerance * tolerance)
+
+
+def ring_adjacency(zones: DataFrame, tolerance: int = TOLERANCE, ring: str = "polygon") -> DataFrame:
+    """image_id, src, dst of general rings: boxes meet by grid cells, then the distance of the boundaries decides."""
+    pairs, gap = ring_pairs(zones, tolerance, ring)
+    return _near_boxes(pairs, tolerance).where(gap <= tolerance).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("image_id", F.col("src").alias("zone_id"), F.col("dst").alias("other")).union(edges.select("image_id", F.col("dst"), F.col("src")))
+    """image_id, zone_id, other: each edge and its reverse, from one pass over the edges."""
+    way = lambda a, b: F.struct(F.col(a).alias("zone_id"), F.col(b).alias("other"))
+    return edges.select("image_id", F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("_e")).select("image_id", "_e.zone_id", "_e.other")
 
 
 def degrees(zones: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,13 +141,17 @@ def _nearest(alone: DataFrame, big: DataFrame) -> DataFrame:
     return found if found is not None else alone.select("image_id", "zone_id", F.col("num").alias("near_num")).limit(0)
 
 
-def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataFrame:
+def inherit_labels(zones: DataFrame, edges: DataFrame | None, min_area: float) -> DataFrame:
     """Zones too small for a label take the number of a labelled neighbour, the largest; without one, of the nearest
     labelled zone of the image (then the larger, then the smaller id), by rings if the zones have a polygon, else by
-    boxes. image_id, zone_id, num, suppressed, method."""
+    boxes. image_id, zone_id, num, suppressed, method. Without edges, zones whose rings come within TOLERANCE are neighbours;
+    then only pairs of a small and a labelled zone are measured, and none is kept."""
     z = zones.withColumn("small", S.label_too_small("area_px", "w", "h", F.lit(min_area)))
     big = z.where("NOT small").select("image_id", F.col("zone_id").alias("other"), "area_px", "num")
-    by_edge = both_ways(edges).join(big, ["image_id", "other"]).groupBy("image_id", "zone_id").agg(F.max_by("num", F.struct("area_px", -F.col("other"))).alias("edge_num"))
+    beside = _labelled_beside(z) if edges is None else both_ways(edges).join(big, ["image_id", "other"])
+    by_edge = beside.groupBy("image_id", "zone_id").agg(F.max_by("num", F.struct("area_px", -F.col("other"))).alias("edge_num"))
+    if edges is None:
+        by_edge = scratch.materialize(by_edge, "beside")  # read twice
     base = z.join(by_edge, ["image_id", "zone_id"], "left")
     boxes = ["image_id", "zone_id", "x0", "y0", "w", "h", "area_px", "num", *[c for c in ("polygon",) if c in zones.columns]]
     near = _nearest(base.where("small AND edge_num IS NULL").select(*boxes), z.where("NOT small").select(*boxes))
@@ -143,6 +160,14 @@ def inherit_labels(zones: DataFrame, edges: DataFrame, min_area: float) -> DataF
     return j.select("image_id", "zone_id", F.when(F.col("small"), F.coalesce("edge_num", "near_num", "num")).otherwise(F.col("num")).alias("num"), F.col("small").alias("suppressed"), method.alias("method"))
 
 
+def _labelled_beside(zones: DataFrame) -> DataFrame:
+    """image_id, zone_id of small zones, other, area_px and num of labelled ones beside them, by rings."""
+    pairs, gap = ring_pairs(zones, TOLERANCE, "polygon", "area_px", "num", "small")
+    near = _near_boxes(pairs, TOLERANCE).where("a.small <> b.small").where(gap <= TOLERANCE)
+    of = lambda name, small: F.when(F.col("a.small") == small, F.col(f"a.{name}")).otherwise(F.col(f"b.{name}"))
+    return near.select("a.image_id", of("zone_id", True).alias("zone_id"), of("zone_id", False).alias("other"), of("area_px", False).alias("area_px"), of("num", False).alias("num"))
+
+
 def label_metrics(zones: DataFrame, inherited: DataFrame) -> DataFrame:
     """image_id, suppressed labels, how many of them took another number, visible ones."""
     j = inherited.join(zones.select("image_id", "zone_id", F.col("num").alias("was")), ["image_id", "zone_id"])

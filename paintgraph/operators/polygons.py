@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -28,22 +29,34 @@ def to_side(x: Column, y: Column, s: Column) -> Column:
     return F.hypot(x - s["ax"] - along * dx, y - s["ay"] - along * dy)
 
 
-@F.pandas_udf(DoubleType())
-def _gaps(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def _gaps(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array) -> pa.Array:
     import numpy as np
+    import pyarrow.compute as pc
 
-    from .rings import boundary_gaps
+    from .rings import gaps_of_many
 
-    joined = lambda xs, ys: [np.stack([x, y], 1) if x is not None and len(x) else () for x, y in zip(xs, ys, strict=True)]
-    gaps = boundary_gaps(joined(ax, ay), joined(bx, by))
-    return pd.Series(gaps).astype(object).where(~np.isnan(gaps), None)
+    sizes = lambda c: np.asarray(pc.fill_null(pc.list_value_length(c), 0), np.int64)
+    corners = lambda x, y: np.stack([np.asarray(k.flatten(), float) for k in (x, y)], 1)
+    gaps = gaps_of_many(corners(ax, ay), sizes(ax), corners(bx, by), sizes(bx))
+    return pa.array(gaps, mask=np.isnan(gaps))
+
+
+def places(ring: str) -> list[Column]:
+    """A ring's corners as two arrays of numbers, x and y."""
+    of = lambda k: F.transform(F.col(ring), lambda p: p[k].cast("double"))
+    return [of("x"), of("y")]
+
+
+def gap(first: list, second: list) -> Column:
+    """`boundary_distance` of rings whose `places` are columns, so that they aren't made anew for each pair."""
+    return _gaps(*first, *second)
 
 
 def boundary_distance(first: str, second: str) -> Column:
     """Distance of two boundaries: a ring deep inside another is as far from it as from its sides. Null for an empty ring.
     Pairs of a batch are measured together, in blocks."""
-    of = lambda r, k: F.transform(F.col(r), lambda p: p[k].cast("double"))
-    return _gaps(of(first, "x"), of(first, "y"), of(second, "x"), of(second, "y"))
+    return gap(places(first), places(second))
 
 
 def inside(ring: str, x: Column, y: Column) -> Column:

@@ -25,8 +25,8 @@ def query(sql: str):
 
 @query(f"WITH {_Z} SELECT a.image_id, a.zone_id AS src, b.zone_id AS dst, round(sqrt({_GX}*{_GX}+{_GY}*{_GY})+{_INSET}, 6) AS distance FROM z a JOIN z b ON a.image_id=b.image_id AND a.zone_id<b.zone_id AND {_BOX}")
 def boundary_distance(spark, d):
-    near = graph.candidates(render.rings(zones(spark, d))).select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.col("a.polygon").alias("p"), F.col("b.polygon").alias("q"))
-    return near.select("image_id", "src", "dst", F.round(polygons.boundary_distance("p", "q"), 6).alias("distance"))
+    near, gap = graph.ring_pairs(render.rings(zones(spark, d)))
+    return near.select("a.image_id", F.col("a.zone_id").alias("src"), F.col("b.zone_id").alias("dst"), F.round(gap, 6).alias("distance"))
 
 
 _PX, _PY = "(x0+w*((zone_id%5)-0.5::DOUBLE)/3.0::DOUBLE)", "(y0+h*0.3::DOUBLE)"

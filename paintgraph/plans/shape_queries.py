@@ -41,7 +41,7 @@ def ring_adjacency(spark, d):
 @query(_ZONE_SQL["label_inheritance"])
 def ring_label_inheritance(spark, d):
     z = _rings(spark, d)
-    return graph.inherit_labels(z, graph.ring_adjacency(z), LABEL_MIN)
+    return graph.inherit_labels(z, None, LABEL_MIN)
 
 
 @query(f"WITH {_Z} SELECT image_id, zone_id, y, x0, x0+w AS x1 FROM z, range(0, 600) r(i), LATERAL (SELECT y0+i AS y) WHERE i<=h")

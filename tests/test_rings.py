@@ -343,3 +343,18 @@ def test_holed_polygons_of_a_batch(spark):
     z = spark.range(0, 9, 1, 2).selectExpr("id", f"if(id % 3 = 0, NULL, array({ring(0, 12)}, {ring(4, 4)})) AS p", f"array({ring(10, 12)}) AS q", "array(struct(6D AS x, -1D AS y), struct(6D AS x, 99D AS y)) AS l")
     rows = z.select("id", shapes.polygon_area(F.get(shapes.repaired("p"), F.lit(0))).alias("a"), F.size(shapes.repaired("p")).alias("n"), F.size(shapes.merged("p", "q")).alias("u"), F.size(shapes.split("p", "l")).alias("c")).collect()
     assert sorted((r.id % 3 == 0, r.a, r.n, r.u, r.c) for r in rows) == sorted([(True, 0.0, 0, 1, 0)] * 3 + [(False, 128.0, 1, 1, 2)] * 6)
+
+
+def test_label_pairs_without_edges_and_gaps_of_many(spark):
+    from paintgraph.operators import graph, render
+    from paintgraph.sources.views import zones
+
+    g = np.random.default_rng(3)
+    a, b = ([g.normal(0, 20, (int(n), 2)) for n in g.integers(0, 7, 200)] for _ in range(2))
+    flat = lambda rings: (np.concatenate(rings), np.array([len(r) for r in rings]))
+    one = [R.boundary_gaps([p], [q])[0] for p, q in zip(a, b, strict=True)]
+    assert np.array_equal(R.gaps_of_many(*flat(a), *flat(b)), one, equal_nan=True)
+    z = render.rings(zones(spark, "/root/testdata/sf0.001"))
+    assert sorted(map(tuple, graph.inherit_labels(z, None, 450.0).collect())) == sorted(map(tuple, graph.inherit_labels(z, graph.ring_adjacency(z), 450.0).collect()))
+    plan = graph.ring_adjacency(z)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "src" not in "".join(x for x in plan.splitlines() if "Exchange" in x)  # cells are dealt out, pairs aren't
