@@ -61,22 +61,59 @@ def _offsets(radius: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-wide[abs(dy)], wide[abs(dy)] + 1)]
 
 
+#: Side of the tiles that sets of pixels are smoothed in, and tiles that go together.
+TILE, TILES = 64, 256
+
+
 def smoothed(mask: DataFrame, within: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
     """Sets of pixels (keys, x, y) closed, then opened with an elliptic kernel, and cut to those of `within` (the keys
     that both have, x, y). A pixel lies in a grown set if a kernel about it meets the set, in a shrunk one if the whole
-    kernel does, so both are counts of shifted pixels."""
-    k = _offsets(radius)
-    shift = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in k]))
+    kernel does.
 
-    def spread(p: DataFrame, least: int) -> DataFrame:
-        moved = p.withColumn("_s", shift).select(*keys, (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
-        return moved.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-
-    p = mask.select(*keys, "x", "y")
-    for least in (1, len(k), len(k), 1):  # grow, shrink; shrink, grow
-        p = spread(p, least)
+    The four steps reach 4 * radius pixels, so a set falls into tiles that take the pixels about them along; a row is one
+    tile, and no task holds a set.
+    """
+    k, reach = _offsets(radius), 4 * radius
+    wide = TILE + 2 * reach
+    homes = lambda c: F.sequence(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))
+    p = mask.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    p = p.withColumn("_tx", F.explode(homes("x"))).withColumn("_ty", F.explode(homes("y")))
+    place = (F.col("y") - F.col("_ty") * TILE + reach) * wide + F.col("x") - F.col("_tx") * TILE + reach
+    tiles = p.groupBy(*keys, "_tx", "_ty").agg(F.collect_list(place.cast("int")).alias("_at"))
+
+    def smooth(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def spread(m, whole: bool):
+            out = np.full(m.shape, whole)
+            r = max(max(abs(dx), abs(dy)) for dx, dy in k)
+            big = np.zeros((len(m), wide + 2 * r, wide + 2 * r), bool)
+            big[:, r : r + wide, r : r + wide] = m
+            for dx, dy in k:
+                part = big[:, r + dy : r + dy + wide, r + dx : r + dx + wide]
+                out = out & part if whole else out | part
+            return out
+
+        for batch in batches:
+            n = len(keys)
+            tx, ty = (np.asarray(batch.column(n + i)) for i in (0, 1))
+            for at in range(0, batch.num_rows, TILES):
+                own = batch.column(n + 2).slice(at, TILES)
+                sizes = own.value_lengths().to_numpy()
+                m = np.zeros((len(own), wide * wide), bool)
+                m[np.repeat(np.arange(len(own)), sizes), own.flatten().to_numpy()] = True
+                m = m.reshape(-1, wide, wide)
+                for whole in (False, True, True, False):  # grow, shrink; shrink, grow
+                    m = spread(m, whole)
+                i, y, x = np.nonzero(m[:, reach : reach + TILE, reach : reach + TILE])
+                i += at
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).take(pa.array(i)) for j in range(n)], pa.array(x + tx[i] * TILE), pa.array(y + ty[i] * TILE)], names=[*keys, "x", "y"])
+
+    kinds = [f"{c} {mask.schema[c].dataType.simpleString()}" for c in keys]
+    done = tiles.mapInArrow(smooth, ", ".join([*kinds, "x long", "y long"]))
     on = [c for c in keys if c in within.columns] + ["x", "y"]
-    return p.join(within.select(*on).distinct(), on, "left_semi")
+    return done.join(within.select(*on), on, "left_semi")
 
 
 def gaussian(block: int) -> list[float]:
