@@ -484,42 +484,42 @@ def fragment_neighbours(zones: DataFrame, min_area: float, tolerance: float = 1.
 
 def merge_fragments(zones: DataFrame, min_area: float, rounds: int = 3) -> DataFrame:
     """Small pieces of a subdivided zone join the best neighbour of the same parent, smallest first, as long as their
-    union is one part; those that can't are marked. A parent's pieces are one group (at most a few dozen)."""
+    union is one part; those that can't are marked. A parent's pieces are one group (at most a few dozen); a batch's groups
+    go together, step by step."""
     cols = "image_id long, zone_id long, area_px double, x0 long, y0 long, w long, h long, num long, polygon array<struct<x:bigint,y:bigint>>, source string, parent string"
     names = [c.split(" ")[0] for c in cols.split(", ")]
     z = zones.select(*[F.col(n) for n in names])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .rings import area, border_score, snapped, united
-
-        now = pdf.sort_values("zone_id").to_dict("records")
-        for r in now:
-            r["ring"] = _pairs(r["polygon"])
-        for _ in range(max(1, rounds * len(now))):
-            small = [r for r in now if r["source"] in SUBZONES and r["area_px"] < min_area]
-            if not small:
-                break
-            own = min(small, key=lambda r: r["area_px"])
-            scored = [(r["area_px"], border_score(own["ring"], r["ring"]), r) for r in now if r is not own]
-            for _, _, other in sorted((x for x in scored if x[1] > 0), key=lambda x: x[:2], reverse=True):
-                moved = snapped(other["ring"], own["ring"], SNAP)
-                found = united(snapped(own["ring"], moved, SNAP), moved)
-                if len(found) == 1:
-                    ring = found[0]
-                    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-                    near = [(round(x), round(y)) for x, y in ring]
-                    whole = [p for i, p in enumerate(near) if i == 0 or p != near[i - 1]]
-                    first = min(own, other, key=lambda r: r["zone_id"])
-                    other |= {"zone_id": first["zone_id"], "ring": whole, "area_px": round(area(ring), 2), "x0": int(min(xs) // 1), "y0": int(min(ys) // 1), "w": int(-(-(max(xs) - min(xs)) // 1)), "h": int(-(-(max(ys) - min(ys)) // 1))}
-                    now = [r for r in now if r is not own]
-                    break
-            else:
-                own["source"] = UNMERGED
-        for r in now:
-            r["polygon"] = [{"x": int(x), "y": int(y)} for x, y in r.pop("ring")]
-        return pd.DataFrame(now, columns=names)
-
-    merged = z.where(F.col("parent").isNotNull()).groupBy("image_id", "parent").applyInPandas(merge, cols)
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .rings import merged_pieces
+
+        small = lambda r: r["source"] in SUBZONES and r["area_px"] < min_area
+
+        def done(rows: list[dict]) -> pd.DataFrame:
+            groups: dict[tuple, list] = {}
+            for r in rows:
+                r["ring"] = _pairs(r["polygon"])
+                groups.setdefault((r["image_id"], r["parent"]), []).append(r)
+            out = [r for g in merged_pieces(list(groups.values()), small, UNMERGED, SNAP, rounds) for r in g]
+            for r in out:
+                r["polygon"] = [{"x": int(x), "y": int(y)} for x, y in r.pop("ring")]
+            return pd.DataFrame(out, columns=names)
+
+        held: list[dict] = []  # the last parent's pieces may go on in the next batch
+        for pdf in batches:
+            held += pdf.to_dict("records")
+            last = len(held)
+            while last and (held[last - 1]["image_id"], held[last - 1]["parent"]) == (held[-1]["image_id"], held[-1]["parent"]):
+                last -= 1
+            if last:
+                yield done(held[:last])
+                held = held[last:]
+        if held:
+            yield done(held)
+
+    # rows in order of their parents, few bytes for much work
+    own = scratch.dealt(z.where(F.col("parent").isNotNull()), "image_id", "parent").sortWithinPartitions("image_id", "parent", "zone_id")
+    merged = own.mapInPandas(merge, cols)
     alone = z.where(F.col("parent").isNull()).withColumn("source", F.when(is_small_fragment(min_area), UNMERGED).otherwise(F.col("source")))
     both = alone.union(merged)
     order = Window.partitionBy("image_id").orderBy("zone_id")
@@ -528,6 +528,7 @@ def merge_fragments(zones: DataFrame, min_area: float, rounds: int = 3) -> DataF
 
 def fragment_metrics(before: DataFrame, after: DataFrame, min_area: float) -> DataFrame:
     """image_id, merges, unmerged, and at most 20 of the fragments that stay small: those that failed first."""
+    after = scratch.materialize(after.select("image_id", "zone_id", "area_px", "source"), "merged")  # read twice
     left = after.where((F.col("source") == UNMERGED) | is_small_fragment(min_area))
     detail = F.struct(F.when(F.col("source") == UNMERGED, 0).otherwise(1).alias("kind"), F.col("zone_id"), F.col("area_px"), F.col("source"))
     listed = left.groupBy("image_id").agg(F.count(F.lit(1)).alias("unmerged"), F.slice(F.array_sort(F.collect_list(detail)), 1, 20).alias("details"))

@@ -168,3 +168,21 @@ def test_picture_files_become_pixels(spark, tmp_path):
     assert images.count() == 2 and {(r.width, r.height, r.n_channels) for r in images.collect()} == {(3, 2, 3)}
     got = {(r.x, r.y): (r.b, r.g, r.r) for r in views.image_pixels(images.where("image_id LIKE '%a.png'")).collect()}
     assert got == {(x, y): (7, 20 * y, 10 * x) for x in range(3) for y in range(2)}
+
+
+def test_pieces_of_parents_across_batches(spark):
+    from paintgraph.operators import shapes
+
+    ring = "array(struct(x0 AS x, 0L AS y), struct(x0 + w AS x, 0L AS y), struct(x0 + w AS x, h AS y), struct(x0 AS x, h AS y))"
+    p = spark.range(0, 400, 1, 1).selectExpr("1L AS image_id", "id AS zone_id", "id div 4 AS g", "id % 4 AS k").selectExpr("image_id", "zone_id", "if(k = 0, 0L, k * 10 - 8) AS x0", "0L AS y0", "if(k = 0, 2L, 10L) AS w", "20L AS h", "7L AS num", "CAST(g AS STRING) AS parent")
+    z = p.selectExpr("*", "CAST(w * h AS DOUBLE) AS area_px", f"{ring} AS polygon", "'lineart_curved_subzone' AS source")
+    merged = shapes.merge_fragments(z, 90)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = merged.collect()
+        stages = merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == 300 and sorted({(r.area_px, r.w) for r in found}) == [(200.0, 10), (240.0, 12)] and sum(r.area_px for r in found) == 400 * 160
+    assert "FlatMapGroupsInPandas" not in stages  # not a call for each parent
